@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, packing, token_files
 
-QUERIES = {"op2_byte_bpe": bpe.op2_byte_bpe}
+QUERIES = {
+    "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op4_packing": packing.op4_packing,
+    "op9_token_files": token_files.op9_token_files,
+}
 #: DuckDB twins, where SQL can express the operator.
 ORACLES: dict[str, str] = {}
 
