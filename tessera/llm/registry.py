@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, token_files
+from . import bpe, langid, packing, quality, token_files, urls
 
 QUERIES = {
     "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op3_quality_rules": quality.op3_quality_rules,
     "op4_packing": packing.op4_packing,
+    "op7_language_id": langid.op7_language_id,
+    "op8_url_filters": urls.op8_url_filters,
     "op9_token_files": token_files.op9_token_files,
 }
 #: DuckDB twins, where SQL can express the operator.
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_quality_rules": quality.OP3_SQL}
 
 
 def queries():
