@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, packing, quality, token_files, urls
+from . import bpe, exact_dedup, langid, packing, quality, token_counts, token_files, urls
 
 QUERIES = {
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_packing": packing.op4_packing,
+    "op5_token_counts": token_counts.op5_token_counts,
+    "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_language_id": langid.op7_language_id,
     "op8_url_filters": urls.op8_url_filters,
     "op9_token_files": token_files.op9_token_files,
 }
 #: DuckDB twins, where SQL can express the operator.
-ORACLES = {"op3_quality_rules": quality.OP3_SQL}
+ORACLES = {"op3_quality_rules": quality.OP3_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL}
 
 
 def queries():
