@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, packing, quality, token_counts, token_files, urls
+from . import bpe, exact_dedup, langid, line_dedup, packing, quality, token_counts, token_files, urls
 
 QUERIES = {
     "op2_byte_bpe": bpe.op2_byte_bpe,
@@ -13,9 +13,10 @@ QUERIES = {
     "op7_language_id": langid.op7_language_id,
     "op8_url_filters": urls.op8_url_filters,
     "op9_token_files": token_files.op9_token_files,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 #: DuckDB twins, where SQL can express the operator.
-ORACLES = {"op3_quality_rules": quality.OP3_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL}
+ORACLES = {"op3_quality_rules": quality.OP3_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL, "op10_line_dedup": line_dedup.OP10_SQL}
 
 
 def queries():
