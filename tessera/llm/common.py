@@ -87,5 +87,39 @@ def join_with_heavy(left: DataFrame, right: DataFrame, keys: list[str], weight:
     return done.unionByName(rest.select(*done.columns))
 
 
+#: Tables of up to so many rows of one number are broadcast; larger ones are shuffled.
+BROADCAST_NUMBERS = 1 << 20
+
+
+def small_or_shuffled(numbers: DataFrame, limit: int | None = None) -> DataFrame:
+    """A settled table of one number a row, marked for broadcast if it is counted as small."""
+    return F.broadcast(numbers) if numbers.count() <= (BROADCAST_NUMBERS if limit is None else limit) else numbers
+
+
 def crc32_ids(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4"))
+
+
+class Memo(dict):
+    """A function's values by text, in two generations: when the young one is full it becomes the old one.
+
+    Looking up costs no Python frame for a text that the young generation knows. Long texts aren't kept.
+    """
+
+    def __init__(self, make, limit: int, old: dict | None = None):
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, old or {}
+
+    def __missing__(self, text: str):
+        value = self.old.get(text)
+        if value is None:
+            value = self.make(text)
+        if len(text) <= 64:
+            self[text] = value
+        return value
+
+    def tidied(self) -> Memo:
+        if len(self) < self.limit:
+            return self
+        self.old = None
+        return Memo(self.make, self.limit, self)

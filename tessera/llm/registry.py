@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, line_dedup, packing, quality, token_counts, token_files, urls
+from . import bpe, exact_dedup, langid, line_dedup, near_join, packing, quality, token_counts, token_files, urls
 
 QUERIES = {
+    "op1_ngram_jaccard_join": near_join.op1_ngram_jaccard_join,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_packing": packing.op4_packing,
