@@ -24,8 +24,7 @@ from pyspark.sql import functions as F
 from . import common
 
 MIN_WORDS = 50
-_WORD = r"[^\x20\x09-\x0D]+"
-_BLANKS = " \t\n\x0b\f\r"
+WORD = r"[^\x20\x09-\x0D]+"
 #: The place of null ids in the order of documents: last.
 _LAST = 9223372036854775807
 
@@ -35,10 +34,6 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return common.id_and_text(docs, id_col, text_col).select("text", F.coalesce("doc_id", F.lit(_LAST)).alias("id"), F.xxhash64("text").alias("h"))
 
 
-def _has_word(line: Column) -> Column:
-    return F.trim(line, F.lit(_BLANKS)) != ""
-
-
 def _shortest(lines: Column, enough: int) -> Column:
     """How many of `lines` it takes, from the first on, to have `enough` words; null if all have fewer."""
     start = F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).alias("n"))
@@ -47,9 +42,9 @@ def _shortest(lines: Column, enough: int) -> Column:
 
 
 def _positions(docs: DataFrame, enough: int) -> DataFrame:
-    """id, h, seq (0, 1, ... over lines with a word), line hashes a and b, and the lengths of both windows."""
+    """id, h, seq (0, 1, ... over lines with a word), line (its number), line hashes a and b, and the lengths of both windows."""
     split = F.split("text", "\n", -1)
-    lines = F.transform(split, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), F.regexp_count(x, F.lit(_WORD)).cast("long").alias("w")))
+    lines = F.transform(split, lambda x, i: F.struct(i.alias("line"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), F.regexp_count(x, F.lit(WORD)).cast("long").alias("w")))
     # The one-element explode keeps the array from being computed anew for each use.
     held = docs.filter("text IS NOT NULL").select("id", "h", F.explode(F.array(F.filter(lines, lambda x: x["w"] > 0))).alias("ls"))
 
@@ -57,10 +52,10 @@ def _positions(docs: DataFrame, enough: int) -> DataFrame:
         first = F.greatest(i + 2 - enough, F.lit(1))
         up = F.when(x["w"] >= enough, 1).otherwise(_shortest(F.slice("ls", i + 1, enough), enough))
         down = F.when(x["w"] >= enough, 1).otherwise(_shortest(F.reverse(F.slice("ls", first, i + 2 - first)), enough))
-        return F.struct(x["a"].alias("a"), x["b"].alias("b"), up.alias("up"), down.alias("down"))
+        return F.struct(x["line"].alias("line"), x["a"].alias("a"), x["b"].alias("b"), up.alias("up"), down.alias("down"))
 
     held = held.select("id", "h", F.explode(F.array(F.transform("ls", windows))).alias("ls"))
-    return held.select("id", "h", F.posexplode("ls").alias("seq", "x")).select("id", "h", F.col("seq").cast("long").alias("seq"), "x.a", "x.b", "x.up", "x.down")
+    return held.select("id", "h", F.posexplode("ls").alias("seq", "x")).select("id", "h", F.col("seq").cast("long").alias("seq"), "x.line", "x.a", "x.b", "x.up", "x.down")
 
 
 def _ranked(names: DataFrame, keys: list[str]) -> DataFrame:
@@ -70,13 +65,13 @@ def _ranked(names: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _removed(keyed: DataFrame, min_words: int) -> DataFrame:
-    """id, h and seqs: the places, among a document's lines with a word, of the lines to delete."""
+    """id, h and gone: the numbers of the lines to delete in the documents that lose any."""
     every = common.settle(_positions(keyed, min_words), "lines")
     total = every.count()
     twice = _ranked(every.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), ["a", "b"])
     known = common.join_with_heavy(every, twice, ["a", "b"], "n", total).filter("name IS NOT NULL")
     # Rows that repeat a document meet here as one.
-    base = common.settle(known.groupBy("id", "h", "seq").agg(F.min("name").alias("rank"), F.min("up").alias("up"), F.min("down").alias("down")), "positions")
+    base = common.settle(known.groupBy("id", "h", "seq").agg(F.min("name").alias("rank"), F.min("line").alias("line"), F.min("up").alias("up"), F.min("down").alias("down")), "positions")
     level, size, k = base.select("id", "h", "seq", "rank"), 1, 0
     ranks = level.select(F.lit(0).alias("k"), "*")
     while 2 * size <= min_words:
@@ -101,15 +96,8 @@ def _removed(keyed: DataFrame, min_words: int) -> DataFrame:
     first = common.settle(first, "intervals")
     later = common.join_with_heavy(windows, first, interval, "n", max(1, windows.count())).filter(F.col("first").isNotNull() & (F.struct("id", "h", "seq") != F.col("first")))
     gone = later.select("id", "h", F.explode(F.sequence(F.col("seq"), F.col("seq") + F.col("size") - 1)).alias("seq"))
-    return common.settle(gone.groupBy("id", "h").agg(F.collect_set("seq").alias("seqs")), "removed")
-
-
-def _rebuilt(lines: Column, seqs: Column) -> Column:
-    """The lines that stay, joined."""
-    places = F.sequence(F.lit(0), F.size(lines) - 1)
-    worded = F.filter(places, lambda i: _has_word(lines[i]))
-    gone = F.transform(seqs, lambda q: worded[q.cast("int")])
-    return F.array_join(F.transform(F.array_except(places, gone), lambda i: lines[i]), "\n")
+    gone = gone.distinct().join(base.select("id", "h", "seq", "line"), ["id", "h", "seq"])
+    return common.settle(gone.groupBy("id", "h").agg(F.collect_list("line").alias("gone")), "removed")
 
 
 def rewrite(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,12 +108,16 @@ def rewrite(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id",
     Null texts stay null with 0 lines; null ids come last; rows that repeat both id and text count as
     one document and are rewritten alike; an empty table gives an empty table.
     """
-    removed = _removed(_keyed(docs, id_col, text_col), min_words).select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("seqs").alias("_seqs"))
+    removed = _removed(_keyed(docs, id_col, text_col), min_words).select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("gone").alias("_gone"))
     text = docs[text_col].cast("string")
     joined = docs.withColumns({"_id": F.coalesce(docs[id_col].cast("long"), F.lit(_LAST)), "_h": F.xxhash64(text)}).join(removed, ["_id", "_h"], "left")
     lines = F.split(F.col(text_col).cast("string"), "\n", -1)
-    new = F.when(F.col("_seqs").isNull(), F.col(text_col).cast("string")).otherwise(_rebuilt(lines, F.col("_seqs")))
-    numbers = {"_lines": F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long"), "_removed": F.coalesce(F.size("_seqs"), F.lit(0)).cast("long")}
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+    # The one-element explode makes the lines and the places that stay once for each row that loses any.
+    joined = joined.withColumn("_x", F.explode(F.array(F.when(F.col("_gone").isNotNull(), F.struct(lines.alias("lines"), stay.alias("stay"))))))
+    left = F.array_join(F.transform("_x.stay", lambda i: F.col("_x.lines")[i]), "\n")
+    new = F.when(F.col("_gone").isNull(), F.col(text_col).cast("string")).otherwise(left)
+    numbers = {"_lines": F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long"), "_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}
     out = joined.withColumns(numbers).withColumn("_text", new)
     return out.select(*[F.col("_text").alias(c) if c == text_col else F.col(c) for c in docs.columns], "_lines", "_removed")
 
