@@ -1,7 +1,58 @@
-"""Cleaning and packing of `documents`, stage by stage."""
-STAGES = []
+"""Cleaning and packing of `documents`: language, quality, repeated lines, near duplicates, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. A row whose
+text is null or has no letter goes in the first stage, so the later ones never meet it.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import common, langid, line_dedup, near_join, packing, quality
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in a language that the labelled ones teach; the model is fitted on `docs` itself."""
+    return langid.keep(docs, langid.learned(docs))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that pass the base test and all rules."""
+    return quality.keep(docs)
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Deletes later copies of repeated line runs; a document goes only if that leaves it without a word."""
+    out = line_dedup.rewrite(docs)
+    out = out.filter((F.col("_removed") == 0) | F.col("text").rlike(line_dedup.WORD))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays: the one of the smallest doc_id."""
+    return near_join.keep(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 4096 ids."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("quality_rules", quality_rules),
+    ("line_dedup", repeated_lines),
+    ("ngram_jaccard_join", near_duplicates),
+    ("packing", packed),
+]
+#: SQL expresses neither the model of the first stage nor packing; tests hold each stage to a brute-force twin.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = common.settle(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
