@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.let import let
@@ -123,20 +123,27 @@ def forward_plane(plane: Column) -> Column:
     return forward53(F.transform(plane, lambda row: forward53(row)), Rows)
 
 
-def inverse_levels(plane: Column, levels: int, line_filter: Callable = inverse53) -> Column:
-    """All levels, the smallest first; sizes halve upwards (ceil), odd ones too."""
+def inverse_levels(planes: DataFrame, column: str, levels: int, line_filter: Callable = inverse53) -> DataFrame:
+    """All levels of a plane column, the smallest first; sizes halve upwards (ceil), odd ones too.
+
+    Each level is a projection of its own: nested in one expression, the lambdas would exhaust the analyzer.
+    """
     for level in reversed(range(levels)):
+        planes = planes.withColumn(column, _one_level(F.col(column), 1 << level, line_filter))
+    return planes
+
+
+def _one_level(plane: Column, scale: int, line_filter: Callable) -> Column:
+    """The corner of ceil(size / scale) inverted, the rest of the plane as it is."""
 
-        def one(p: Column, level: int = level) -> Column:
-            scale = 1 << level
-            height = F.floor((F.size(p) + scale - 1) / scale).cast("int")
-            width = F.floor((F.size(p[0]) + scale - 1) / scale).cast("int")
-            corner = F.transform(F.slice(p, F.lit(1), height), lambda r: F.slice(r, F.lit(1), width))
+    def one(p: Column) -> Column:
+        height = F.floor((F.size(p) + scale - 1) / scale).cast("int")
+        width = F.floor((F.size(p[0]) + scale - 1) / scale).cast("int")
+        corner = F.transform(F.slice(p, F.lit(1), height), lambda r: F.slice(r, F.lit(1), width))
 
-            def merged(done: Column) -> Column:
-                return F.transform(p, lambda r, y: F.when(y < height, F.concat(done[F.least(y, height - 1)], F.slice(r, width + 1, F.size(r) - width))).otherwise(r))
+        def merged(done: Column) -> Column:
+            return F.transform(p, lambda r, y: F.when(y < height, F.concat(done[F.least(y, height - 1)], F.slice(r, width + 1, F.size(r) - width))).otherwise(r))
 
-            return let(inverse_plane(corner, line_filter), merged)
+        return let(inverse_plane(corner, line_filter), merged)
 
-        plane = let(plane, one)
-    return plane
+    return let(plane, one)
