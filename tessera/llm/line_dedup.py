@@ -110,7 +110,9 @@ def rewrite(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id",
     """
     removed = _removed(_keyed(docs, id_col, text_col), min_words).select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("gone").alias("_gone"))
     text = docs[text_col].cast("string")
-    joined = docs.withColumns({"_id": F.coalesce(docs[id_col].cast("long"), F.lit(_LAST)), "_h": F.xxhash64(text)}).join(removed, ["_id", "_h"], "left")
+    joined = docs.withColumns({"_id": F.coalesce(docs[id_col].cast("long"), F.lit(_LAST)), "_h": F.xxhash64(text)})
+    # What is removed grows with the corpus: shuffle for it at every size.
+    joined = joined.join(removed.hint("shuffle_merge"), ["_id", "_h"], "left")
     lines = F.split(F.col(text_col).cast("string"), "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
     # The one-element explode makes the lines and the places that stay once for each row that loses any.
