@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
+import time
 import uuid
 import zlib
 
@@ -34,14 +37,47 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     return os.path.join(root, f"tessera-{what}-{uuid.uuid4().hex}")
 
 
+#: Folders written by `settle`, innermost scope last; the first list holds what results still read.
+_written: list[list[str]] = [[]]
+
+
 def settle(df: DataFrame, what: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark, what)
+    _written[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables settled inside go at the end, but for those settled by the function that it yields."""
+    _written.append([])
+
+    def keep(df: DataFrame, what: str) -> DataFrame:
+        out = settle(df, what)
+        _written[-2].append(_written[-1].pop())
+        return out
+
+    try:
+        yield keep
+    finally:
+        _delete(spark, _written.pop())
+
+
+def discard(spark: SparkSession) -> None:
+    """Deletes the tables that results of this session read; call it when those are no longer needed."""
+    _delete(spark, _written[0])
+    _written[0].clear()
+
+
 def chunks(batch: pa.RecordBatch, limit: int = 4 << 20):
     """Slices of a batch whose `text` has about `limit` bytes (one row at least)."""
     text = batch.column("text")
@@ -56,6 +92,38 @@ def chunks(batch: pa.RecordBatch, limit: int = 4 << 20):
         at = stop
 
 
+_trimmed = 0.0
+
+
+def trim(force: bool = False) -> None:
+    """Gives memory that this Python worker has freed back to the system, once a second at most.
+
+    Workers live on between tasks and stages; what their allocators hold back adds up on an executor.
+    """
+    global _trimmed
+    now = time.monotonic()
+    if not force and now - _trimmed < 1:
+        return
+    _trimmed = now
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run):
+    """A batch function for mapInArrow that trims its worker as it goes and at its end."""
+
+    def tidied(batches):
+        try:
+            for out in run(batches):
+                yield out
+                trim()
+        finally:
+            trim(force=True)
+
+    return tidied
+
+
 def map_chunks(df: DataFrame, function, schema: str, limit: int = 4 << 20) -> DataFrame:
     """mapInArrow over slices of bounded text; `function` takes and returns a RecordBatch.
 
@@ -68,7 +136,7 @@ def map_chunks(df: DataFrame, function, schema: str, limit: int = 4 << 20) -> Da
             for part in chunks(batch, limit):
                 yield function(part, state) if state is not None else function(part)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def join_with_heavy(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, share: int = 1024) -> DataFrame:

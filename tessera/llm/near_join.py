@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from . import common
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999
-POSITIONS, BUCKET, DEPTH = 64, 512, 3
+POSITIONS, BUCKET, DEPTH = 64, 1024, 3
+#: Nodes of so few members are handled many at a time, about BATCH rows.
+SMALL, BATCH = 32, 512
 _GOLDEN, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BLANK = np.zeros(256, bool)
 _BLANK[list(common.BLANKS)] = True
@@ -66,25 +68,46 @@ def word_hashes(data: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
     return starts, _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _GOLDEN)
 
 
-def shingles(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
+def _pieces(data: list[bytes], limit: int):
+    """(document, bytes) in runs of at most about `limit` bytes; a longer document is cut at a blank."""
+    run, size = [], 0
+    for d, body in enumerate(data):
+        at = 0
+        while at < len(body):
+            end = min(len(body), at + limit)
+            while end < len(body) and body[end] not in common.BLANKS:
+                end += 1
+            run.append((d, body[at:end]))
+            size += end - at
+            at = end
+            if size >= limit:
+                yield run
+                run, size = [], 0
+    if run:
+        yield run
+
+
+def shingles(texts: list[str | None], words: int = WORDS, limit: int = 1 << 19) -> list[np.ndarray]:
     """Sorted distinct n-gram hashes of each text; a text of fewer words is one gram, one without words is empty."""
     data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    joined = np.frombuffer(b"\n".join(data), np.uint8)
-    starts, hashes = word_hashes(joined, 1)
-    ends = np.cumsum([len(d) + 1 for d in data])
-    cuts = np.searchsorted(starts, ends)
-    out, at = [], 0
-    for cut in cuts.tolist():
-        own = hashes[at:cut]
-        at = cut
-        if len(own):
-            n = max(1, len(own) - words + 1)
-            grams = np.full(n, np.uint64(min(words, len(own))), np.uint64)
-            for k in range(min(words, len(own))):
-                grams = _mix(grams * _GOLDEN + own[k : k + n])
-            own = np.unique(grams)
-        out.append(own)
-    return out
+    own: list[list[np.ndarray]] = [[] for _ in data]
+    for run in _pieces(data, limit):
+        starts, hashes = word_hashes(np.frombuffer(b"\n".join(body for _, body in run), np.uint8), 1)
+        cuts = np.searchsorted(starts, np.cumsum([len(body) + 1 for _, body in run]))
+        for (d, _), a, b in zip(run, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+            own[d].append(hashes[a:b])
+    return [_grams(np.concatenate(parts) if parts else np.zeros(0, np.uint64), words) for parts in own]
+
+
+def _grams(hashes: np.ndarray, words: int) -> np.ndarray:
+    size = min(words, len(hashes))
+    if not size:
+        return hashes
+    n = len(hashes) - size + 1
+    grams = np.full(n, np.uint64(size), np.uint64)
+    for k in range(size):
+        grams = _mix(grams * _GOLDEN + hashes[k : k + n])
+    return np.unique(grams)
 
 
 def _seeds() -> tuple[np.ndarray, np.ndarray]:
@@ -153,93 +176,151 @@ def _agreeing(similarity: float) -> int:
     return math.floor(similarity * POSITIONS - 5 * math.sqrt(POSITIONS * similarity * (1 - similarity)))
 
 
-def _block_pairs(table: pa.Table, similarity: float):
-    """mask[i, j], i before j: pairs of a node's members, or of two of its blocks, to look at here."""
-    signs = table.column("sign").combine_chunks().flatten().to_numpy().reshape(table.num_rows, POSITIONS)
-    sizes = table.column("size").to_numpy().astype(np.int64)
-    blocks = table.column("block").to_numpy()
-    pair = table.column("pair")[0].as_py()
-    n = len(sizes)
+def _alike(signs: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Mask of the pairs i < j that agree in enough positions and whose sizes allow the similarity."""
+    n = len(signs)
     agree = np.zeros((n, n), np.uint8)
     for k in range(POSITIONS):
         agree += signs[:, k][:, None] == signs[:, k][None, :]
     mask = np.triu(agree >= _agreeing(similarity), 1)
-    mask &= np.minimum(sizes[:, None], sizes[None, :]) >= similarity * np.maximum(sizes[:, None], sizes[None, :]) - 1e-9
-    second = (math.isqrt(8 * pair + 1) - 1) // 2 if pair >= 0 else 0
-    if pair >= 0 and pair != second * (second + 3) // 2:  # two blocks: pairs within one are met elsewhere
-        mask &= blocks[:, None] != blocks[None, :]
-    if not mask.any():
-        return mask
-    # Only in the first node that both have reached.
-    node = table.column("node")[0].as_py()
-    paths = [np.asarray(x.as_py(), np.int64) for x in table.column("paths")]
+    return mask & (np.minimum(sizes[:, None], sizes[None, :]) >= similarity * np.maximum(sizes[:, None], sizes[None, :]) - 1e-9)
+
+
+def _first_met(mask: np.ndarray, node: int, paths: list[np.ndarray]) -> np.ndarray:
+    """Without the pairs that have met in a node before this one."""
     earlier = [p[p < node] for p in paths]
-    flat = np.concatenate(earlier)
-    if len(flat):
-        names, at = np.unique(flat, return_inverse=True)
-        owner = np.repeat(np.arange(n), [len(p) for p in earlier])
-        for lo in range(0, len(names), 4096):
-            part = (at >= lo) & (at < lo + 4096)
-            member = np.zeros((n, min(4096, len(names) - lo)), np.float32)
-            member[owner[part], at[part] - lo] = 1
-            mask &= (member @ member.T) == 0
+    flat, n = np.concatenate(earlier), len(paths)
+    if not len(flat):
+        return mask
+    names, at = np.unique(flat, return_inverse=True)
+    owner = np.repeat(np.arange(n), [len(p) for p in earlier])
+    for lo in range(0, len(names), 1024):
+        part = (at >= lo) & (at < lo + 1024)
+        member = np.zeros((n, min(1024, len(names) - lo)), np.float32)
+        member[owner[part], at[part] - lo] = 1
+        mask &= (member @ member.T) == 0
     return mask
 
 
+def _pairs(table: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a table of one or more nodes that are candidates, each pair once over all tasks."""
+    signs = table.column("sign").combine_chunks().flatten().to_numpy().reshape(table.num_rows, POSITIONS)
+    sizes = table.column("size").to_numpy().astype(np.int64)
+    nodes, blocks, pairs = (table.column(c).to_numpy() for c in ("node", "block", "pair"))
+    paths = table.column("paths").combine_chunks()
+    path_ends, path_names = paths.offsets.to_numpy(), paths.values.to_numpy()
+    second = ((np.sqrt(8.0 * np.maximum(pairs, 0) + 1) - 1) // 2).astype(np.int64)
+    across = (pairs >= 0) & (pairs != second * (second + 3) // 2)  # of two blocks: pairs within one are met elsewhere
+    order = np.lexsort((pairs, nodes))
+    edge = np.flatnonzero(np.concatenate([[True], (np.diff(nodes[order]) != 0) | (np.diff(pairs[order]) != 0)]))
+    count = np.diff(np.append(edge, len(order)))
+    left, right = [], []
+    # Small nodes together: rows at each distance within the same node.
+    small = order[np.repeat(count <= SMALL, count)]
+    for gap in range(1, int(count[count <= SMALL].max(initial=1))):
+        i, j = small[:-gap], small[gap:]
+        same = (nodes[i] == nodes[j]) & (pairs[i] == pairs[j]) & (~across[i] | (blocks[i] != blocks[j]))
+        i, j = i[same], j[same]
+        near = (signs[i] == signs[j]).sum(1) >= _agreeing(similarity)
+        near &= np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j]) - 1e-9
+        i, j = i[near], j[near]
+        if len(i):
+            own = {r: set(path_names[path_ends[r] : path_ends[r + 1]].tolist()) for r in np.unique(np.concatenate([i, j])).tolist()}
+            met = np.array([min(own[a] & own[b]) == node for a, b, node in zip(i.tolist(), j.tolist(), nodes[i].tolist(), strict=True)])
+            left.append(i[met])
+            right.append(j[met])
+    for at, n in zip(edge.tolist(), count.tolist(), strict=True):
+        if n <= SMALL:
+            continue
+        rows = np.sort(order[at : at + n])
+        mask = _alike(signs[rows], sizes[rows], similarity)
+        if across[rows[0]]:
+            mask &= blocks[rows][:, None] != blocks[rows][None, :]
+        if mask.any():
+            mask = _first_met(mask, int(nodes[rows[0]]), [path_names[path_ends[r] : path_ends[r + 1]] for r in rows.tolist()])
+        i, j = np.nonzero(mask)
+        left.append(rows[i])
+        right.append(rows[j])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
 def _candidates(similarity: float):
-    """Members of a node that have a candidate to verify here."""
+    """Members of nodes that have a candidate to verify there."""
 
     def run(table: pa.Table) -> pa.Table:
-        mask = _block_pairs(table, similarity) if table.num_rows > 1 else np.zeros((1, 1), bool)
-        near = table.filter(pa.array(mask.any(0) | mask.any(1)))
+        common.trim()
+        near = table.take(pa.array(np.unique(np.concatenate(_pairs(table, similarity)))))
         return near.cast(pa.schema([(f.name, pa.list_(f.type.value_type) if pa.types.is_list(f.type) else f.type) for f in near.schema]))
 
     return run
 
 
 def _verify(similarity: float, words: int):
-    """Links of a node's members on whole n-gram sets, and the smallest class each is connected with."""
+    """Links of nodes' members on whole n-gram sets, and the smallest class each is connected with."""
 
     def run(table: pa.Table) -> pa.Table:
-        n = table.num_rows
-        links, roots = np.zeros(n, np.int64), np.arange(n)
+        common.trim()
         ids, weights = table.column("class").to_numpy(), table.column("weight").to_numpy()
-        if n > 1:
-            sets = shingles(table.column("text").to_pylist(), words)
-            if any(xxhash.xxh3_128_digest(x) != k.as_py() for x, k in zip(sets, table.column("key"), strict=True)):
-                raise ValueError("the documents differ between two reads of the table")
-            left, right = np.nonzero(_block_pairs(table, similarity))
-            common_grams = _overlaps(sets, left, right)
-            sizes = np.array([len(s) for s in sets])
-            linked = common_grams >= similarity * (sizes[left] + sizes[right] - common_grams) - 1e-9
-            left, right = left[linked], right[linked]
-            np.add.at(links, left, weights[right])
-            np.add.at(links, right, weights[left])
-            roots = _connected(ids, left, right)
+        links = np.zeros(table.num_rows, np.int64)
+        left, right = _pairs(table, similarity)
+        firsts, row_set = np.unique(ids, return_index=True, return_inverse=True)[1:]
+        sets = shingles([table.column("text")[int(r)].as_py() for r in firsts], words)
+        if any(xxhash.xxh3_128_digest(x) != table.column("key")[int(r)].as_py() for x, r in zip(sets, firsts, strict=True)):
+            raise ValueError("the documents differ between two reads of the table")
+        common_grams = _overlaps(sets, row_set[left], row_set[right])
+        sizes = np.array([len(s) for s in sets])[row_set]
+        linked = common_grams >= similarity * (sizes[left] + sizes[right] - common_grams) - 1e-9
+        left, right = left[linked], right[linked]
+        np.add.at(links, left, weights[right])
+        np.add.at(links, right, weights[left])
+        roots = _connected(ids, left, right)
         return pa.table({"class": pa.array(ids, pa.int64()), "links": pa.array(links, pa.int64()), "root": pa.array(ids[roots], pa.int64())})
 
     return run
 
 
 def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Common grams of each pair: one by one if they are few, else by products of incidence blocks."""
+    """Common grams of each pair; pairs that hang together are handled together, one group after another."""
+    out = np.zeros(len(left), np.int64)
+    group = _connected(np.arange(len(sets)), left, right)[left]
+    order = np.argsort(group, kind="stable")
+    for pairs in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+        members, place = np.unique(np.concatenate([left[pairs], right[pairs]]), return_inverse=True)
+        i, j = place[: len(pairs)], place[len(pairs) :]
+        own = [sets[m] for m in members.tolist()]
+        if len(pairs) <= 8 * len(own):
+            out[pairs] = [len(np.intersect1d(own[a], own[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+        else:
+            out[pairs] = _products(own)[i, j]
+    return out
+
+
+def _products(sets: list[np.ndarray], step: int = 1 << 20, width: int = 1 << 22) -> np.ndarray:
+    """Common grams of all pairs, by products of incidence blocks over ranges of about `step` grams."""
     n = len(sets)
-    if len(left) <= 8 * n:
-        return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(left, right, strict=True)], np.int64)
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
-    _, gram, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = count[gram] > 1
-    names, gram = np.unique(gram[shared], return_inverse=True)
-    owner = owner[shared]
-    order = np.argsort(gram, kind="stable")
-    gram, owner = gram[order], owner[order]
-    both = np.zeros((n, n), np.float32)
-    for lo in range(0, len(names), 8192):
-        a, b = np.searchsorted(gram, [lo, lo + 8192])
-        part = np.zeros((n, min(8192, len(names) - lo)), np.float32)
-        part[owner[a:b], gram[a:b] - lo] = 1
-        both += part @ part.T
-    return both[left, right].astype(np.int64)
+    both = np.zeros((n, n), np.float32)  # exact: no set has 2**24 grams in a range
+    ranges = 1 + sum(map(len, sets)) // step
+    edges = np.array([k * (1 << 64) // ranges for k in range(1, ranges)], np.uint64)
+    cuts = [np.concatenate([[0], np.searchsorted(s, edges), [len(s)]]) for s in sets]
+    total = np.zeros((n, n), np.int64)
+    for k in range(ranges):
+        parts = [s[c[k] : c[k + 1]] for s, c in zip(sets, cuts, strict=True)]
+        owner = np.repeat(np.arange(n), [len(x) for x in parts])
+        _, gram, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        shared = count[gram] > 1
+        names, gram = np.unique(gram[shared], return_inverse=True)
+        owner = owner[shared]
+        order = np.argsort(gram, kind="stable")
+        gram, owner, wide = gram[order], owner[order], max(64, width // n)
+        both[:] = 0
+        for lo in range(0, len(names), wide):
+            a, b = np.searchsorted(gram, [lo, lo + wide])
+            part = np.zeros((n, min(wide, len(names) - lo)), np.float32)
+            part[owner[a:b], gram[a:b] - lo] = 1
+            both += part @ part.T
+        total += both.astype(np.int64)
+    return total
 
 
 def _connected(ids: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -277,7 +358,7 @@ def _edges_to_classes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _nodes(classes: DataFrame, similarity: float, recall: float) -> DataFrame:
-    """node, class, block, pair: members of the nodes to compare by brute force, larger nodes in pairs of blocks."""
+    """node, class, block, pair, task: members of the nodes to compare by brute force, larger nodes in pairs of blocks."""
     signs = classes.select("class", "sign")
     # All runs start from the same root, so their chosen positions are known beforehand: a row for each run.
     roots = classes.sparkSession.range(runs_needed(similarity, recall)).select(F.xxhash64(F.lit("run"), "id").alias("path"))
@@ -295,37 +376,31 @@ def _nodes(classes: DataFrame, similarity: float, recall: float) -> DataFrame:
         done = small if done is None else done.unionByName(small)
         level = large.select("class", "node").join(signs, "class").select("class", F.explode(_chosen(F.col("node"), similarity)).alias("node"))
     # A node that stays large is compared in blocks: a class meets every block of its node once.
-    count = F.ceil(F.col("n") / (BUCKET / 2)).cast("int")
-    parts = done.withColumn("blocks", F.when(F.col("n") <= BUCKET, 1).otherwise(count)).withColumn("block", F.pmod(F.xxhash64("class", "node"), F.col("blocks")).cast("int"))
-    whole = parts.filter("blocks = 1").select("node", "class", "block", F.lit(-1).alias("pair"))
+    parts = done.withColumn("blocks", F.ceil(F.col("n") / BUCKET).cast("int")).withColumn("block", F.pmod(F.xxhash64("class", "node"), F.col("blocks")).cast("int"))
+    whole = parts.filter("blocks = 1").withColumn("pair", F.lit(-1))
     split = parts.filter("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     first, second = F.least("block", "other"), F.greatest("block", "other")
-    return whole.unionByName(split.select("node", "class", "block", (second * (second + 1) / 2 + first).cast("int").alias("pair")))
-
+    parts = whole.unionByName(split.withColumn("pair", (second * (second + 1) / 2 + first).cast("int")).drop("other"))
+    parts = common.settle(parts.select("node", "class", "block", "pair", "n"), "leaves")
+    batches = 1 + parts.count() // BATCH
+    task = F.when(F.col("n") <= SMALL, F.pmod(F.xxhash64("node"), F.lit(batches))).otherwise(F.xxhash64("node", "pair"))
+    return parts.select("node", "class", "block", "pair", task.alias("task"))
 
-def join(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row (its number), class_id, n_links and kept for every row.
 
-    Links join rows whose sets of `words`-grams have a Jaccard similarity of at least `similarity`; a
-    class is a connected component of links, named by its smallest doc_id; n_links counts all other
-    rows linked with this one, equal texts among them; of a class the row of the smallest doc_id, then
-    the first in the table, is kept. Texts of fewer words than a gram are one gram;
-    null texts and texts without a word have no link and are classes of their own, named by their own
-    doc_id. Rows that repeat an id are rows like others; a null id is the largest, and names a class
-    only if all ids in it are null (class_id is then null). An empty table gives an empty table.
-    """
-    rows, classes = _classes(docs, words, id_col, text_col)
-    nodes = common.settle(_nodes(classes, similarity, recall), "leaves")
+def _linked(docs: DataFrame, rows: DataFrame, similarity: float, words: int, recall: float, id_col: str, text_col: str) -> DataFrame:
+    """key, weight, first (the lead of the component) and n_links of every class of equal sets."""
+    classes = _classes(rows)
+    nodes = _nodes(classes, similarity, recall)
     paths = nodes.groupBy("class").agg(F.collect_set("node").alias("paths"))
     members = nodes.join(classes.select("class", "size", "sign").join(paths, "class"), "class")
-    slim = "node long, class long, block int, pair int, size int, sign array<int>, paths array<long>"
+    slim = "task long, node long, class long, block int, pair int, size int, sign array<int>, paths array<long>"
     members = members.select(*[c.split()[0] for c in slim.split(", ")])
-    near = common.settle(members.groupBy("node", "pair").applyInArrow(_candidates(similarity), slim), "candidates")
+    near = common.settle(members.groupBy("task").applyInArrow(_candidates(similarity), slim), "candidates")
 
     wanted = common.settle(near.select("class").distinct(), "wanted")
     texts = _numbered(docs, id_col, text_col).join(common.small_or_shuffled(wanted), F.col("row") == F.col("class")).select("class", "text")
     near = near.join(classes.select("class", "key", "weight"), "class").join(texts, "class")
-    found = common.settle(near.groupBy("node", "pair").applyInArrow(_verify(similarity, words), "class long, links long, root long"), "links")
+    found = common.settle(near.groupBy("task").applyInArrow(_verify(similarity, words), "class long, links long, root long"), "links")
 
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
     edges = found.filter("class <> root").select("class", "root")
@@ -335,7 +410,23 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, re
     # Classes of one document set stand for themselves; the others take the least lead of their component.
     leads = common.settle(named.groupBy("label").agg(F.min("lead").alias("first"), F.count(F.lit(1)).alias("n")), "leads")
     named = common.join_with_heavy(named, leads, ["label"], "n", max(1, classes.count()))
-    named = common.settle(named.select("key", "weight", "first", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "named")
+    return named.select("key", "weight", "first", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+
+
+def join(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, row (its number), class_id, n_links and kept for every row.
+
+    Links join rows whose sets of `words`-grams have a Jaccard similarity of at least `similarity`; a
+    class is a connected component of links, named by its smallest doc_id; n_links counts all other
+    rows linked with this one, equal texts among them; of a class the row of the smallest doc_id, then
+    the first in the table, is kept. Texts of fewer words than a gram are one gram;
+    null texts and texts without a word have no link and are classes of their own, named by their own
+    doc_id. Rows that repeat an id are rows like others; a null id is the largest, and names a class
+    only if all ids in it are null (class_id is then null). An empty table gives an empty table.
+    """
+    rows = _sketches(docs, words, id_col, text_col)
+    with common.scratch(docs.sparkSession) as keep_table:
+        named = keep_table(_linked(docs, rows, similarity, words, recall, id_col, text_col), "named")
     out = common.join_with_heavy(rows.select("doc_id", "row", "key"), named, ["key"], "weight", max(1, rows.count()))
     alone = F.col("first").isNull()
     return out.select(
@@ -356,14 +447,16 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return common.id_and_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
 
 
-def _classes(docs: DataFrame, words: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Rows with the hash of their set, and the classes of equal sets, named by a row."""
+def _sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     schema = "doc_id long, row long, key binary, size int, sign array<int>"
-    rows = common.settle(common.map_chunks(_numbered(docs, id_col, text_col), Sketch(words), schema), "sketches")
+    return common.settle(common.map_chunks(_numbered(docs, id_col, text_col), Sketch(words), schema, 1 << 20), "sketches")
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """Classes of equal sets, named by a row. Equal sets have equal min-hashes, so any of them will do."""
     lead = F.min(F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), "row")).alias("lead")
-    # Equal sets have equal min-hashes, so any of them will do.
     classes = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("row").alias("class"), F.count(F.lit(1)).alias("weight"), lead, F.first("size").alias("size"), F.first("sign").alias("sign"))
-    return rows, common.settle(classes, "classes")
+    return common.settle(classes, "classes")
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

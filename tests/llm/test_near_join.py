@@ -53,6 +53,7 @@ def corpus(seed, families=12, noise=60):
 @pytest.mark.parametrize(("seed", "bucket"), [(1, 512), (2, 4)])
 def test_against_all_pairs(spark, monkeypatch, seed, bucket):
     monkeypatch.setattr(near_join, "BUCKET", bucket)
+    monkeypatch.setattr(near_join, "SMALL", 32 if bucket > 32 else 2)
     rows = corpus(seed)
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, class string").coalesce(1)
     got = sorted(near_join.join(docs).collect(), key=lambda r: r.row)
@@ -67,6 +68,7 @@ def test_against_all_pairs(spark, monkeypatch, seed, bucket):
 
 def test_large_node_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_join, "BUCKET", 8)
+    monkeypatch.setattr(near_join, "SMALL", 3)
     rng = random.Random(5)
     base = [f"w{i}" for i in range(120)]
     rows = []
@@ -92,9 +94,17 @@ def test_shingles_and_parts():
     sets = near_join.shingles(texts)
     assert [len(s) for s in sets] == [3, 0, 1, 3, 3, 2, 4]
     assert (sets[0] == sets[4]).all() and len(np.intersect1d(sets[0], sets[6])) == 3
+    for a, b in zip(near_join.shingles(texts, limit=3), sets, strict=True):
+        assert a.tolist() == b.tolist()
     rng = np.random.default_rng(0)
     many = [np.unique(rng.integers(0, 400, 90).astype(np.uint64)) for _ in range(30)]
     left, right = np.triu_indices(30, 1)
     direct = [len(np.intersect1d(many[i], many[j])) for i, j in zip(left, right, strict=True)]
     assert near_join._overlaps(many, left, right).tolist() == direct
+    spread = [near_join._mix(x) for x in many]
+    spread = [np.sort(x) for x in spread]
+    assert near_join._products(spread, step=100, width=1000)[left, right].tolist() == direct
+    few = np.array([0, 2, 4, 9]), np.array([1, 3, 5, 10])
+    assert near_join._overlaps(many, *few).tolist() == [direct[np.flatnonzero((left == i) & (right == j))[0]] for i, j in zip(*few, strict=True)]
+    assert near_join._overlaps(many, few[0][:0], few[1][:0]).tolist() == []
     assert near_join._connected(np.array([30, 10, 20, 5, 7]), np.array([0, 1]), np.array([1, 2])).tolist() == [1, 1, 1, 3, 4]
