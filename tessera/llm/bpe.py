@@ -176,15 +176,14 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Coder:
     """Encoder and decoder over a file of ranks, with a bounded cache of pieces."""
 
-    def __init__(self, path: str, cache_size: int = 400_000):
+    def __init__(self, path: str, cache_size: int = 200_000):
         self.ranks = load_ranks(path)
         self.bytes_of = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
         self.size_of = np.fromiter(map(len, self.bytes_of), np.int64, len(self.bytes_of))
         self.decimal = [str(i) for i in range(len(self.bytes_of))]
-        self.cache: dict[str, bytes] = {}
-        self.cache_size = cache_size
+        self.cache = common.Memo(lambda piece: np.array(self.merge(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes(), cache_size)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece: always merge the adjacent pair of least rank, leftmost first."""
@@ -231,17 +230,8 @@ class Coder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as unsigned 32-bit arrays."""
         cut, counts = pieces(texts)
-        cache = self.cache
-        if len(cache) > self.cache_size:
-            cache.clear()
-        packed = []
-        for piece in cut:
-            ids = cache.get(piece)
-            if ids is None:
-                ids = np.array(self.merge(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes()
-                if len(piece) <= 64:
-                    cache[piece] = ids
-            packed.append(ids)
+        self.cache = self.cache.tidied()
+        packed = list(map(self.cache.__getitem__, cut))
         out, at = [], 0
         for n in counts.tolist():
             out.append(np.frombuffer(b"".join(packed[at : at + n]), "<u4"))
@@ -256,6 +246,12 @@ class Coder:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+@functools.cache
+def loaded(path: str) -> Coder:
+    """One coder for each Python worker: its cache serves all tasks that the worker runs."""
+    return Coder(path)
+
+
 class Encode:
     """Batch function of `encode`: ids and the byte offset of each, packed little-endian."""
 
@@ -263,7 +259,7 @@ class Encode:
         self.path = path
 
     def start(self) -> Coder:
-        return Coder(self.path)
+        return loaded(self.path)
 
     def __call__(self, batch: pa.RecordBatch, coder: Coder) -> pa.RecordBatch:
         ids = coder.encode([t or "" for t in batch.column("text").to_pylist()])
@@ -291,7 +287,7 @@ class Decode:
         self.path = path
 
     def start(self) -> Coder:
-        return Coder(self.path)
+        return loaded(self.path)
 
     def __call__(self, batch: pa.RecordBatch, coder: Coder) -> pa.RecordBatch:
         texts = [coder.decode(np.frombuffer(x or b"", "<u4").tolist()) for x in batch.column("ids").to_pylist()]
@@ -308,7 +304,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 yield work(batch.slice(at, 256), coder)
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
+    return encoded.select("doc_id", "ids").mapInArrow(common.tidy(run), "doc_id long, bytes binary")
 
 
 class RoundTrip:
@@ -318,7 +314,7 @@ class RoundTrip:
         self.path = path
 
     def start(self) -> Coder:
-        return Coder(self.path)
+        return loaded(self.path)
 
     def __call__(self, batch: pa.RecordBatch, coder: Coder) -> pa.RecordBatch:
         counts, named, decoded = [], [], []

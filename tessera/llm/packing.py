@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from . import common
-from .word_tokens import WordTokens
+from .word_tokens import loaded
 
 #: Lengths that one window's subset-sum looks at: more only help when those can't fill the window.
 BREADTH = 64
@@ -149,7 +149,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096,
     """
 
     def run(batches):
-        tokens, packer = WordTokens(tokenizer), Packer(capacity, pool)
+        tokens, packer = loaded(tokenizer), Packer(capacity, pool)
         end = np.array([end_id], "<u4").tobytes()
         first, n, out = TaskContext.get().partitionId() << 40, 0, []
 
@@ -173,7 +173,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096,
         if out:
             yield _rows(out, keep_ids)
 
-    return common.id_and_text(docs, id_col, text_col).mapInArrow(run, SCHEMA + (", ids binary" if keep_ids else ""))
+    return common.id_and_text(docs, id_col, text_col).mapInArrow(common.tidy(run), SCHEMA + (", ids binary" if keep_ids else ""))
 
 
 def _rows(out: list[tuple], keep_ids: bool) -> pa.RecordBatch:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .word_tokens import WordTokens
+from .word_tokens import loaded
 
 BLOCK = 512
 
@@ -28,14 +28,14 @@ def histogram(docs: DataFrame, tokenizer: str, extra: int = 0, text_col: str = "
     """
 
     def run(batches):
-        tokens = WordTokens(tokenizer)
+        tokens = loaded(tokenizer)
         found: Counter[int] = Counter()
         for batch in batches:
             found.update(len(tokens.encode(t or "")) // 4 + extra for t in batch.column("text").to_pylist())
         if found:
             yield pa.RecordBatch.from_pydict({"n_tokens": pa.array(list(found), pa.int64()), "n_docs": pa.array(list(found.values()), pa.int64())})
 
-    counted = docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(run, "n_tokens long, n_docs long")
+    counted = docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(common.tidy(run), "n_tokens long, n_docs long")
     return counted.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .word_tokens import WordTokens
+from .word_tokens import loaded
 
 MAGIC = b"TSRTOK01"
 _FRAME = struct.Struct("<QQQQI")
@@ -139,7 +139,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, shards: i
 
     def save(batches):
         writer = stream = None
-        tokens = WordTokens(tokenizer)
+        tokens = loaded(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         name = f"shard-{TaskContext.get().partitionId():06d}.tok"
         fs, place = _filesystem(path)
@@ -157,7 +157,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, shards: i
             fs.move(draft, f"{place}/{name}")
             yield pa.RecordBatch.from_pydict({"name": [name], "documents": pa.array([len(writer.ids)], pa.int64()), "ids": pa.array([sum(writer.counts)], pa.int64())})
 
-    done = rows.mapInArrow(save, "name string, documents long, ids long").collect()  # a row for each shard
+    done = rows.mapInArrow(common.tidy(save), "name string, documents long, ids long").collect()  # a row for each shard
     return [(f"{path}/{r['name']}", r["documents"], r["ids"]) for r in sorted(done, key=lambda r: r["name"])]
 
 
@@ -181,7 +181,7 @@ def read(spark: SparkSession, shards: list[tuple[str, int, int]]) -> DataFrame:
                 if out:
                     yield _rows(out)
 
-    return plan.mapInArrow(scan, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return plan.mapInArrow(common.tidy(scan), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:

@@ -7,16 +7,21 @@ one) and handed piece by piece to the library's model; all others go through the
 
 from __future__ import annotations
 
+import functools
 import json
 import re
+import struct
 
 import numpy as np
 import regex
 from tokenizers import Tokenizer
 
+from .common import Memo
+
 #: str.split() also cuts at these, which the tokenizer's \\s does not: such texts go to the library whole.
-_ODD_BLANKS = re.compile("[\x1c-\x1f]")
+_ODD_BLANKS = "\x1c\x1d\x1e\x1f"
 _PLAIN = re.compile("[\x00-\xff]*").fullmatch
+_packed = struct.Struct("<I").pack
 
 
 def _byte_letters() -> dict[int, str]:
@@ -27,9 +32,9 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordTokens:
-    """Ids of texts; the caches hold packed ids of chunks and pieces and are emptied when full."""
+    """Ids of texts; the caches hold packed ids of chunks and pieces."""
 
-    def __init__(self, path: str, cache_size: int = 400_000):
+    def __init__(self, path: str, cache_size: int = 200_000):
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         spec = json.loads(self.library.to_str())
@@ -40,47 +45,30 @@ class WordTokens:
         self.cut = regex.compile(split["pattern"]["Regex"]).findall
         self.model = self.library.model
         self.letters = _byte_letters()
-        self.chunks: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.cache_size = cache_size
+        self.chunks = Memo(self._chunk, cache_size)
+        self.parts = Memo(self._part, cache_size)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _part(self, part: str) -> bytes:
+        word = part.encode().decode("latin-1").translate(self.letters)
+        return b"".join([_packed(t.id) for t in self.model.tokenize(word)])
+
     def _chunk(self, chunk: str) -> bytes:
-        if not _PLAIN(chunk):
+        if not chunk.isascii() and not _PLAIN(chunk):
             return self._whole(chunk)
-        out = []
-        for part in self.cut(chunk.lower()):
-            ids = self.parts.get(part)
-            if ids is None:
-                word = part.encode().decode("latin-1").translate(self.letters)
-                ids = np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
-                if len(part) <= 64:
-                    self.parts[part] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.parts.__getitem__, self.cut(chunk.lower())))
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, packed as unsigned 32-bit little-endian integers."""
-        if _ODD_BLANKS.search(text):
+        if any(c in text for c in _ODD_BLANKS):
             return self._whole(text)
-        known = self.chunks
-        if len(known) > self.cache_size:
-            known.clear()
-        if len(self.parts) > self.cache_size:
-            self.parts.clear()
-        words = text.split()
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        out = []
-        for word in words:
-            ids = known.get(word)
-            if ids is None:
-                ids = self._chunk(word)
-                if len(word) <= 64:
-                    known[word] = ids
-            out.append(ids)
-        return b"".join(out)
+        self.chunks, self.parts = self.chunks.tidied(), self.parts.tidied()
+        return b"".join(map(self.chunks.__getitem__, text.split()))
+
+
+@functools.cache
+def loaded(path: str) -> WordTokens:
+    """One tokenizer for each Python worker: its caches serve all tasks that the worker runs."""
+    return WordTokens(path)
