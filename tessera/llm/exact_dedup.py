@@ -144,6 +144,24 @@ class Normalise:
         return pa.RecordBatch.from_pydict({"print": pa.array([_signed(xxhash.xxh3_64_intdigest(p)) for p in plain], pa.int64()), "plain": pa.array(plain, pa.binary()), "points": pa.array([len(t or "") for t in texts], pa.int64()), "doc_id": batch.column("doc_id"), "row": batch.column("row")})
 
 
+def _groups(rows: DataFrame, slim: DataFrame, broadcast_fingerprints: int) -> DataFrame:
+    """sha, group_size, keep_id and keep_row of the groups of two rows or more, compared by their bytes."""
+    spark = rows.sparkSession
+    filters = slim.select("print").mapInArrow(common.tidy(_build), "range int, filter binary")
+    twice = common.settle(filters.groupBy("range").applyInArrow(_merge, "print long, n long"), "twice")
+    n_twice = twice.count()
+    schema = "print long, plain binary, points long, doc_id long, row long"
+    if n_twice <= broadcast_fingerprints:
+        wanted = np.sort(twice.select("print").toArrow().column("print").to_numpy())
+        routed = common.map_chunks(rows, Route(spark.sparkContext.broadcast(wanted)), schema)
+    else:
+        routed = common.map_chunks(rows, Normalise(), schema).join(twice.select("print"), "print", "left_semi")
+    # Grouping by the bytes themselves is the verification; equal rows meet in partial sums first.
+    best = F.max(F.struct("points", F.bitwise_not("doc_id").alias("d"), F.bitwise_not("row").alias("r"))).alias("best")
+    groups = routed.groupBy("print", "plain").agg(F.count(F.lit(1)).alias("group_size"), best).filter("group_size > 1")
+    return groups.select(F.unhex(F.sha2("plain", 256)).alias("sha"), "group_size", F.bitwise_not("best.d").alias("keep_id"), F.bitwise_not("best.r").alias("keep_row"))
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_fingerprints: int = BROADCAST_FINGERPRINTS) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 (of the normalised text) for every row.
 
@@ -155,20 +173,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broad
     spark = docs.sparkSession
     rows = common.id_and_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
     slim = common.settle(common.map_chunks(rows, fingerprint, "doc_id long, row long, print long, sha binary, points long"), "prints")
-    filters = slim.select("print").mapInArrow(_build, "range int, filter binary")
-    twice = common.settle(filters.groupBy("range").applyInArrow(_merge, "print long, n long"), "twice")
-    n_twice, total = twice.count(), slim.count()
-    schema = "print long, plain binary, points long, doc_id long, row long"
-    if n_twice <= broadcast_fingerprints:
-        wanted = np.sort(twice.select("print").toArrow().column("print").to_numpy())
-        routed = common.map_chunks(rows, Route(spark.sparkContext.broadcast(wanted)), schema)
-    else:
-        routed = common.map_chunks(rows, Normalise(), schema).join(twice.select("print"), "print", "left_semi")
-    # Grouping by the bytes themselves is the verification; equal rows meet in partial sums first.
-    best = F.max(F.struct("points", F.bitwise_not("doc_id").alias("d"), F.bitwise_not("row").alias("r"))).alias("best")
-    groups = routed.groupBy("print", "plain").agg(F.count(F.lit(1)).alias("group_size"), best).filter("group_size > 1")
-    groups = groups.select(F.unhex(F.sha2("plain", 256)).alias("sha"), "group_size", F.bitwise_not("best.d").alias("keep_id"), F.bitwise_not("best.r").alias("keep_row"))
-    groups = common.settle(groups, "groups")
+    total = slim.count()
+    with common.scratch(spark) as keep:
+        groups = keep(_groups(rows, slim, broadcast_fingerprints), "groups")
     out = common.join_with_heavy(slim.drop("print", "points"), groups, ["sha"], "group_size", total)
     alone = F.col("group_size").isNull()
     return out.select(

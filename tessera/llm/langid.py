@@ -95,7 +95,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", sampl
         return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "counts": [sum(np.frombuffer(x, "<i8") for x in pdf["counts"]).tobytes()]})
 
     # A row of counts for each task and language, then one for each language.
-    summed = rows.mapInArrow(count, "lang string, counts binary").groupBy("lang").applyInPandas(add, "lang string, counts binary")
+    summed = rows.mapInArrow(common.tidy(count), "lang string, counts binary").groupBy("lang").applyInPandas(add, "lang string, counts binary")
     found = sorted((r["lang"], np.frombuffer(r["counts"], "<i8")) for r in summed.collect()) if total else []
     if not found:
         return [], np.zeros((BUCKETS, 0), np.float32)
@@ -158,7 +158,7 @@ class Sieve:
 def keep(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of `docs` in a language of the model, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(Sieve(shared, least, text_col), docs.schema)
+    return docs.mapInArrow(common.tidy(Sieve(shared, least, text_col)), docs.schema)
 
 
 def held_out(doc_id):

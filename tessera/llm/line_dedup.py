@@ -66,6 +66,11 @@ def _ranked(names: DataFrame, keys: list[str]) -> DataFrame:
 
 def _removed(keyed: DataFrame, min_words: int) -> DataFrame:
     """id, h and gone: the numbers of the lines to delete in the documents that lose any."""
+    with common.scratch(keyed.sparkSession) as keep:
+        return keep(_gone(keyed, min_words), "removed")
+
+
+def _gone(keyed: DataFrame, min_words: int) -> DataFrame:
     every = common.settle(_positions(keyed, min_words), "lines")
     total = every.count()
     twice = _ranked(every.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), ["a", "b"])
@@ -97,7 +102,7 @@ def _removed(keyed: DataFrame, min_words: int) -> DataFrame:
     later = common.join_with_heavy(windows, first, interval, "n", max(1, windows.count())).filter(F.col("first").isNotNull() & (F.struct("id", "h", "seq") != F.col("first")))
     gone = later.select("id", "h", F.explode(F.sequence(F.col("seq"), F.col("seq") + F.col("size") - 1)).alias("seq"))
     gone = gone.distinct().join(base.select("id", "h", "seq", "line"), ["id", "h", "seq"])
-    return common.settle(gone.groupBy("id", "h").agg(F.collect_list("line").alias("gone")), "removed")
+    return gone.groupBy("id", "h").agg(F.collect_list("line").alias("gone"))
 
 
 def rewrite(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

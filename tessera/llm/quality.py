@@ -117,7 +117,7 @@ def measure(docs: DataFrame, cascade: list[Rule], sample_rows: int = 2000, seed:
                     seconds[k] += time.perf_counter() - began
         yield pa.RecordBatch.from_pydict({"k": pa.array(range(len(cascade)), pa.int32()), "n": pa.array([n] * len(cascade), pa.int64()), "hits": pa.array(hits, pa.int64()), "seconds": pa.array(seconds, pa.float64())})
 
-    sums = sample.mapInArrow(run, "k int, n long, hits long, seconds double").groupBy("k").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.sum("seconds").alias("seconds"))
+    sums = sample.mapInArrow(common.tidy(run), "k int, n long, hits long, seconds double").groupBy("k").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.sum("seconds").alias("seconds"))
     found = {r["k"]: (r["hits"] / max(1, r["n"]), r["seconds"] / max(1, r["n"])) for r in sums.collect()}  # a row for each rule
     return {rule.name: found.get(k, (0.0, 0.0)) for k, rule in enumerate(cascade)}
 
@@ -170,7 +170,7 @@ class Sieve:
 def keep(docs: DataFrame, cascade: list[Rule] | None = None, sample_rows: int = 2000, text_col: str = "text") -> DataFrame:
     """The rows of `docs` that `judge` keeps, with all their columns."""
     cascade = order(cascade or rules(), measure(docs, cascade or rules(), sample_rows, text_col=text_col))
-    return docs.mapInArrow(Sieve(cascade, text_col), docs.schema)
+    return docs.mapInArrow(common.tidy(Sieve(cascade, text_col)), docs.schema)
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
