@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import os
 import tempfile
 import time
@@ -23,8 +24,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Rows and bytes of an Arrow batch. Spark's own limits let one batch, with the copies that both sides
+#: make of it, take a good part of what an executor has outside its heap.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limits on Arrow batches to the above, if they are higher."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = int((spark.conf.get(key, None) or "0").rstrip("b") or 0)
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """Only the columns an operator reads, so that others can't clash with its own."""
+    small_batches(docs.sparkSession)
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), *more)
 
 
@@ -41,12 +57,16 @@ def shared_dir(spark: SparkSession, what: str) -> str:
 _written: list[list[str]] = [[]]
 
 
-def settle(df: DataFrame, what: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
+def settle(df: DataFrame, what: str, wide: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    A table that a shuffle has left in many small parts is written by two tasks a core at most; `wide`
+    leaves a table as it is, for steps that are long or that read a whole input.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, what)
     _written[-1].append(path)
-    df.write.parquet(path)
+    (df if wide else df.coalesce(2 * spark.sparkContext.defaultParallelism)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -61,8 +81,8 @@ def scratch(spark: SparkSession):
     """Tables settled inside go at the end, but for those settled by the function that it yields."""
     _written.append([])
 
-    def keep(df: DataFrame, what: str) -> DataFrame:
-        out = settle(df, what)
+    def keep(df: DataFrame, what: str, wide: bool = False) -> DataFrame:
+        out = settle(df, what, wide)
         _written[-2].append(_written[-1].pop())
         return out
 
@@ -168,6 +188,67 @@ def crc32_ids(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4"))
 
 
+# Words of byte arrays, hashed without a Python step for each.
+
+_GOLDEN, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_STEP = 0x100000001B3
+_BLANK = np.zeros(256, bool)
+_BLANK[list(BLANKS)] = True
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection on 64 bits that spreads every bit over all."""
+    x = (x ^ (x >> np.uint64(30))) * _M1
+    x = (x ^ (x >> np.uint64(27))) * _M2
+    return x ^ (x >> np.uint64(31))
+
+
+@functools.lru_cache(maxsize=4)
+def _powers(size: int, base: int) -> np.ndarray:
+    out = np.full(size, np.uint64(base), np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+@functools.cache
+def _bytes_mixed(salt: int) -> np.ndarray:
+    return mix(np.arange(256, dtype=np.uint64) + np.uint64(salt))
+
+
+def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each run of bytes other than ASCII white space."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], _BLANK[data], [True]])))
+    return edges[::2], edges[1::2]
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int) -> np.ndarray:
+    """64-bit hash of each span: a polynomial in its mixed bytes, taken from prefix sums, and its length."""
+    size = 1 << max(10, len(data).bit_length())
+    up, down = _powers(size, _STEP), _powers(size, pow(_STEP, -1, 1 << 64))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_bytes_mixed(salt)[data] * up[: len(data)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _GOLDEN)
+
+
+def runs(data: list[bytes], limit: int):
+    """(document, bytes) in runs of about `limit` bytes; a longer document is cut at blanks."""
+    run, size = [], 0
+    for d, body in enumerate(data):
+        at = 0
+        while at < len(body):
+            end = min(len(body), at + limit)
+            while end < len(body) and body[end] not in BLANKS:
+                end += 1
+            run.append((d, body[at:end]))
+            size += end - at
+            at = end
+            if size >= limit:
+                yield run
+                run, size = [], 0
+    if run:
+        yield run
+
+
 class Memo(dict):
     """A function's values by text, in two generations: when the young one is full it becomes the old one.
 

@@ -150,7 +150,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096,
 
     def run(batches):
         tokens, packer = loaded(tokenizer), Packer(capacity, pool)
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.uint32(end_id)
         first, n, out = TaskContext.get().partitionId() << 40, 0, []
 
         def rows(sequences):
@@ -163,12 +163,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096,
                 n += 1
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.frombuffer(tokens.encode(text or "") + end, "<u4")
-                rows(packer.add((doc_id, len(ids)), ids))
-                if len(out) >= 10_000:
-                    yield _rows(out, keep_ids)
-                    out.clear()
+            for part in common.chunks(batch):
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), tokens.encode_batch(part.column("text").to_pylist()), strict=True):
+                    ids = np.append(ids, end)
+                    rows(packer.add((doc_id, len(ids)), ids))
+                    if len(out) >= 10_000:
+                        yield _rows(out, keep_ids)
+                        out.clear()
         rows(packer.finish())
         if out:
             yield _rows(out, keep_ids)

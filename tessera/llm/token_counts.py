@@ -31,10 +31,12 @@ def histogram(docs: DataFrame, tokenizer: str, extra: int = 0, text_col: str = "
         tokens = loaded(tokenizer)
         found: Counter[int] = Counter()
         for batch in batches:
-            found.update(len(tokens.encode(t or "")) // 4 + extra for t in batch.column("text").to_pylist())
+            for part in common.chunks(batch):
+                found.update(len(ids) + extra for ids in tokens.encode_batch(part.column("text").to_pylist()))
         if found:
             yield pa.RecordBatch.from_pydict({"n_tokens": pa.array(list(found), pa.int64()), "n_docs": pa.array(list(found.values()), pa.int64())})
 
+    common.small_batches(docs.sparkSession)
     counted = docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(common.tidy(run), "n_tokens long, n_docs long")
     return counted.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 

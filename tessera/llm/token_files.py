@@ -145,12 +145,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, shards: i
         fs, place = _filesystem(path)
         draft = f"{place}/_{uuid.uuid4().hex}"
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if writer is None:
-                    fs.create_dir(place, recursive=True)
-                    stream = fs.open_output_stream(draft)
-                    writer = Writer(stream, frame_bytes)
-                writer.add(doc_id, tokens.encode(text or "") + end)
+            for part in common.chunks(batch):
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), tokens.encode_batch(part.column("text").to_pylist()), strict=True):
+                    if writer is None:
+                        fs.create_dir(place, recursive=True)
+                        stream = fs.open_output_stream(draft)
+                        writer = Writer(stream, frame_bytes)
+                    writer.add(doc_id, ids.astype("<u4").tobytes() + end)
         if writer is not None:
             writer.close()
             stream.close()

@@ -1,6 +1,6 @@
 """The lower-case word tokenizer of a `tokenizers` file, with a cache in front of the library's model.
 
-No token of such a file spans white space, so a text is cut at white space and each chunk is encoded
+No token of such a file spans white space, so a text is cut at ASCII white space and each chunk is encoded
 once. Chunks within Latin-1 are normalised here (NFC leaves them as they are, lower case is one to
 one) and handed piece by piece to the library's model; all others go through the whole library.
 """
@@ -16,9 +16,10 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
+from . import common
 from .common import Memo
 
-#: str.split() also cuts at these, which the tokenizer's \\s does not: such texts go to the library whole.
+#: Some libraries count these as white space and others don't: texts with one go to the library whole.
 _ODD_BLANKS = "\x1c\x1d\x1e\x1f"
 _PLAIN = re.compile("[\x00-\xff]*").fullmatch
 _packed = struct.Struct("<I").pack
@@ -32,9 +33,13 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordTokens:
-    """Ids of texts; the caches hold packed ids of chunks and pieces."""
+    """Ids of texts. What a chunk encodes to is kept in arrays, found by two 64-bit hashes of its bytes.
 
-    def __init__(self, path: str, cache_size: int = 200_000):
+    A batch of texts is hashed, looked up and put together in numpy; only chunks that aren't known yet
+    take Python steps. The arrays are emptied when they hold `capacity` chunks.
+    """
+
+    def __init__(self, path: str, capacity: int = 1_500_000):
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         spec = json.loads(self.library.to_str())
@@ -45,8 +50,17 @@ class WordTokens:
         self.cut = regex.compile(split["pattern"]["Regex"]).findall
         self.model = self.library.model
         self.letters = _byte_letters()
-        self.chunks = Memo(self._chunk, cache_size)
-        self.parts = Memo(self._part, cache_size)
+        self.capacity = capacity
+        self.parts = Memo(self._part, 100_000)
+        self._clear()
+
+    def _clear(self) -> None:
+        slots = 1 << (4 * self.capacity // 3).bit_length()
+        self.first, self.second = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
+        self.entry = np.full(slots, -1, np.int32)
+        self.at, self.size = np.zeros(self.capacity, np.int64), np.zeros(self.capacity, np.int32)
+        self.ids = np.zeros(1 << 20, np.uint32)
+        self.known = self.used = 0
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -56,16 +70,100 @@ class WordTokens:
         return b"".join([_packed(t.id) for t in self.model.tokenize(word)])
 
     def _chunk(self, chunk: str) -> bytes:
-        if not chunk.isascii() and not _PLAIN(chunk):
+        if not _PLAIN(chunk):
             return self._whole(chunk)
         return b"".join(map(self.parts.__getitem__, self.cut(chunk.lower())))
 
+    def _find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Entry of each pair of hashes, -1 if there is none: probing slot after slot."""
+        out = np.full(len(a), -1, np.int32)
+        mask = np.uint64(len(self.entry) - 1)
+        left, slot = np.arange(len(a)), (a & mask).astype(np.int64)
+        while len(left):
+            found = self.entry[slot]
+            same = (self.first[slot] == a[left]) & (self.second[slot] == b[left]) & (found >= 0)
+            out[left[same]] = found[same]
+            on = (found >= 0) & ~same
+            left, slot = left[on], (slot[on] + 1) & int(mask)
+        return out
+
+    def _insert(self, a: np.ndarray, b: np.ndarray, entries: np.ndarray) -> None:
+        """Puts distinct new pairs of hashes into free slots; of those that want one slot the first gets it."""
+        mask = np.uint64(len(self.entry) - 1)
+        left, slot = np.arange(len(a)), (a & mask).astype(np.int64)
+        while len(left):
+            free = self.entry[slot] < 0
+            place, who = np.unique(slot[free], return_index=True)
+            got = left[free][who]
+            self.first[place], self.second[place], self.entry[place] = a[got], b[got], entries[got]
+            stay = np.ones(len(left), bool)
+            stay[np.flatnonzero(free)[who]] = False
+            left, slot = left[stay], (slot[stay] + 1) & int(mask)
+
+    def _learn(self, a: np.ndarray, b: np.ndarray, chunks: list[bytes]) -> np.ndarray:
+        """Entries of new chunks."""
+        packed = [self._chunk(c.decode("utf-8", "surrogatepass")) for c in chunks]
+        self.parts = self.parts.tidied()
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        total, entries = int(sizes.sum()), np.arange(self.known, self.known + len(packed), dtype=np.int32)
+        if self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(total, len(self.ids)), np.uint32)])
+        if self.known + len(packed) > len(self.at):  # a run of more chunks than the capacity
+            more = np.zeros(self.known + len(packed) - len(self.at), np.int64)
+            self.at, self.size = np.concatenate([self.at, more]), np.concatenate([self.size, more.astype(np.int32)])
+        self.ids[self.used : self.used + total] = np.frombuffer(b"".join(packed), "<u4")
+        self.at[entries], self.size[entries] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used, self.known = self.used + total, self.known + len(packed)
+        while 4 * self.known > 3 * len(self.entry):
+            self._grow()
+        self._insert(a, b, entries)
+        return entries
+
+    def _grow(self) -> None:
+        held = self.entry >= 0
+        a, b, entries = self.first[held], self.second[held], self.entry[held]
+        slots = 2 * len(self.entry)
+        self.first, self.second, self.entry = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64), np.full(slots, -1, np.int32)
+        self._insert(a, b, entries)
+
+    def _run(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, ids of each chunk, start of each chunk) of a byte array."""
+        starts, ends = common.words(data)
+        a, b = common.span_hashes(data, starts, ends, 1), common.span_hashes(data, starts, ends, 2)
+        entry = self._find(a, b)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            _, at, place = np.unique(a[new] ^ common.mix(b[new]), return_index=True, return_inverse=True)
+            one = new[at]
+            if self.known and (self.known + len(one) > self.capacity or self.used > 8 * self.capacity):
+                self._clear()
+                return self._run(data)
+            raw = data.tobytes()
+            entry[new] = self._learn(a[one], b[one], [raw[i:j] for i, j in zip(starts[one].tolist(), ends[one].tolist(), strict=True)])[place]
+        sizes = self.size[entry].astype(np.int64)
+        before = np.cumsum(sizes) - sizes
+        return self.ids[np.repeat(self.at[entry] - before, sizes) + np.arange(int(sizes.sum()))], sizes, starts
+
+    def encode_batch(self, texts: list[str | None], limit: int = 1 << 19) -> list[np.ndarray]:
+        """Ids of each whole text as unsigned 32-bit arrays; null has none."""
+        parts: list[list[np.ndarray]] = [[] for _ in texts]
+        plain = []
+        for d, text in enumerate(texts):
+            if text and any(c in text for c in _ODD_BLANKS):
+                parts[d].append(np.frombuffer(self._whole(text), "<u4"))
+                text = None
+            plain.append((text or "").encode("utf-8", "surrogatepass"))
+        for run in common.runs(plain, limit):
+            ids, sizes, starts = self._run(np.frombuffer(b"\n".join(body for _, body in run), np.uint8))
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            cuts = ends[np.searchsorted(starts, np.cumsum([len(body) + 1 for _, body in run]))].tolist()
+            for (d, _), i, j in zip(run, [0, *cuts[:-1]], cuts, strict=True):
+                parts[d].append(ids[i:j])
+        return [p[0] if len(p) == 1 else np.concatenate([np.zeros(0, np.uint32), *p]) for p in parts]
+
     def encode(self, text: str) -> bytes:
-        """Ids of a whole text, packed as unsigned 32-bit little-endian integers."""
-        if any(c in text for c in _ODD_BLANKS):
-            return self._whole(text)
-        self.chunks, self.parts = self.chunks.tidied(), self.parts.tidied()
-        return b"".join(map(self.chunks.__getitem__, text.split()))
+        """Ids of one text, packed little-endian."""
+        return self.encode_batch([text])[0].astype("<u4").tobytes()
 
 
 @functools.cache

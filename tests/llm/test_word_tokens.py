@@ -28,6 +28,14 @@ def test_agrees_with_the_library():
             assert np.frombuffer(TOKENS.encode(text), "<u4").tolist() == ids(text), repr(text)
 
 
+def test_small_tables_are_emptied_and_grow():
+    small = WordTokens(PATH, capacity=10)
+    texts = [" ".join(f"word{i * k % 37}x{k}" for i in range(40)) for k in range(30)] + TEXTS + [None]
+    for limit in (16, 200, 1 << 19):
+        for text, got in zip(texts, small.encode_batch(texts, limit), strict=True):
+            assert got.tolist() == ids(text), (limit, text)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from(list(" \n'stmdrevlAaÉß1!#<|>")), st.characters(codec="utf-8")), max_size=40))
 def test_any_text(text):
