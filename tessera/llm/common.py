@@ -57,16 +57,22 @@ def shared_dir(spark: SparkSession, what: str) -> str:
 _written: list[list[str]] = [[]]
 
 
-def settle(df: DataFrame, what: str, wide: bool = False) -> DataFrame:
+#: Rows of a settled table that one task writes at least, where the number of rows is bounded beforehand.
+ROWS_A_TASK = 200_000
+
+
+def settle(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    A table that a shuffle has left in many small parts is written by two tasks a core at most; `wide`
-    leaves a table as it is, for steps that are long or that read a whole input.
+    `rows` is a bound on its rows, if one is known: a table that a shuffle has left in many small parts
+    is then written by no more tasks than that bound asks for (two a core at least).
     """
     spark = df.sparkSession
     path = shared_dir(spark, what)
     _written[-1].append(path)
-    (df if wide else df.coalesce(2 * spark.sparkContext.defaultParallelism)).write.parquet(path)
+    if rows is not None:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, rows // ROWS_A_TASK))
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -81,8 +87,8 @@ def scratch(spark: SparkSession):
     """Tables settled inside go at the end, but for those settled by the function that it yields."""
     _written.append([])
 
-    def keep(df: DataFrame, what: str, wide: bool = False) -> DataFrame:
-        out = settle(df, what, wide)
+    def keep(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
+        out = settle(df, what, rows)
         _written[-2].append(_written[-1].pop())
         return out
 

@@ -148,7 +148,7 @@ def _groups(rows: DataFrame, slim: DataFrame, broadcast_fingerprints: int) -> Da
     """sha, group_size, keep_id and keep_row of the groups of two rows or more, compared by their bytes."""
     spark = rows.sparkSession
     filters = slim.select("print").mapInArrow(common.tidy(_build), "range int, filter binary")
-    twice = common.settle(filters.groupBy("range").applyInArrow(_merge, "print long, n long"), "twice")
+    twice = common.settle(filters.groupBy("range").applyInArrow(_merge, "print long, n long"), "twice", slim.count())
     n_twice = twice.count()
     schema = "print long, plain binary, points long, doc_id long, row long"
     if n_twice <= broadcast_fingerprints:

@@ -58,10 +58,9 @@ def _positions(docs: DataFrame, enough: int) -> DataFrame:
     return held.select("id", "h", F.posexplode("ls").alias("seq", "x")).select("id", "h", F.col("seq").cast("long").alias("seq"), "x.line", "x.a", "x.b", "x.up", "x.down")
 
 
-def _ranked(names: DataFrame, keys: list[str]) -> DataFrame:
+def _ranked(names: DataFrame, keys: list[str], rows: int) -> DataFrame:
     """Distinct names with their rank in sorted order (with gaps): a range sort, then the place in it."""
-    shards = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return common.settle(names.repartitionByRange(shards, *keys).sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id()), "names")
+    return common.settle(names.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id()), "names", rows)
 
 
 def _removed(keyed: DataFrame, min_words: int) -> DataFrame:
@@ -73,18 +72,19 @@ def _removed(keyed: DataFrame, min_words: int) -> DataFrame:
 def _gone(keyed: DataFrame, min_words: int) -> DataFrame:
     every = common.settle(_positions(keyed, min_words), "lines")
     total = every.count()
-    twice = _ranked(every.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), ["a", "b"])
+    twice = _ranked(every.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), ["a", "b"], total)
     known = common.join_with_heavy(every, twice, ["a", "b"], "n", total).filter("name IS NOT NULL")
     # Rows that repeat a document meet here as one.
-    base = common.settle(known.groupBy("id", "h", "seq").agg(F.min("name").alias("rank"), F.min("line").alias("line"), F.min("up").alias("up"), F.min("down").alias("down")), "positions")
+    base = common.settle(known.groupBy("id", "h", "seq").agg(F.min("name").alias("rank"), F.min("line").alias("line"), F.min("up").alias("up"), F.min("down").alias("down")), "positions", total)
     level, size, k = base.select("id", "h", "seq", "rank"), 1, 0
     ranks = level.select(F.lit(0).alias("k"), "*")
-    while 2 * size <= min_words:
+    longest = base.agg(F.max(F.greatest("up", "down"))).first()[0] or 0
+    while 2 * size <= longest:
         ahead = level.select("id", "h", (F.col("seq") - size).alias("seq"), F.col("rank").alias("next"))
-        pairs = common.settle(level.join(ahead, ["id", "h", "seq"]), "pairs")
-        twice = _ranked(pairs.groupBy("rank", "next").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), ["rank", "next"])
+        pairs = level.join(ahead, ["id", "h", "seq"])
+        twice = _ranked(pairs.groupBy("rank", "next").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), ["rank", "next"], total)
         found = common.join_with_heavy(pairs, twice, ["rank", "next"], "n", total).filter("name IS NOT NULL")
-        level = common.settle(found.select("id", "h", "seq", F.col("name").alias("rank")), "ranks")
+        level = common.settle(found.select("id", "h", "seq", F.col("name").alias("rank")), "ranks", total)
         size, k = 2 * size, k + 1
         ranks = ranks.unionByName(level.select(F.lit(k).alias("k"), "*"))
         if level.isEmpty():
@@ -94,11 +94,11 @@ def _gone(keyed: DataFrame, min_words: int) -> DataFrame:
     down = base.filter("down IS NOT NULL").select("id", "h", (F.col("seq") - F.col("down") + 1).alias("seq"), F.col("down").alias("size"))
     windows = up.unionByName(down).distinct().withColumn("k", F.length(F.bin("size")) - 1)
     windows = windows.join(ranks.withColumnRenamed("rank", "r1"), ["k", "id", "h", "seq"]).withColumn("end", F.expr("seq + size - shiftleft(1, k)"))
-    windows = common.settle(windows.join(ranks.select("k", "id", "h", F.col("seq").alias("end"), F.col("rank").alias("r2")), ["k", "id", "h", "end"]).select("id", "h", "seq", "size", "r1", "r2"), "windows")
+    windows = common.settle(windows.join(ranks.select("k", "id", "h", F.col("seq").alias("end"), F.col("rank").alias("r2")), ["k", "id", "h", "end"]).select("id", "h", "seq", "size", "r1", "r2"), "windows", 2 * total)
 
     interval = ["size", "r1", "r2"]
     first = windows.groupBy(*interval).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "h", "seq")).alias("first")).filter("n > 1")
-    first = common.settle(first, "intervals")
+    first = common.settle(first, "intervals", 2 * total)
     later = common.join_with_heavy(windows, first, interval, "n", max(1, windows.count())).filter(F.col("first").isNotNull() & (F.struct("id", "h", "seq") != F.col("first")))
     gone = later.select("id", "h", F.explode(F.sequence(F.col("seq"), F.col("seq") + F.col("size") - 1)).alias("seq"))
     gone = gone.distinct().join(base.select("id", "h", "seq", "line"), ["id", "h", "seq"])

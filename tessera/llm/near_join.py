@@ -29,70 +29,21 @@ from pyspark.sql import functions as F
 from . import common
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999
-POSITIONS, BUCKET, DEPTH = 64, 1024, 3
+POSITIONS, BUCKET, DEPTH = 64, 2048, 3
 #: Nodes of so few members are handled many at a time, about BATCH rows.
 SMALL, BATCH = 32, 512
-_GOLDEN, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_BLANK = np.zeros(256, bool)
-_BLANK[list(common.BLANKS)] = True
-_STEP = 0x100000001B3
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
-
-
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_STEP**i and its inverse modulo 2**64 for i < n."""
-    if len(_POWERS.get("up", ())) < n:
-        size = 1 << n.bit_length()
-        for name, base in (("up", _STEP), ("down", pow(_STEP, -1, 1 << 64))):
-            out = np.full(size, np.uint64(base), np.uint64)
-            out[0] = 1
-            _POWERS[name] = np.multiply.accumulate(out)
-    return _POWERS["up"], _POWERS["down"]
-
-
-def word_hashes(data: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of each word of a byte array: a polynomial in its bytes and its length, mixed."""
-    blank = _BLANK[data]
-    edges = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]])))
-    starts, ends = edges[::2], edges[1::2]
-    up, down = _powers(len(data) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(data.astype(np.uint64) + np.uint64(salt)) * up[: len(data)], dtype=np.uint64)])
-    return starts, _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _GOLDEN)
-
-
-def _pieces(data: list[bytes], limit: int):
-    """(document, bytes) in runs of at most about `limit` bytes; a longer document is cut at a blank."""
-    run, size = [], 0
-    for d, body in enumerate(data):
-        at = 0
-        while at < len(body):
-            end = min(len(body), at + limit)
-            while end < len(body) and body[end] not in common.BLANKS:
-                end += 1
-            run.append((d, body[at:end]))
-            size += end - at
-            at = end
-            if size >= limit:
-                yield run
-                run, size = [], 0
-    if run:
-        yield run
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_mix = common.mix
 
 
 def shingles(texts: list[str | None], words: int = WORDS, limit: int = 1 << 19) -> list[np.ndarray]:
     """Sorted distinct n-gram hashes of each text; a text of fewer words is one gram, one without words is empty."""
     data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     own: list[list[np.ndarray]] = [[] for _ in data]
-    for run in _pieces(data, limit):
-        starts, hashes = word_hashes(np.frombuffer(b"\n".join(body for _, body in run), np.uint8), 1)
+    for run in common.runs(data, limit):
+        joined = np.frombuffer(b"\n".join(body for _, body in run), np.uint8)
+        starts, ends = common.words(joined)
+        hashes = common.span_hashes(joined, starts, ends, 1)
         cuts = np.searchsorted(starts, np.cumsum([len(body) + 1 for _, body in run]))
         for (d, _), a, b in zip(run, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
             own[d].append(hashes[a:b])
@@ -337,10 +288,14 @@ def _connected(ids: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarr
     return np.argsort(rank)[low]
 
 
-def _edges_to_classes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """class, label: the smallest class of each connected component. Labels only fall, so an equal sum means the end."""
-    edges = common.settle(edges.unionByName(edges.select(F.col("root").alias("class"), F.col("class").alias("root"))).distinct(), "edges")
-    labels = common.settle(nodes.select("class", F.col("class").alias("label")), "labels")
+def _edges_to_classes(edges: DataFrame, nodes: DataFrame, total: int) -> DataFrame:
+    """class, label: the smallest class of each connected component.
+
+    A class takes the least label among its neighbours' and its label's own label, so labels travel twice
+    as far each time. They only fall, so an equal sum means the end.
+    """
+    edges = common.settle(edges.unionByName(edges.select(F.col("root").alias("class"), F.col("class").alias("root"))).distinct(), "edges", total)
+    labels = common.settle(nodes.select("class", F.col("class").alias("label")), "labels", total)
 
     def state(x):
         return x.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
@@ -348,27 +303,27 @@ def _edges_to_classes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     now = state(labels)
     while now is not None:
         near = edges.join(labels.withColumnRenamed("class", "root"), "root").select("class", "label")
-        labels = common.settle(labels.unionByName(near).groupBy("class").agg(F.min("label").alias("label")), "labels")
-        jump = labels.select(F.col("class").alias("label"), F.col("label").alias("further"))
-        labels = common.settle(labels.join(jump, "label").select("class", F.col("further").alias("label")), "labels")
+        jump = labels.join(labels.select(F.col("class").alias("label"), F.col("label").alias("further")), "label").select("class", F.col("further").alias("label"))
+        labels = common.settle(labels.unionByName(near).unionByName(jump).groupBy("class").agg(F.min("label").alias("label")), "labels", total)
         before, now = now, state(labels)
         if before == now:
             break
     return labels
 
 
-def _nodes(classes: DataFrame, similarity: float, recall: float) -> DataFrame:
+def _nodes(classes: DataFrame, total: int, similarity: float, recall: float) -> DataFrame:
     """node, class, block, pair, task: members of the nodes to compare by brute force, larger nodes in pairs of blocks."""
     signs = classes.select("class", "sign")
     # All runs start from the same root, so their chosen positions are known beforehand: a row for each run.
     roots = classes.sparkSession.range(runs_needed(similarity, recall)).select(F.xxhash64(F.lit("run"), "id").alias("path"))
     roots = roots.select("path", F.explode(_places(F.col("path"), similarity)).alias("i")).collect()
     level = signs.select("class", F.explode(F.array(*[F.xxhash64(F.lit(r["path"]), F.lit(r["i"]), F.col("sign")[r["i"]]) for r in roots])).alias("node"))
-    done = None
+    done, most = None, total * len(roots)
     for depth in range(DEPTH):
-        level = common.settle(level, "members")
-        sizes = common.settle(level.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "nodes")
-        level = common.settle(level.join(sizes, "node"), "level")
+        if depth:
+            level = common.settle(level, "members", most)
+        sizes = common.settle(level.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "nodes", most)
+        level = common.settle(level.join(sizes, "node"), "level", most)
         small, large = level.filter(F.col("n") <= BUCKET), level.filter(F.col("n") > BUCKET)
         if depth == DEPTH - 1 or large.isEmpty():
             done = level if done is None else done.unionByName(level)
@@ -381,7 +336,7 @@ def _nodes(classes: DataFrame, similarity: float, recall: float) -> DataFrame:
     split = parts.filter("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     first, second = F.least("block", "other"), F.greatest("block", "other")
     parts = whole.unionByName(split.withColumn("pair", (second * (second + 1) / 2 + first).cast("int")).drop("other"))
-    parts = common.settle(parts.select("node", "class", "block", "pair", "n"), "leaves")
+    parts = common.settle(parts.select("node", "class", "block", "pair", "n"), "leaves", most)
     batches = 1 + parts.count() // BATCH
     task = F.when(F.col("n") <= SMALL, F.pmod(F.xxhash64("node"), F.lit(batches))).otherwise(F.xxhash64("node", "pair"))
     return parts.select("node", "class", "block", "pair", task.alias("task"))
@@ -389,26 +344,27 @@ def _nodes(classes: DataFrame, similarity: float, recall: float) -> DataFrame:
 
 def _linked(docs: DataFrame, rows: DataFrame, similarity: float, words: int, recall: float, id_col: str, text_col: str) -> DataFrame:
     """key, weight, first (the lead of the component) and n_links of every class of equal sets."""
-    classes = _classes(rows)
-    nodes = _nodes(classes, similarity, recall)
+    total = rows.count()
+    classes = _classes(rows, total)
+    nodes = _nodes(classes, total, similarity, recall)
     paths = nodes.groupBy("class").agg(F.collect_set("node").alias("paths"))
     members = nodes.join(classes.select("class", "size", "sign").join(paths, "class"), "class")
     slim = "task long, node long, class long, block int, pair int, size int, sign array<int>, paths array<long>"
     members = members.select(*[c.split()[0] for c in slim.split(", ")])
-    near = common.settle(members.groupBy("task").applyInArrow(_candidates(similarity), slim), "candidates")
+    near = common.settle(members.groupBy("task").applyInArrow(_candidates(similarity), slim), "candidates", total)
 
-    wanted = common.settle(near.select("class").distinct(), "wanted")
+    wanted = common.settle(near.select("class").distinct(), "wanted", total)
     texts = _numbered(docs, id_col, text_col).join(common.small_or_shuffled(wanted), F.col("row") == F.col("class")).select("class", "text")
     near = near.join(classes.select("class", "key", "weight"), "class").join(texts, "class")
-    found = common.settle(near.groupBy("task").applyInArrow(_verify(similarity, words), "class long, links long, root long"), "links")
+    found = common.settle(near.groupBy("task").applyInArrow(_verify(similarity, words), "class long, links long, root long"), "links", total)
 
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
     edges = found.filter("class <> root").select("class", "root")
     ends = edges.select("class").union(edges.select("root")).distinct()
-    labels = _edges_to_classes(edges, ends)
-    named = common.settle(classes.select("class", "key", "weight", "lead").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class")).join(links, "class", "left"), "named")
+    labels = _edges_to_classes(edges, ends, total)
+    named = common.settle(classes.select("class", "key", "weight", "lead").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class")).join(links, "class", "left"), "named", total)
     # Classes of one document set stand for themselves; the others take the least lead of their component.
-    leads = common.settle(named.groupBy("label").agg(F.min("lead").alias("first"), F.count(F.lit(1)).alias("n")), "leads")
+    leads = common.settle(named.groupBy("label").agg(F.min("lead").alias("first"), F.count(F.lit(1)).alias("n")), "leads", total)
     named = common.join_with_heavy(named, leads, ["label"], "n", max(1, classes.count()))
     return named.select("key", "weight", "first", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
 
@@ -452,11 +408,11 @@ def _sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFr
     return common.settle(common.map_chunks(_numbered(docs, id_col, text_col), Sketch(words), schema, 1 << 20), "sketches")
 
 
-def _classes(rows: DataFrame) -> DataFrame:
+def _classes(rows: DataFrame, total: int) -> DataFrame:
     """Classes of equal sets, named by a row. Equal sets have equal min-hashes, so any of them will do."""
     lead = F.min(F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), "row")).alias("lead")
     classes = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("row").alias("class"), F.count(F.lit(1)).alias("weight"), lead, F.first("size").alias("size"), F.first("sign").alias("sign"))
-    return common.settle(classes, "classes")
+    return common.settle(classes, "classes", total)
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

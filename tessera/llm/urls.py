@@ -14,7 +14,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from . import common
 
 DIMENSIONS = 1 << 13
 SIZES = (3, 4, 5)
