@@ -58,7 +58,7 @@ _written: list[list[str]] = [[]]
 
 
 #: Rows of a settled table that one task writes at least, where the number of rows is bounded beforehand.
-ROWS_A_TASK = 200_000
+ROWS_A_TASK = 50_000
 
 
 def settle(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
@@ -104,7 +104,7 @@ def discard(spark: SparkSession) -> None:
     _written[0].clear()
 
 
-def chunks(batch: pa.RecordBatch, limit: int = 4 << 20):
+def chunks(batch: pa.RecordBatch, limit: int = 1 << 20):
     """Slices of a batch whose `text` has about `limit` bytes (one row at least)."""
     text = batch.column("text")
     if batch.num_rows == 0:
@@ -150,7 +150,7 @@ def tidy(run):
     return tidied
 
 
-def map_chunks(df: DataFrame, function, schema: str, limit: int = 4 << 20) -> DataFrame:
+def map_chunks(df: DataFrame, function, schema: str, limit: int = 1 << 20) -> DataFrame:
     """mapInArrow over slices of bounded text; `function` takes and returns a RecordBatch.
 
     `function` may have a `start()` that makes per-task state, passed as its second argument.

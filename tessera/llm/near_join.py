@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999
+WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9999
 POSITIONS, BUCKET, DEPTH = 64, 2048, 3
 #: Nodes of so few members are handled many at a time, about BATCH rows.
 SMALL, BATCH = 32, 512
@@ -351,12 +351,12 @@ def _linked(docs: DataFrame, rows: DataFrame, similarity: float, words: int, rec
     members = nodes.join(classes.select("class", "size", "sign").join(paths, "class"), "class")
     slim = "task long, node long, class long, block int, pair int, size int, sign array<int>, paths array<long>"
     members = members.select(*[c.split()[0] for c in slim.split(", ")])
-    near = common.settle(members.groupBy("task").applyInArrow(_candidates(similarity), slim), "candidates", total)
+    near = common.settle(members.groupBy("task").applyInArrow(_candidates(similarity), slim), "candidates", 8 * total)
 
     wanted = common.settle(near.select("class").distinct(), "wanted", total)
     texts = _numbered(docs, id_col, text_col).join(common.small_or_shuffled(wanted), F.col("row") == F.col("class")).select("class", "text")
     near = near.join(classes.select("class", "key", "weight"), "class").join(texts, "class")
-    found = common.settle(near.groupBy("task").applyInArrow(_verify(similarity, words), "class long, links long, root long"), "links", total)
+    found = common.settle(near.groupBy("task").applyInArrow(_verify(similarity, words), "class long, links long, root long"), "links", 8 * total)
 
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
     edges = found.filter("class <> root").select("class", "root")
@@ -405,14 +405,14 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     schema = "doc_id long, row long, key binary, size int, sign array<int>"
-    return common.settle(common.map_chunks(_numbered(docs, id_col, text_col), Sketch(words), schema, 1 << 20), "sketches")
+    return common.settle(common.map_chunks(_numbered(docs, id_col, text_col), Sketch(words), schema), "sketches")
 
 
 def _classes(rows: DataFrame, total: int) -> DataFrame:
     """Classes of equal sets, named by a row. Equal sets have equal min-hashes, so any of them will do."""
     lead = F.min(F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), "row")).alias("lead")
     classes = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("row").alias("class"), F.count(F.lit(1)).alias("weight"), lead, F.first("size").alias("size"), F.first("sign").alias("sign"))
-    return common.settle(classes, "classes", total)
+    return common.settle(classes, "classes", 4 * total)
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
