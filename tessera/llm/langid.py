@@ -20,6 +20,8 @@ from . import common
 
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
+#: Bytes of text that are taken at a time: arrays of n-grams are some forty times as large.
+CHUNK = 1 << 18
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 UNDETERMINED = "und"
 #: A text's evidence counts as that of so many n-grams at most, else every score would be 0 or 1.
@@ -70,6 +72,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", sampl
     Learns from rows with a text and a language; beyond `sample_rows` of them from a random sample of
     about that many (the bound on what a fit reads). No such row: no language.
     """
+    common.small_batches(docs.sparkSession)
     rows = docs.select(docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
     total = docs.filter(docs[lang_col].isNotNull()).select(lang_col).count()
     if total > sample_rows:
@@ -78,7 +81,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", sampl
     def count(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in common.chunks(batch):
+            for part in common.chunks(batch, CHUNK):
                 texts, langs = part.column("text").to_pylist(), part.column("lang").to_pylist()
                 names = sorted(set(langs))
                 doc, bucket = grams(texts)
@@ -87,20 +90,18 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", sampl
                 for name, row in zip(names, flat, strict=True):
                     sums[name] = sums.get(name, 0) + row
         for name, row in sums.items():
-            yield pa.RecordBatch.from_pydict({"lang": [name], "counts": pa.array([row.astype("<i8").tobytes()], pa.binary())})
-
-    def add(pdf):
-        import pandas as pd
-
-        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "counts": [sum(np.frombuffer(x, "<i8") for x in pdf["counts"]).tobytes()]})
+            hit = np.flatnonzero(row)
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(hit), pa.string()), "bucket": pa.array(hit, pa.int32()), "n": pa.array(row[hit], pa.int64())})
 
-    # A row of counts for each task and language, then one for each language.
-    summed = rows.mapInArrow(common.tidy(count), "lang string, counts binary").groupBy("lang").applyInPandas(add, "lang string, counts binary")
-    found = sorted((r["lang"], np.frombuffer(r["counts"], "<i8")) for r in summed.collect()) if total else []
-    if not found:
+    summed = rows.mapInArrow(common.tidy(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    table = summed.toArrow() if total else None  # at most BUCKETS rows for each language
+    if table is None or not table.num_rows:
         return [], np.zeros((BUCKETS, 0), np.float32)
-    counts = np.stack([c for _, c in found], 1) + 0.5
-    return [x for x, _ in found], np.log(counts / counts.sum(0)).astype(np.float32)
+    langs = sorted(set(table.column("lang").to_pylist()))
+    of = np.array([langs.index(x) for x in table.column("lang").to_pylist()])
+    counts = np.full((BUCKETS, len(langs)), 0.5)
+    counts[table.column("bucket").to_numpy(), of] += table.column("n").to_numpy()
+    return langs, np.log(counts / counts.sum(0)).astype(np.float32)
 
 
 def score(texts: list[str], langs: list[str], logs: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -134,7 +135,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     texts count; an empty table gives an empty table; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages floats
-    return common.map_chunks(common.id_and_text(docs, id_col, text_col), Predict(shared), "doc_id long, lang_pred string, score double", 1 << 20)
+    return common.map_chunks(common.id_and_text(docs, id_col, text_col), Predict(shared), "doc_id long, lang_pred string, score double", CHUNK)
 
 
 class Sieve:
@@ -149,7 +150,7 @@ class Sieve:
             kept = []
             place = batch.schema.get_field_index(self.text_col)
             slim = pa.RecordBatch.from_arrays([batch.column(place).cast(pa.string()).fill_null("")], names=["text"])
-            for part in common.chunks(slim, 1 << 20):
+            for part in common.chunks(slim, CHUNK):
                 named, scores = score(part.column("text").to_pylist(), langs, logs)
                 kept += [x != UNDETERMINED and s >= self.least for x, s in zip(named, scores, strict=True)]
             yield batch.filter(pa.array(kept, pa.bool_()))

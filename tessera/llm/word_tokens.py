@@ -39,7 +39,7 @@ class WordTokens:
     take Python steps. The arrays are emptied when they hold `capacity` chunks.
     """
 
-    def __init__(self, path: str, capacity: int = 1_500_000):
+    def __init__(self, path: str, capacity: int = 700_000):
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         spec = json.loads(self.library.to_str())
