@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,19 @@ def bytes_of(data: Column) -> Column:
     return F.transform(places, lambda i: byte_at(data, i))
 
 
+def explode_bytes(rows: DataFrame, keys: list[str], data: str) -> DataFrame:
+    """keys, i and b of every byte of a BINARY column; rows without bytes go.
+
+    Six bytes are cut out at a time, as a number that no longer drags the whole value along.
+    """
+    size = F.octet_length(data)
+    words = rows.filter(size > 0).select(*keys, data, F.explode(F.sequence(F.lit(0), F.floor((size - 1) / 6).cast("int"))).alias("_w"))
+    part = F.substring(F.col(data), F.col("_w") * 6 + 1, F.lit(6))
+    words = words.select(*keys, "_w", F.octet_length(part).alias("_n"), F.conv(F.hex(part), 16, 10).cast("long").alias("_v"))
+    each = words.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    return each.select(*keys, (F.col("_w") * 6 + F.col("_j")).alias("i"), F.expr("cast(shiftright(_v, 8 * (_n - 1 - _j)) & 255 as int)").alias("b"))
+
+
 def big_endian(data: Column, offset: Column | int, size: int) -> Column:
     """Unsigned big-endian integer of up to 7 bytes; null where the bytes end early."""
     offset = F.lit(offset) if isinstance(offset, int) else offset

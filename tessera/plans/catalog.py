@@ -354,7 +354,7 @@ _HEX = "h AS (SELECT page_id, hex(encode(html)) AS x FROM pages)"
 SELECT page_id, b, count(*) AS n, sum(i)::BIGINT AS places FROM b GROUP BY ALL"""
 )
 def bytes_explode(spark, sf_dir):
-    rows = views.page_bytes(spark, sf_dir).select("page_id", F.posexplode(bits.bytes_of(F.col("data"))).alias("i", "b"))
+    rows = bits.explode_bytes(views.page_bytes(spark, sf_dir), ["page_id"], "data")
     return rows.groupBy("page_id", "b").agg(F.count(F.lit(1)).alias("n"), F.sum("i").alias("places"))
 
 

@@ -127,6 +127,16 @@ def test_bit_reader_and_writer():
         reader.source.take(1)
 
 
+def test_exploded_bytes(spark):
+    rows = [(k, bytes(range(250, 256)) * 3 + bytes(range(k))) for k in range(9)] + [(90, b""), (91, None)]
+    frame = spark.createDataFrame(rows, "k int, data binary")
+    got = {}
+    for r in bits.explode_bytes(frame, ["k"], "data").collect():
+        got.setdefault(r.k, {})[r.i] = r.b
+    assert got == {k: dict(enumerate(d)) for k, d in rows if d}
+    assert {r.k: r.b for r in frame.select("k", bits.bytes_of(F.col("data")).alias("b")).collect()} == {k: None if d is None else list(d) for k, d in rows}
+
+
 def test_tag_tree():
     rng = random.Random(3)
     for w, h in ((1, 1), (3, 5), (8, 2)):
