@@ -109,7 +109,8 @@ def chunks(batch: pa.RecordBatch, limit: int = 1 << 20):
     text = batch.column("text")
     if batch.num_rows == 0:
         return
-    ends = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+    offsets = np.int64 if pa.types.is_large_string(text.type) else np.int32
+    ends = np.frombuffer(text.buffers()[1], offsets)[text.offset : text.offset + len(text) + 1].astype(np.int64)
     at = 0
     while at < batch.num_rows:
         stop = int(np.searchsorted(ends, ends[at] + limit, side="right")) - 1

@@ -317,6 +317,8 @@ def _nodes(classes: DataFrame, total: int, similarity: float, recall: float) ->
     # All runs start from the same root, so their chosen positions are known beforehand: a row for each run.
     roots = classes.sparkSession.range(runs_needed(similarity, recall)).select(F.xxhash64(F.lit("run"), "id").alias("path"))
     roots = roots.select("path", F.explode(_places(F.col("path"), similarity)).alias("i")).collect()
+    if not roots:  # so few runs are asked for that none of them chose a position
+        roots = [{"path": 0, "i": 0}]
     level = signs.select("class", F.explode(F.array(*[F.xxhash64(F.lit(r["path"]), F.lit(r["i"]), F.col("sign")[r["i"]]) for r in roots])).alias("node"))
     done, most = None, total * len(roots)
     for depth in range(DEPTH):
