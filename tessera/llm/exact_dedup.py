@@ -171,10 +171,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broad
     group. An empty table gives an empty table; other columns are not read.
     """
     spark = docs.sparkSession
-    rows = common.id_and_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
-    slim = common.settle(common.map_chunks(rows, fingerprint, "doc_id long, row long, print long, sha binary, points long"), "prints")
-    total = slim.count()
+    numbered = common.id_and_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
     with common.scratch(spark) as keep:
+        # Numbers hold for one read only (files are split by the cores there are), so they are stored with the texts.
+        rows = common.settle(numbered, "rows")
+        slim = keep(common.map_chunks(rows, fingerprint, "doc_id long, row long, print long, sha binary, points long"), "prints")
+        total = slim.count()
         groups = keep(_groups(rows, slim, broadcast_fingerprints), "groups")
     out = common.join_with_heavy(slim.drop("print", "points"), groups, ["sha"], "group_size", total)
     alone = F.col("group_size").isNull()

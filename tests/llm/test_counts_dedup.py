@@ -79,3 +79,13 @@ def test_equal_fingerprints_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "fingerprint", same)
     monkeypatch.setattr(exact_dedup, "Route", Route)
     assert sorted(map(str, exact_dedup.dedup(docs).collect())) == want
+
+
+def test_rows_are_numbered_once(spark, tmp_path, resplit):
+    rows = [(k, f"text {k % 150} {'x ' * (k % 7)}") for k in range(1200)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(8).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    documents = docs.toArrow()  # noqa: F841  read by duckdb
+    want = sorted(duckdb.sql(exact_dedup.OP6_SQL).fetchall())
+    resplit()
+    assert sorted(map(tuple, exact_dedup.dedup(docs).collect())) == want
