@@ -344,8 +344,11 @@ def _nodes(classes: DataFrame, total: int, similarity: float, recall: float) ->
     return parts.select("node", "class", "block", "pair", task.alias("task"))
 
 
-def _linked(docs: DataFrame, rows: DataFrame, similarity: float, words: int, recall: float, id_col: str, text_col: str) -> DataFrame:
-    """key, weight, first (the lead of the component) and n_links of every class of equal sets."""
+def _linked(texts: DataFrame, rows: DataFrame, similarity: float, words: int, recall: float) -> DataFrame:
+    """key, weight, first (the lead of the component) and n_links of every class of equal sets.
+
+    `texts` has the row and text of each of `rows`.
+    """
     total = rows.count()
     classes = _classes(rows, total)
     nodes = _nodes(classes, total, similarity, recall)
@@ -356,7 +359,7 @@ def _linked(docs: DataFrame, rows: DataFrame, similarity: float, words: int, rec
     near = common.settle(members.groupBy("task").applyInArrow(_candidates(similarity), slim), "candidates", 8 * total)
 
     wanted = common.settle(near.select("class").distinct(), "wanted", total)
-    texts = _numbered(docs, id_col, text_col).join(common.small_or_shuffled(wanted), F.col("row") == F.col("class")).select("class", "text")
+    texts = texts.join(common.small_or_shuffled(wanted), F.col("row") == F.col("class")).select("class", "text")
     near = near.join(classes.select("class", "key", "weight"), "class").join(texts, "class")
     found = common.settle(near.groupBy("task").applyInArrow(_verify(similarity, words), "class long, links long, root long"), "links", 8 * total)
 
@@ -382,9 +385,18 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, re
     doc_id. Rows that repeat an id are rows like others; a null id is the largest, and names a class
     only if all ids in it are null (class_id is then null). An empty table gives an empty table.
     """
-    rows = _sketches(docs, words, id_col, text_col)
     with common.scratch(docs.sparkSession) as keep_table:
-        named = keep_table(_linked(docs, rows, similarity, words, recall, id_col, text_col), "named")
+        numbered = common.id_and_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+        return _joined(common.settle(numbered, "rows"), similarity, words, recall, keep_table)
+
+
+def _joined(numbered: DataFrame, similarity: float, words: int, recall: float, keep_table) -> DataFrame:
+    """`join` of a settled table of doc_id, text and row.
+
+    Numbers hold for one read only (files are split by the cores there are then), so they are stored.
+    """
+    rows = keep_table(common.map_chunks(numbered, Sketch(words), "doc_id long, row long, key binary, size int, sign array<int>"), "sketches")
+    named = keep_table(_linked(numbered, rows, similarity, words, recall), "named")
     out = common.join_with_heavy(rows.select("doc_id", "row", "key"), named, ["key"], "weight", max(1, rows.count()))
     alone = F.col("first").isNull()
     return out.select(
@@ -400,16 +412,6 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, re
 _LAST = 9223372036854775807
 
 
-def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows with their number in the table: the table must read alike each time, as files do."""
-    return common.id_and_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
-
-
-def _sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    schema = "doc_id long, row long, key binary, size int, sign array<int>"
-    return common.settle(common.map_chunks(_numbered(docs, id_col, text_col), Sketch(words), schema), "sketches")
-
-
 def _classes(rows: DataFrame, total: int) -> DataFrame:
     """Classes of equal sets, named by a row. Equal sets have equal min-hashes, so any of them will do."""
     lead = F.min(F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), "row")).alias("lead")
@@ -417,10 +419,16 @@ def _classes(rows: DataFrame, total: int) -> DataFrame:
     return common.settle(classes, "classes", 4 * total)
 
 
-def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs` without those that `join` doesn't keep: one of each class stays, with all columns."""
-    gone = common.settle(join(docs, id_col=id_col, text_col=text_col, **options).filter("NOT kept").select(F.col("row").alias("_row")), "gone")
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(common.small_or_shuffled(gone), "_row", "left_anti").select(*docs.columns)
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, words: int = WORDS, recall: float = RECALL) -> DataFrame:
+    """The rows of `docs` without those that `join` doesn't keep: one of each class stays, with all columns.
+
+    All columns are written once with the number of their row; the join and the result read that table.
+    """
+    whole = common.settle(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    with common.scratch(docs.sparkSession) as keep_table:
+        joined = _joined(common.id_and_text(whole, id_col, text_col, F.col("_row").alias("row")), similarity, words, recall, keep_table)
+    gone = common.settle(joined.filter("NOT kept").select(F.col("row").alias("_row")), "gone")
+    return whole.join(common.small_or_shuffled(gone), "_row", "left_anti").select(*docs.columns)
 
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -89,6 +89,26 @@ def test_shuffled_texts_and_empty(spark, monkeypatch):
     assert near_join.join(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_rows_are_numbered_once(spark, monkeypatch, tmp_path, resplit, limit):
+    rows = [(k, t) for k, (_, t) in enumerate(corpus(4))]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(8).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(common, "BROADCAST_NUMBERS", limit)
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    want = brute(rows)
+    resplit()
+    assert sorted((r.doc_id, r.class_id, r.n_links, r.kept) for r in near_join.join(docs).collect()) == sorted(want)
+
+
+def test_the_rows_that_are_named_go(spark, tmp_path, resplit):
+    """Copies alone: no text is read for a comparison, so only the last step meets the numbers again."""
+    rows = [(k, f"text {k % 40}") for k in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(8).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    resplit()
+    assert sorted(r.doc_id for r in near_join.keep(docs).collect()) == list(range(40))
+
+
 def test_shingles_and_parts():
     texts = ["a b c d e f g", "", "a", "a b c d e f g", "a  b\tc\nd e f g ", "ab c d e f g", "a b c d e f g h"]
     sets = near_join.shingles(texts)
