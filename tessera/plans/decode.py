@@ -27,8 +27,9 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse(files: DataFrame, max_res: int | None = None) -> DataFrame:
-    """A row per included code-block of (image_id, content); a file that can't be parsed gives a row with `error`.
+    """A row per included code-block of (image_id, content), and one without bytes per tile.
 
+    A file that can't be parsed gives a row with `error`.
     `max_res` leaves out higher resolution levels before they are decoded.
     """
 
@@ -55,12 +56,12 @@ def parse(files: DataFrame, max_res: int | None = None) -> DataFrame:
 
 
 def decode_blocks(blocks: DataFrame) -> DataFrame:
-    """Code-blocks with `samples`: sign and magnitude, first bit-plane at bit 30, row by row."""
+    """Code-blocks with `samples`: sign and magnitude, first bit-plane at bit 30, row by row; null for a tile's own row."""
 
     def run(batches):
         for part in batches:
             rows = part.select(["bytes", "w", "h", "orient", "significant_bits", "passes", "mag_bits"]).to_pylist()
-            samples = [entropy.decode_block(r["bytes"], r["w"], r["h"], r["orient"], r["significant_bits"], r["passes"], r["mag_bits"]) for r in rows]
+            samples = [entropy.decode_block(r["bytes"], r["w"], r["h"], r["orient"], r["significant_bits"], r["passes"], r["mag_bits"]) if r["bytes"] is not None else None for r in rows]
             kept = part.drop_columns(["bytes"])
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(samples, pa.list_(pa.int32()))], names=[*kept.schema.names, "samples"])
 
@@ -77,6 +78,8 @@ def _tile(table: pa.Table, max_res: int | None) -> pa.Table:
     height, width, levels = -(-r0["tile_h"] // (1 << drop)), -(-r0["tile_w"] // (1 << drop)), r0["levels"] - drop
     out = np.zeros((r0["components"], height, width), np.int64 if r0["reversible"] else np.float64)
     for r in rows:
+        if r["samples"] is None:  # the tile's own row: what no block covers stays zero
+            continue
         v = np.array(r["samples"], np.int64).reshape(r["h"], r["w"])
         m = v & 0x7FFFFFFF
         if r["reversible"]:
@@ -105,7 +108,8 @@ def _tile(table: pa.Table, max_res: int | None) -> pa.Table:
 def decode_images(files: DataFrame, max_res: int | None = None) -> DataFrame:
     """A row per line of each tile and component: image_id, tile_no, comp_no, y, x0 and samples from x0 on.
 
-    Images that can't be parsed and tiles without any coded block give no lines (see `parse` for errors).
+    Blocks that aren't coded are zeros, in a tile without any coded block too. Images that can't be parsed
+    give no lines for the tiles that weren't reached (see `parse` for errors).
     """
     blocks = parse(files, max_res).filter("error IS NULL")
     decoded = decode_blocks(blocks).drop("error")

@@ -246,7 +246,11 @@ def _packet(r: ByteReader, h: Header, bands: list[Band]) -> Iterator[tuple]:
 
 
 def codeblocks(data: bytes, max_res: int | None = None) -> Iterator[dict]:
-    """Every included code-block of a codestream, tile by tile, resolution by resolution."""
+    """Every included code-block of a codestream, tile by tile, resolution by resolution.
+
+    After a tile's blocks comes a row for the tile itself, without bytes and of no size, so that a tile
+    is there even if none of its blocks is coded.
+    """
     h, at = main_header(data)
     r, seen = ByteReader(data, at), set()
     while r.peek() == SOT:
@@ -263,6 +267,10 @@ def codeblocks(data: bytes, max_res: int | None = None) -> Iterator[dict]:
             r.take(r.uint(2) - 2)
         r.take(2)
         bounds = tile_bounds(h, tile_no)
+        tile = {
+            "tile_no": tile_no, "tlx": bounds[0], "tly": bounds[1], "tile_w": bounds[2] - bounds[0], "tile_h": bounds[3] - bounds[1], "width": h.width, "height": h.height, "components": h.components,
+            "bits": h.bits, "signed": h.signed, "levels": h.levels, "reversible": h.reversible, "use_mct": h.use_mct,
+        }
         for res in range(h.levels + 1):
             for comp in range(h.components):
                 bands = bands_of(h, bounds, res)
@@ -270,15 +278,14 @@ def codeblocks(data: bytes, max_res: int | None = None) -> Iterator[dict]:
                     if zero is None or max_res is not None and res > max_res:
                         continue
                     expn, mant = h.band(band.index, band.dec_lvl)
-                    yield {
-                        "tile_no": tile_no, "comp_no": comp, "res_no": res, "dec_lvl_no": band.dec_lvl, "orient": band.orient, "cblk_no": no,
+                    yield tile | {
+                        "comp_no": comp, "res_no": res, "dec_lvl_no": band.dec_lvl, "orient": band.orient, "cblk_no": no,
                         "x": band.place[0] + block[2] - band.bounds[0], "y": band.place[1] + block[3] - band.bounds[1], "w": block[4] - block[2], "h": block[5] - block[3],
                         "expn": expn, "mant": mant, "mag_bits": expn + h.guard - 1, "significant_bits": expn + h.guard - 1 - zero, "passes": passes, "bytes": body,
-                        "tlx": bounds[0], "tly": bounds[1], "tile_w": bounds[2] - bounds[0], "tile_h": bounds[3] - bounds[1], "width": h.width, "height": h.height, "components": h.components,
-                        "bits": h.bits, "signed": h.signed, "levels": h.levels, "reversible": h.reversible, "use_mct": h.use_mct,
                     }
         if length and r.at > start + length:
             raise ValueError(f"tile {tile_no} is longer than it says")
+        yield tile | {"w": 0, "h": 0}
         r.at = start + length if length else r.at
     if r.peek() not in (EOC, -1):
         raise ValueError(f"{r.peek():04x} after a tile")

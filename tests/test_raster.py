@@ -51,6 +51,31 @@ def test_lower_resolution(spark):
     assert len(got) == 64 and {r.v for r in got} == {77}
 
 
+def test_tiles_without_coded_blocks(spark):
+    """Samples of mid-grey are zeros after the level shift, and no block of zeros is included."""
+    grey, half = np.full((3, 20, 24), 128), np.full((1, 32, 32), 128)
+    half[0, :16, :16] = image(1, 16, 16)[0]
+    checked = 128 + 100 * (-1) ** np.add.outer(np.arange(8), np.arange(8))[None]  # its blocks lie above resolution 0
+    files = [(1, to_file(grey, {"levels": 2, "tile": (16, 16), "mct": True})), (2, to_file(half, {"levels": 2, "tile": (16, 16)})), (3, to_file(checked, {"levels": 1})), (4, to_file(np.zeros((1, 6, 5), int), {"levels": 1, "signed": True}))]
+    frame = spark.createDataFrame(files, "image_id int, content binary")
+
+    def decoded(max_res=None):
+        got = {}
+        for r in decode.pixels(decode.decode_images(frame, max_res)).collect():
+            got.setdefault(r.image_id, {})[r.comp_no, r.y, r.x] = r.v
+        return got
+
+    full = decoded()
+    for k, p in ((1, grey), (2, half), (3, checked), (4, np.zeros((1, 6, 5)))):
+        assert full[k] == {c: int(v) for c, v in np.ndenumerate(p)}, k
+    assert decoded(0)[3] == {(0, y, x): 128 for y in range(4) for x in range(4)}
+    sizes = {r.image_id: len(r.content) for r in sinks.bmp_images(decode.decode_images(frame.filter("image_id < 3"))).collect()}
+    assert sizes == {1: 54 + 4 * 20 * 24, 2: 54 + 4 * 32 * 32}
+    # A tile that ends too early isn't filled.
+    cut = spark.createDataFrame([(1, synthetic.encode(half, levels=2, tile=(16, 16))[:-3])], "image_id int, content binary")
+    assert {r.tile_no for r in decode.decode_images(cut).collect()} == {0, 1, 2}
+
+
 def test_truncated_streams_raise():
     stream = synthetic.encode(image(1, 16, 16), levels=2)
     for cut in range(0, len(stream) - 2, 3):
