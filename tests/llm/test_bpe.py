@@ -1,6 +1,8 @@
 import hashlib
 
+import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -24,6 +26,25 @@ def test_agrees_with_tiktoken():
             assert text.encode()[offsets[i] :].startswith(CODER.bytes_of[ids[i]])
 
 
+def test_ranges_decode_by_offsets():
+    for text, ids in zip(CASES, CODER.encode(CASES), strict=True):
+        body, offsets = text.encode(), CODER.offsets(ids)
+        assert CODER.decode_at(ids, offsets) == CODER.decode_at(ids, offsets, block=3) == body
+        for a in range(0, min(len(body), 30) + 2):
+            for b in (a, a + 1, a + 5, a + 700):
+                assert CODER.decode_at(ids, offsets, a, b, block=4) == body[a:b], (text, a, b)
+
+
+def test_round_trip_decodes_by_offsets():
+    class Wrong(bpe.Coder):
+        def offsets(self, ids):
+            return np.concatenate([[0], np.cumsum(np.roll(self.size_of[ids], 1))])
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["a text of words, unlike in length"]})
+    digest = lambda coder: bpe.RoundTrip(PATH)(batch, coder).column("decoded_sha256")[0].as_py()
+    assert digest(CODER) == hashlib.sha256(batch.column("text")[0].as_py().encode()).hexdigest() != digest(Wrong(PATH))
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(list(" \n\t'stmdrevl aAé1½!# 　漢")), st.characters(codec="utf-8")), max_size=30), max_size=4))
 def test_any_text(texts):
