@@ -1,11 +1,13 @@
-"""What the corpus operators share: Arrow mapping, the shared folder and skew-safe joins."""
+"""What the corpus operators share: Arrow mapping, the shared folder, skew-safe joins and word hashes."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
 import functools
+import itertools
 import os
+import re
 import tempfile
 import time
 import uuid
@@ -13,6 +15,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,9 +48,14 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> D
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A fresh folder under the one that all executors share (spark.checkpoint.dir)."""
+    """A fresh folder under the one that all executors share (spark.checkpoint.dir).
+
+    Only a session whose tasks all run on this machine may go without that setting: it gets a folder of its own.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tessera-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return os.path.join(root, f"tessera-{what}-{uuid.uuid4().hex}")
@@ -73,7 +81,18 @@ def settle(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
     if rows is not None:
         df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, rows // ROWS_A_TASK))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def remove(df: DataFrame | None) -> None:
+    """Deletes a table that `settle` has returned, before its scope ends."""
+    if df is not None and (path := getattr(df, "settled_at", None)):
+        for scope in _written:
+            if path in scope:
+                scope.remove(path)
+        _delete(df.sparkSession, [path])
 
 
 def _delete(spark: SparkSession, paths: list[str]) -> None:
@@ -99,11 +118,25 @@ def scratch(spark: SparkSession):
 
 
 def discard(spark: SparkSession) -> None:
-    """Deletes the tables that results of this session read; call it when those are no longer needed."""
+    """Deletes the tables and files that results of this session read; call it when those are no longer needed."""
     _delete(spark, _written[0])
     _written[0].clear()
 
 
+def read_by_results(path: str) -> str:
+    """A folder that `discard` deletes, though `settle` hasn't written it."""
+    _written[0].append(path)
+    return path
+
+
+def free_name(columns: list[str], wish: str) -> str:
+    """`wish`, or it with underscores before it until no column has that name."""
+    taken = {c.lower() for c in columns}
+    while wish.lower() in taken:
+        wish = "_" + wish
+    return wish
+
+
 def chunks(batch: pa.RecordBatch, limit: int = 1 << 20):
     """Slices of a batch whose `text` has about `limit` bytes (one row at least)."""
     text = batch.column("text")
@@ -195,7 +228,7 @@ def crc32_ids(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4"))
 
 
-# Words of byte arrays, hashed without a Python step for each.
+# Words of byte arrays.
 
 _GOLDEN, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = 0x100000001B3
@@ -218,8 +251,13 @@ def _powers(size: int, base: int) -> np.ndarray:
 
 
 @functools.cache
-def _bytes_mixed(salt: int) -> np.ndarray:
-    return mix(np.arange(256, dtype=np.uint64) + np.uint64(salt))
+def _bytes_mixed() -> np.ndarray:
+    return mix(np.arange(1, 257, dtype=np.uint64))
+
+
+def nonblank(data: np.ndarray) -> np.ndarray:
+    """The bytes of all words, one after another."""
+    return data[~_BLANK[data]]
 
 
 def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,27 +266,56 @@ def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int) -> np.ndarray:
-    """64-bit hash of each span: a polynomial in its mixed bytes, taken from prefix sums, and its length."""
+def span_places(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each span to look it up by: a polynomial in its mixed bytes, from prefix sums, and its length.
+
+    Different spans can have the same number (texts can be made to), so whoever finds something by it
+    must compare the bytes.
+    """
     size = 1 << max(10, len(data).bit_length())
     up, down = _powers(size, _STEP), _powers(size, pow(_STEP, -1, 1 << 64))
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_bytes_mixed(salt)[data] * up[: len(data)], out=sums[1:])
+    np.cumsum(_bytes_mixed()[data] * up[: len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _GOLDEN)
 
 
+def word_hashes(found: list[bytes]) -> np.ndarray:
+    """128-bit hashes (two u64 a row) of words; each different word is hashed once."""
+    n = len(found)
+    first: dict[bytes, int] = {}
+    codes = np.fromiter(map(first.setdefault, found, itertools.count()), np.int64, n)
+    row = np.zeros(n, np.int64)
+    row[np.fromiter(first.values(), np.int64, len(first))] = np.arange(len(first))
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, first)), "<u8").reshape(-1, 2)[row[codes]]
+
+
+_SOME_BLANK = re.compile(rb"[\x20\x09-\x0D]").search
+
+
+def cut_at_blanks(body: bytes, limit: int):
+    """Parts of about `limit` bytes that end before a blank: no word is cut, so one may make its part longer."""
+    at = 0
+    while at < len(body):
+        end = min(len(body), at + limit)
+        if end < len(body):
+            end = m.start() if (m := _SOME_BLANK(body, end)) else len(body)
+        yield body[at:end]
+        at = end
+
+
 def runs(data: list[bytes], limit: int):
-    """(document, bytes) in runs of about `limit` bytes; a longer document is cut at blanks."""
+    """(document, bytes) in runs of about `limit` bytes; a longer document is cut at blanks.
+
+    A part longer than `limit`, which has a word of that kind, is a run of its own.
+    """
     run, size = [], 0
     for d, body in enumerate(data):
-        at = 0
-        while at < len(body):
-            end = min(len(body), at + limit)
-            while end < len(body) and body[end] not in BLANKS:
-                end += 1
-            run.append((d, body[at:end]))
-            size += end - at
-            at = end
+        for part in cut_at_blanks(body, limit):
+            if run and len(part) > 2 * limit:
+                yield run
+                run, size = [], 0
+            run.append((d, part))
+            size += len(part)
             if size >= limit:
                 yield run
                 run, size = [], 0

@@ -1,19 +1,24 @@
 """N-gram Jaccard join by chosen paths.
 
-A document is the set of its word n-grams (as 64-bit hashes); documents with equal sets are one class.
-Each class carries `POSITIONS` min-hashes: the tokens of an embedding in which two sets agree in a
-position with a probability that is their similarity. A run starts with all classes in one node and
-splits a node by sampled positions: each is chosen with probability 1/(similarity * POSITIONS), by a
-hash of the node's path, and the classes that share the chosen position's token form a child node. So
-pairs as similar as the threshold expect one common child or more at every step, while others die
-out. Nodes of at most `BUCKET` classes are compared by brute force, and so are larger ones after
-`DEPTH` splits, in blocks. Runs are repeated until a pair at the threshold is missed with a
-probability under 1 - `RECALL`.
+A document is the set of its word n-grams. Documents with equal sets are one class; equal sets are told
+by 128 bits made from 128-bit hashes of their words. Each class carries `POSITIONS` min-hashes: the
+tokens of an embedding in which two sets agree in a position with a probability that is their
+similarity. A run starts with all classes in one node and splits a node by sampled positions: each is
+chosen with probability 1/(similarity * POSITIONS), by a hash of the node's path, and the classes that
+share the chosen position's token form a child node. So pairs as similar as the threshold expect one
+common child or more at every step, while others die out.
+
+The first split is always made. A node is split on until it is small: `BUCKET` classes and `GRAMS` grams
+at most, which are compared by brute force. After every `DEPTH` splits a node that is still large starts
+`RESTARTS` runs of its own, so that depth doesn't cost recall. A node of which one child has more than
+half is a clump of near copies that no split takes apart; it is compared as a whole, in pairs of blocks.
+Runs are repeated until a pair at the threshold is missed with a probability under 1 - `RECALL`.
 
 A pair is counted in the first of the nodes that both its classes reached, so no pair is made a row
 to remove repeats: brute force gives, per class and node, a number of links and one edge to the
 smallest class that it is connected with there. Candidates agree in enough positions that a pair at
-the threshold fails with a probability of about 1e-6; they are verified on whole n-gram sets.
+the threshold fails with a probability of about 1e-6; they are verified on their words, compared as
+such and not by hashes.
 """
 
 from __future__ import annotations
@@ -29,25 +34,28 @@ from pyspark.sql import functions as F
 from . import common
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9999
-POSITIONS, BUCKET, DEPTH = 64, 2048, 3
+POSITIONS, BUCKET, GRAMS = 64, 2048, 1 << 20
+DEPTH, RESTARTS = 3, 4
 #: Nodes of so few members are handled many at a time, about BATCH rows.
 SMALL, BATCH = 32, 512
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _mix = common.mix
 
 
-def shingles(texts: list[str | None], words: int = WORDS, limit: int = 1 << 19) -> list[np.ndarray]:
-    """Sorted distinct n-gram hashes of each text; a text of fewer words is one gram, one without words is empty."""
+def gram_hashes(texts: list[str | None], words: int = WORDS, limit: int = 1 << 19) -> list[np.ndarray]:
+    """128-bit hashes (two u64 a row) of each text's distinct n-grams, in order of the first half.
+
+    A text of fewer words is one gram, one without words has none.
+    """
     data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     own: list[list[np.ndarray]] = [[] for _ in data]
     for run in common.runs(data, limit):
-        joined = np.frombuffer(b"\n".join(body for _, body in run), np.uint8)
-        starts, ends = common.words(joined)
-        hashes = common.span_hashes(joined, starts, ends, 1)
-        cuts = np.searchsorted(starts, np.cumsum([len(body) + 1 for _, body in run]))
-        for (d, _), a, b in zip(run, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
-            own[d].append(hashes[a:b])
-    return [_grams(np.concatenate(parts) if parts else np.zeros(0, np.uint64), words) for parts in own]
+        found = [body.split() for _, body in run]
+        hashes, at = common.word_hashes([w for ws in found for w in ws]), 0
+        for (d, _), ws in zip(run, found, strict=True):
+            own[d].append(hashes[at : at + len(ws)])
+            at += len(ws)
+    return [_grams(np.concatenate(parts) if parts else np.zeros((0, 2), np.uint64), words) for parts in own]
 
 
 def _grams(hashes: np.ndarray, words: int) -> np.ndarray:
@@ -55,10 +63,48 @@ def _grams(hashes: np.ndarray, words: int) -> np.ndarray:
     if not size:
         return hashes
     n = len(hashes) - size + 1
-    grams = np.full(n, np.uint64(size), np.uint64)
+    grams = np.full((n, 2), np.uint64(size), np.uint64)
     for k in range(size):
         grams = _mix(grams * _GOLDEN + hashes[k : k + n])
-    return np.unique(grams)
+    return grams[np.unique(grams[:, 0], return_index=True)[1]]
+
+
+def gram_sets(texts: list[str | None], words: int = WORDS, limit: int = 1 << 19) -> list[np.ndarray]:
+    """The texts' sets of n-grams as sorted numbers, equal for equal grams of these texts and only for those."""
+    names: dict[bytes, int] = {}
+    short: dict[tuple, int] = {}
+    codes: list[np.ndarray] = []
+    for text in texts:
+        parts = [np.zeros(0, np.int64)]
+        for body in common.cut_at_blanks((text or "").encode("utf-8", "surrogatepass"), limit):
+            parts.append(np.array([names.setdefault(w, len(names)) for w in body.split()], np.int64))
+        codes.append(np.concatenate(parts))
+    lengths = np.array([len(c) for c in codes], np.int64)
+    flat = np.concatenate([np.zeros(0, np.int64), *codes])
+    grams, size = flat, 1
+    if len(flat) >= words > 1:
+        blocks = {1: flat}  # names of the runs of 1, 2, 4, ... words
+        while 2 * size <= words:
+            blocks[2 * size] = _named(blocks[size], blocks[size], size)
+            size *= 2
+        grams = blocks[size]
+        for more in sorted(blocks, reverse=True):
+            if size + more <= words:
+                grams, size = _named(grams, blocks[more], size), size + more
+    out, at = [], 0
+    for own, n in zip(codes, lengths.tolist(), strict=True):
+        if n >= words:
+            out.append(np.unique(grams[at : at + n - words + 1]))
+        else:  # numbered after all full grams
+            out.append(np.array([len(flat) + short.setdefault(tuple(own.tolist()), len(short))] if n else [], np.int64))
+        at += n
+    return out
+
+
+def _named(left: np.ndarray, right: np.ndarray, gap: int) -> np.ndarray:
+    """Numbers of the pairs (left[i], right[i + gap]), equal for equal pairs."""
+    n = len(right) - gap
+    return np.unique(left[:n] * (int(right.max()) + 1) + right[gap:], return_inverse=True)[1].astype(np.int64)
 
 
 def _seeds() -> tuple[np.ndarray, np.ndarray]:
@@ -81,34 +127,55 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 class Sketch:
-    """Set hash (16 bytes), size and min-hashes of each row; rows without a word have a null set hash."""
+    """Set hash (16 bytes), size, min-hashes and their lowest bytes of each row; rows without a word have a null set hash."""
 
     def __init__(self, words: int):
         self.words = words
 
     def __call__(self, batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = shingles(batch.column("text").to_pylist(), self.words)
+        sets = gram_hashes(batch.column("text").to_pylist(), self.words)
         full = [k for k, s in enumerate(sets) if len(s)]
-        signs = signatures([sets[k] for k in full])
+        signs = signatures([np.ascontiguousarray(sets[k][:, 0]) for k in full])
         keys: list[bytes | None] = [None] * len(sets)
         rows = np.zeros((len(sets), POSITIONS), np.int32)
         rows[full] = signs.view(np.int32)
         for k in full:
-            keys[k] = xxhash.xxh3_128_digest(sets[k])
+            keys[k] = xxhash.xxh3_128_digest(np.ascontiguousarray(sets[k]))
         offsets = pa.array(np.arange(len(sets) + 1) * POSITIONS, pa.int32())
-        return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "row": batch.column("row"), "key": pa.array(keys, pa.binary()), "size": pa.array([len(s) for s in sets], pa.int32()), "sign": pa.ListArray.from_arrays(offsets, pa.array(rows.ravel(), pa.int32()))})
+        prints = [p.tobytes() for p in rows.astype(np.uint8)]
+        return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "row": batch.column("row"), "key": pa.array(keys, pa.binary()), "size": pa.array([len(s) for s in sets], pa.int32()), "sign": pa.ListArray.from_arrays(offsets, pa.array(rows.ravel(), pa.int32())), "print": pa.array(prints, pa.binary())})
 
 
-def runs_needed(similarity: float = SIMILARITY, recall: float = RECALL) -> int:
-    """Runs after which a pair at the threshold is missed with a probability under 1 - recall.
+SKETCHES = "doc_id long, row long, key binary, size int, sign array<int>, print binary"
 
-    A common node has Poisson(1) common children, as near as POSITIONS is large; the chance to last
-    DEPTH splits follows from that branching process.
+
+def missed(runs: int, similarity: float = SIMILARITY) -> float:
+    """The probability that no run brings a pair at the threshold to a node where it is compared.
+
+    The pair agrees in a binomial number of positions; given that, each split keeps a binomial number of
+    common children, and a node that has to start anew counts as lost where all its own runs are.
     """
-    last = 1.0
+    out, choice = 0.0, 1 / (similarity * POSITIONS)
+    for agree in range(POSITIONS + 1):
+        lost = 0.0  # by a large node
+        for _ in range(50):
+            lost = _run_misses(lost, agree, choice) ** RESTARTS
+        out += math.comb(POSITIONS, agree) * similarity**agree * (1 - similarity) ** (POSITIONS - agree) * _run_misses(lost, agree, choice) ** runs
+    return out
+
+
+def _run_misses(lost: float, agree: int, choice: float) -> float:
     for _ in range(DEPTH):
-        last = 1 - math.exp(-last)
-    return math.ceil(math.log(1 - recall) / math.log(1 - last))
+        lost = (1 - choice * (1 - lost)) ** agree
+    return lost
+
+
+def runs_needed(similarity: float = SIMILARITY, recall: float = RECALL) -> int:
+    """The least number of runs with `missed` under 1 - recall."""
+    runs = 1
+    while missed(runs, similarity) > 1 - recall:
+        runs += 1
+    return runs
 
 
 def _places(path, similarity: float):
@@ -137,14 +204,13 @@ def _alike(signs: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarra
     return mask & (np.minimum(sizes[:, None], sizes[None, :]) >= similarity * np.maximum(sizes[:, None], sizes[None, :]) - 1e-9)
 
 
-def _first_met(mask: np.ndarray, node: int, paths: list[np.ndarray]) -> np.ndarray:
-    """Without the pairs that have met in a node before this one."""
-    earlier = [p[p < node] for p in paths]
-    flat, n = np.concatenate(earlier), len(paths)
+def _not_met(mask: np.ndarray, paths: list[np.ndarray]) -> np.ndarray:
+    """Without the pairs that have met in an earlier node: one that is in both their `paths`."""
+    flat, n = np.concatenate(paths), len(paths)
     if not len(flat):
         return mask
     names, at = np.unique(flat, return_inverse=True)
-    owner = np.repeat(np.arange(n), [len(p) for p in earlier])
+    owner = np.repeat(np.arange(n), [len(p) for p in paths])
     for lo in range(0, len(names), 1024):
         part = (at >= lo) & (at < lo + 1024)
         member = np.zeros((n, min(1024, len(names) - lo)), np.float32)
@@ -155,7 +221,7 @@ def _first_met(mask: np.ndarray, node: int, paths: list[np.ndarray]) -> np.ndarr
 
 def _pairs(table: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows of a table of one or more nodes that are candidates, each pair once over all tasks."""
-    signs = table.column("sign").combine_chunks().flatten().to_numpy().reshape(table.num_rows, POSITIONS)
+    signs = np.frombuffer(b"".join(table.column("print").to_pylist()), np.uint8).reshape(table.num_rows, POSITIONS)
     sizes = table.column("size").to_numpy().astype(np.int64)
     nodes, blocks, pairs = (table.column(c).to_numpy() for c in ("node", "block", "pair"))
     paths = table.column("paths").combine_chunks()
@@ -177,7 +243,7 @@ def _pairs(table: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray]:
         i, j = i[near], j[near]
         if len(i):
             own = {r: set(path_names[path_ends[r] : path_ends[r + 1]].tolist()) for r in np.unique(np.concatenate([i, j])).tolist()}
-            met = np.array([min(own[a] & own[b]) == node for a, b, node in zip(i.tolist(), j.tolist(), nodes[i].tolist(), strict=True)])
+            met = np.array([own[a].isdisjoint(own[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)])
             left.append(i[met])
             right.append(j[met])
     for at, n in zip(edge.tolist(), count.tolist(), strict=True):
@@ -188,7 +254,7 @@ def _pairs(table: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray]:
         if across[rows[0]]:
             mask &= blocks[rows][:, None] != blocks[rows][None, :]
         if mask.any():
-            mask = _first_met(mask, int(nodes[rows[0]]), [path_names[path_ends[r] : path_ends[r + 1]] for r in rows.tolist()])
+            mask = _not_met(mask, [path_names[path_ends[r] : path_ends[r + 1]] for r in rows.tolist()])
         i, j = np.nonzero(mask)
         left.append(rows[i])
         right.append(rows[j])
@@ -208,7 +274,7 @@ def _candidates(similarity: float):
 
 
 def _verify(similarity: float, words: int):
-    """Links of nodes' members on whole n-gram sets, and the smallest class each is connected with."""
+    """Links of nodes' members on their n-grams, and the smallest class each is connected with."""
 
     def run(table: pa.Table) -> pa.Table:
         common.trim()
@@ -216,9 +282,7 @@ def _verify(similarity: float, words: int):
         links = np.zeros(table.num_rows, np.int64)
         left, right = _pairs(table, similarity)
         firsts, row_set = np.unique(ids, return_index=True, return_inverse=True)[1:]
-        sets = shingles([table.column("text")[int(r)].as_py() for r in firsts], words)
-        if any(xxhash.xxh3_128_digest(x) != table.column("key")[int(r)].as_py() for x, r in zip(sets, firsts, strict=True)):
-            raise ValueError("the documents differ between two reads of the table")
+        sets = gram_sets([table.column("text")[int(r)].as_py() for r in firsts], words)
         common_grams = _overlaps(sets, row_set[left], row_set[right])
         sizes = np.array([len(s) for s in sets])[row_set]
         linked = common_grams >= similarity * (sizes[left] + sizes[right] - common_grams) - 1e-9
@@ -251,8 +315,8 @@ def _products(sets: list[np.ndarray], step: int = 1 << 20, width: int = 1 << 22)
     """Common grams of all pairs, by products of incidence blocks over ranges of about `step` grams."""
     n = len(sets)
     both = np.zeros((n, n), np.float32)  # exact: no set has 2**24 grams in a range
-    ranges = 1 + sum(map(len, sets)) // step
-    edges = np.array([k * (1 << 64) // ranges for k in range(1, ranges)], np.uint64)
+    ranges, end = 1 + sum(map(len, sets)) // step, 1 + max((int(s[-1]) for s in sets if len(s)), default=0)
+    edges = np.array([k * end // ranges for k in range(1, ranges)], np.int64)
     cuts = [np.concatenate([[0], np.searchsorted(s, edges), [len(s)]]) for s in sets]
     total = np.zeros((n, n), np.int64)
     for k in range(ranges):
@@ -292,55 +356,83 @@ def _edges_to_classes(edges: DataFrame, nodes: DataFrame, total: int) -> DataFra
     """class, label: the smallest class of each connected component.
 
     A class takes the least label among its neighbours' and its label's own label, so labels travel twice
-    as far each time. They only fall, so an equal sum means the end.
+    as far each time. They only fall, so an equal sum means the end. Few labels are broadcast; of many,
+    those of roots and labels that a large part of the rows has.
     """
-    edges = common.settle(edges.unionByName(edges.select(F.col("root").alias("class"), F.col("class").alias("root"))).distinct(), "edges", total)
+    both = edges.unionByName(edges.select(F.col("root").alias("class"), F.col("class").alias("root")))
+    edges = common.settle(both.distinct(), "edges", total)
     labels = common.settle(nodes.select("class", F.col("class").alias("label")), "labels", total)
+    n_labels, n_edges = labels.count(), edges.count()
+    few = n_labels <= common.BROADCAST_NUMBERS
+    roots = edges.groupBy("root").agg(F.count(F.lit(1)).alias("n"))  # a class is an end of a few edges, or a hub of many
+    if not few:
+        roots = common.settle(roots, "roots", total)
 
     def state(x):
         return x.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
 
     now = state(labels)
     while now is not None:
-        near = edges.join(labels.withColumnRenamed("class", "root"), "root").select("class", "label")
-        jump = labels.join(labels.select(F.col("class").alias("label"), F.col("label").alias("further")), "label").select("class", F.col("further").alias("label"))
+        named, further = labels.withColumnRenamed("class", "root"), labels.select(F.col("class").alias("label"), F.col("label").alias("further"))
+        if few:
+            near = edges.join(F.broadcast(named), "root").select("class", "label")
+            jump = labels.join(F.broadcast(further), "label").select("class", F.col("further").alias("label"))
+        else:
+            near = common.join_with_heavy(edges, named.join(roots, "root"), ["root"], "n", n_edges).select("class", "label")
+            held = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+            jump = common.join_with_heavy(labels, further.join(held, "label"), ["label"], "n", n_labels).select("class", F.col("further").alias("label"))
+        before = labels
         labels = common.settle(labels.unionByName(near).unionByName(jump).groupBy("class").agg(F.min("label").alias("label")), "labels", total)
-        before, now = now, state(labels)
-        if before == now:
+        common.remove(before)
+        last, now = now, state(labels)
+        if last == now:
             break
     return labels
 
 
+def _measured(level: DataFrame, total: int, more: list[str]) -> DataFrame:
+    """`level` without the members that are alone in their node, and with the node's classes n and grams."""
+    sizes = level.groupBy("node", *more).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("grams")).filter("n > 1")
+    sizes = common.settle(sizes, "nodes", total)
+    return common.settle(common.join_with_heavy(level, sizes.drop(*more), ["node"], "n", total).filter("n IS NOT NULL"), "level", total)
+
+
 def _nodes(classes: DataFrame, total: int, similarity: float, recall: float) -> DataFrame:
-    """node, class, block, pair, task: members of the nodes to compare by brute force, larger nodes in pairs of blocks."""
-    signs = classes.select("class", "sign")
+    """node, class, block, pair, task: members of the nodes to compare by brute force, clumps in pairs of blocks."""
     # All runs start from the same root, so their chosen positions are known beforehand: a row for each run.
     roots = classes.sparkSession.range(runs_needed(similarity, recall)).select(F.xxhash64(F.lit("run"), "id").alias("path"))
     roots = roots.select("path", F.explode(_places(F.col("path"), similarity)).alias("i")).collect()
     if not roots:  # so few runs are asked for that none of them chose a position
         roots = [{"path": 0, "i": 0}]
-    level = signs.select("class", F.explode(F.array(*[F.xxhash64(F.lit(r["path"]), F.lit(r["i"]), F.col("sign")[r["i"]]) for r in roots])).alias("node"))
-    done, most = None, total * len(roots)
-    for depth in range(DEPTH):
-        if depth:
-            level = common.settle(level, "members", most)
-        sizes = common.settle(level.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "nodes", most)
-        level = common.settle(level.join(sizes, "node"), "level", most)
-        small, large = level.filter(F.col("n") <= BUCKET), level.filter(F.col("n") > BUCKET)
-        if depth == DEPTH - 1 or large.isEmpty():
-            done = level if done is None else done.unionByName(level)
-            break
-        done = small if done is None else done.unionByName(small)
-        level = large.select("class", "node").join(signs, "class").select("class", F.explode(_chosen(F.col("node"), similarity)).alias("node"))
-    # A node that stays large is compared in blocks: a class meets every block of its node once.
-    parts = done.withColumn("blocks", F.ceil(F.col("n") / BUCKET).cast("int")).withColumn("block", F.pmod(F.xxhash64("class", "node"), F.col("blocks")).cast("int"))
+    starts = F.array(*[F.xxhash64(F.lit(r["path"]), F.lit(r["i"]), F.col("sign")[r["i"]]) for r in roots])
+    most, depth = total * len(roots), 1
+    level = _measured(classes.select("class", "size", F.explode(starts).alias("node")), most, [])
+    is_small = (F.col("n") <= BUCKET) & (F.col("grams") <= GRAMS)
+    columns = ["node", "class", "size", "n", "grams"]
+    done = level.filter(is_small).select(*columns)
+    large = level.filter(~is_small)
+    while not large.isEmpty():
+        runs = RESTARTS if depth % DEPTH == 0 else 1
+        paths = F.array(*[F.xxhash64("node", F.lit(k)) for k in range(runs)]) if runs > 1 else F.array("node")
+        held = large.select("class", F.col("node").alias("parent"), F.col("n").alias("parent_n"), F.explode(paths).alias("node")).join(classes.select("class", "size", "sign"), "class")
+        split = _measured(held.select("class", "size", "parent", "parent_n", F.explode(_chosen(F.col("node"), similarity)).alias("node")), most, ["parent", "parent_n"])
+        clumps = split.filter(2 * F.col("n") > F.col("parent_n")).select(F.col("parent").alias("node")).distinct()
+        clumps = common.settle(clumps, "clumps", most)  # few: each has over BUCKET members or GRAMS grams
+        done = done.unionByName(large.join(clumps, "node", "left_semi").select(*columns))
+        level = split.join(clumps.withColumnRenamed("node", "parent"), "parent", "left_anti").select(*columns)
+        done = done.unionByName(level.filter(is_small))
+        large, depth = level.filter(~is_small), depth + 1
+    # In a clump a class meets every block of its node once.
+    needed = F.greatest(F.ceil(F.col("n") / BUCKET), F.ceil(F.col("grams") / GRAMS)).cast("int")
+    parts = done.withColumn("blocks", needed).withColumn("block", F.pmod(F.xxhash64("class", "node"), F.col("blocks")).cast("int"))
     whole = parts.filter("blocks = 1").withColumn("pair", F.lit(-1))
     split = parts.filter("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     first, second = F.least("block", "other"), F.greatest("block", "other")
     parts = whole.unionByName(split.withColumn("pair", (second * (second + 1) / 2 + first).cast("int")).drop("other"))
-    parts = common.settle(parts.select("node", "class", "block", "pair", "n"), "leaves", most)
-    batches = 1 + parts.count() // BATCH
-    task = F.when(F.col("n") <= SMALL, F.pmod(F.xxhash64("node"), F.lit(batches))).otherwise(F.xxhash64("node", "pair"))
+    parts = common.settle(parts.select("node", "class", "block", "pair", "n", "size"), "leaves", most)
+    held = parts.filter(F.col("n") <= SMALL).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("grams")).first()
+    batches = 1 + max(held["rows"] // BATCH, 4 * held["grams"] // GRAMS)
+    task = F.when(F.col("n") <= SMALL, F.pmod(F.xxhash64("node", "pair"), F.lit(batches))).otherwise(F.xxhash64("node", "pair"))
     return parts.select("node", "class", "block", "pair", task.alias("task"))
 
 
@@ -353,14 +445,16 @@ def _linked(texts: DataFrame, rows: DataFrame, similarity: float, words: int, re
     classes = _classes(rows, total)
     nodes = _nodes(classes, total, similarity, recall)
     paths = nodes.groupBy("class").agg(F.collect_set("node").alias("paths"))
-    members = nodes.join(classes.select("class", "size", "sign").join(paths, "class"), "class")
-    slim = "task long, node long, class long, block int, pair int, size int, sign array<int>, paths array<long>"
+    members = nodes.join(classes.select("class", "size", "print").join(paths, "class"), "class")
+    # Of a class's nodes only those before this one tell whether a pair has met already.
+    members = members.withColumn("paths", F.filter("paths", lambda p: p < F.col("node")))
+    slim = "task long, node long, class long, block int, pair int, size int, print binary, paths array<long>"
     members = members.select(*[c.split()[0] for c in slim.split(", ")])
     near = common.settle(members.groupBy("task").applyInArrow(_candidates(similarity), slim), "candidates", 8 * total)
 
     wanted = common.settle(near.select("class").distinct(), "wanted", total)
     texts = texts.join(common.small_or_shuffled(wanted), F.col("row") == F.col("class")).select("class", "text")
-    near = near.join(classes.select("class", "key", "weight"), "class").join(texts, "class")
+    near = near.join(classes.select("class", "weight"), "class").join(texts, "class")
     found = common.settle(near.groupBy("task").applyInArrow(_verify(similarity, words), "class long, links long, root long"), "links", 8 * total)
 
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
@@ -383,7 +477,9 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, re
     the first in the table, is kept. Texts of fewer words than a gram are one gram;
     null texts and texts without a word have no link and are classes of their own, named by their own
     doc_id. Rows that repeat an id are rows like others; a null id is the largest, and names a class
-    only if all ids in it are null (class_id is then null). An empty table gives an empty table.
+    only if all ids in it are null (class_id is then null). Whole texts are read, a long one in parts; a
+    text that is compared must fit in a task, with eight bytes for each of its words several times over.
+    An empty table gives an empty table; other columns are not read.
     """
     with common.scratch(docs.sparkSession) as keep_table:
         numbered = common.id_and_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
@@ -395,7 +491,7 @@ def _joined(numbered: DataFrame, similarity: float, words: int, recall: float, k
 
     Numbers hold for one read only (files are split by the cores there are then), so they are stored.
     """
-    rows = keep_table(common.map_chunks(numbered, Sketch(words), "doc_id long, row long, key binary, size int, sign array<int>"), "sketches")
+    rows = keep_table(common.map_chunks(numbered, Sketch(words), SKETCHES), "sketches")
     named = keep_table(_linked(numbered, rows, similarity, words, recall), "named")
     out = common.join_with_heavy(rows.select("doc_id", "row", "key"), named, ["key"], "weight", max(1, rows.count()))
     alone = F.col("first").isNull()
@@ -415,21 +511,39 @@ _LAST = 9223372036854775807
 def _classes(rows: DataFrame, total: int) -> DataFrame:
     """Classes of equal sets, named by a row. Equal sets have equal min-hashes, so any of them will do."""
     lead = F.min(F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), "row")).alias("lead")
-    classes = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("row").alias("class"), F.count(F.lit(1)).alias("weight"), lead, F.first("size").alias("size"), F.first("sign").alias("sign"))
+    classes = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("row").alias("class"), F.count(F.lit(1)).alias("weight"), lead, F.first("size").alias("size"), F.first("sign").alias("sign"), F.first("print").alias("print"))
     return common.settle(classes, "classes", 4 * total)
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, words: int = WORDS, recall: float = RECALL) -> DataFrame:
     """The rows of `docs` without those that `join` doesn't keep: one of each class stays, with all columns.
 
-    All columns are written once with the number of their row; the join and the result read that table.
+    All columns, whatever their names, are written once with the number of their row; the join and the
+    result read that table. Nulls, ties, repeated rows, long and empty texts are what they are to `join`:
+    of repeated rows one stays, rows without a word all stay. An empty table gives an empty table.
     """
-    whole = common.settle(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    number = common.free_name(docs.columns, "_row")
+    whole = common.settle(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
     with common.scratch(docs.sparkSession) as keep_table:
-        joined = _joined(common.id_and_text(whole, id_col, text_col, F.col("_row").alias("row")), similarity, words, recall, keep_table)
-    gone = common.settle(joined.filter("NOT kept").select(F.col("row").alias("_row")), "gone")
-    return whole.join(common.small_or_shuffled(gone), "_row", "left_anti").select(*docs.columns)
+        joined = _joined(common.id_and_text(whole, id_col, text_col, F.col(number).alias("row")), similarity, words, recall, keep_table)
+    gone = common.settle(joined.filter("NOT kept").select(F.col("row").alias(number)), "gone")
+    return whole.join(common.small_or_shuffled(gone), number, "left_anti").select(*docs.columns)
 
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return join(common.documents(spark, sf_dir)).drop("row")
+
+
+OP1_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST) AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+grams AS (SELECT r, ws[i : i + 4] AS g FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM d WHERE len(ws) > 0) GROUP BY ALL),
+sizes AS (SELECT r, count(*) AS n FROM grams GROUP BY r),
+numbered AS (SELECT r, dense_rank() OVER (ORDER BY g) AS g FROM grams),
+met AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM numbered AS a JOIN numbered AS b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+pairs AS (SELECT a, b FROM met JOIN sizes AS x ON x.r = a JOIN sizes AS y ON y.r = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reached(r, s) AS (SELECT r, r FROM d UNION SELECT reached.r, links.b FROM reached JOIN links ON links.a = reached.s),
+leads AS (SELECT r, min(s) AS s FROM reached GROUP BY r)
+SELECT d.doc_id, lead.doc_id AS class_id, (SELECT count(*) FROM links WHERE links.a = d.r) AS n_links, d.r = leads.s AS kept
+FROM d JOIN leads ON leads.r = d.r JOIN d AS lead ON lead.r = leads.s
+"""

@@ -17,7 +17,7 @@ QUERIES = {
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 #: DuckDB twins, where SQL can express the operator.
-ORACLES = {"op3_quality_rules": quality.OP3_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL, "op10_line_dedup": line_dedup.OP10_SQL}
+ORACLES = {"op1_ngram_jaccard_join": near_join.OP1_SQL, "op3_quality_rules": quality.OP3_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL, "op10_line_dedup": line_dedup.OP10_SQL}
 
 
 def queries():

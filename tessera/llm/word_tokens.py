@@ -33,10 +33,11 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordTokens:
-    """Ids of texts. What a chunk encodes to is kept in arrays, found by two 64-bit hashes of its bytes.
+    """Ids of texts. What a chunk encodes to is kept in arrays with the chunk's bytes, found by a 64-bit number.
 
-    A batch of texts is hashed, looked up and put together in numpy; only chunks that aren't known yet
-    take Python steps. The arrays are emptied when they hold `capacity` chunks.
+    A batch of texts is looked up, compared byte by byte and put together in numpy; only chunks that
+    aren't known yet take Python steps. A chunk whose number is that of another one is found out by its
+    bytes and encoded by itself. The arrays are emptied when they hold `capacity` chunks.
     """
 
     def __init__(self, path: str, capacity: int = 700_000):
@@ -50,17 +51,19 @@ class WordTokens:
         self.cut = regex.compile(split["pattern"]["Regex"]).findall
         self.model = self.library.model
         self.letters = _byte_letters()
+        self._numbers = common.span_places
         self.capacity = capacity
         self.parts = Memo(self._part, 100_000)
         self._clear()
 
     def _clear(self) -> None:
         slots = 1 << (4 * self.capacity // 3).bit_length()
-        self.first, self.second = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
+        self.number = np.zeros(slots, np.uint64)
         self.entry = np.full(slots, -1, np.int32)
         self.at, self.size = np.zeros(self.capacity, np.int64), np.zeros(self.capacity, np.int32)
-        self.ids = np.zeros(1 << 20, np.uint32)
-        self.known = self.used = 0
+        self.place, self.length = np.zeros(self.capacity, np.int64), np.zeros(self.capacity, np.int32)
+        self.ids, self.bytes = np.zeros(1 << 20, np.uint32), np.zeros(1 << 20, np.uint8)
+        self.known = self.used = self.filled = 0
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -74,75 +77,100 @@ class WordTokens:
             return self._whole(chunk)
         return b"".join(map(self.parts.__getitem__, self.cut(chunk.lower())))
 
-    def _find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Entry of each pair of hashes, -1 if there is none: probing slot after slot."""
-        out = np.full(len(a), -1, np.int32)
+    def _find(self, numbers: np.ndarray) -> np.ndarray:
+        """Entry of each number, -1 if there is none: probing slot after slot."""
+        out = np.full(len(numbers), -1, np.int32)
         mask = np.uint64(len(self.entry) - 1)
-        left, slot = np.arange(len(a)), (a & mask).astype(np.int64)
+        left, slot = np.arange(len(numbers)), (numbers & mask).astype(np.int64)
         while len(left):
             found = self.entry[slot]
-            same = (self.first[slot] == a[left]) & (self.second[slot] == b[left]) & (found >= 0)
+            same = (self.number[slot] == numbers[left]) & (found >= 0)
             out[left[same]] = found[same]
             on = (found >= 0) & ~same
             left, slot = left[on], (slot[on] + 1) & int(mask)
         return out
 
-    def _insert(self, a: np.ndarray, b: np.ndarray, entries: np.ndarray) -> None:
-        """Puts distinct new pairs of hashes into free slots; of those that want one slot the first gets it."""
+    def _insert(self, numbers: np.ndarray, entries: np.ndarray) -> None:
+        """Puts distinct new numbers into free slots; of those that want one slot the first gets it."""
         mask = np.uint64(len(self.entry) - 1)
-        left, slot = np.arange(len(a)), (a & mask).astype(np.int64)
+        left, slot = np.arange(len(numbers)), (numbers & mask).astype(np.int64)
         while len(left):
             free = self.entry[slot] < 0
             place, who = np.unique(slot[free], return_index=True)
             got = left[free][who]
-            self.first[place], self.second[place], self.entry[place] = a[got], b[got], entries[got]
+            self.number[place], self.entry[place] = numbers[got], entries[got]
             stay = np.ones(len(left), bool)
             stay[np.flatnonzero(free)[who]] = False
             left, slot = left[stay], (slot[stay] + 1) & int(mask)
 
-    def _learn(self, a: np.ndarray, b: np.ndarray, chunks: list[bytes]) -> np.ndarray:
+    def _learn(self, numbers: np.ndarray, chunks: list[bytes]) -> np.ndarray:
         """Entries of new chunks."""
         packed = [self._chunk(c.decode("utf-8", "surrogatepass")) for c in chunks]
         self.parts = self.parts.tidied()
         sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-        total, entries = int(sizes.sum()), np.arange(self.known, self.known + len(packed), dtype=np.int32)
+        lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        total, letters, entries = int(sizes.sum()), int(lengths.sum()), np.arange(self.known, self.known + len(packed), dtype=np.int32)
         if self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(total, len(self.ids)), np.uint32)])
-        if self.known + len(packed) > len(self.at):  # a run of more chunks than the capacity
-            more = np.zeros(self.known + len(packed) - len(self.at), np.int64)
-            self.at, self.size = np.concatenate([self.at, more]), np.concatenate([self.size, more.astype(np.int32)])
+        if self.filled + letters > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes, np.zeros(max(letters, len(self.bytes)), np.uint8)])
+        if (lack := self.known + len(packed) - len(self.at)) > 0:  # a run of more chunks than the capacity
+            self.at, self.place = (np.concatenate([x, np.zeros(lack, np.int64)]) for x in (self.at, self.place))
+            self.size, self.length = (np.concatenate([x, np.zeros(lack, np.int32)]) for x in (self.size, self.length))
         self.ids[self.used : self.used + total] = np.frombuffer(b"".join(packed), "<u4")
+        self.bytes[self.filled : self.filled + letters] = np.frombuffer(b"".join(chunks), np.uint8)
         self.at[entries], self.size[entries] = self.used + np.cumsum(sizes) - sizes, sizes
-        self.used, self.known = self.used + total, self.known + len(packed)
+        self.place[entries], self.length[entries] = self.filled + np.cumsum(lengths) - lengths, lengths
+        self.used, self.known, self.filled = self.used + total, self.known + len(packed), self.filled + letters
         while 4 * self.known > 3 * len(self.entry):
             self._grow()
-        self._insert(a, b, entries)
+        self._insert(numbers, entries)
         return entries
 
     def _grow(self) -> None:
         held = self.entry >= 0
-        a, b, entries = self.first[held], self.second[held], self.entry[held]
+        numbers, entries = self.number[held], self.entry[held]
         slots = 2 * len(self.entry)
-        self.first, self.second, self.entry = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64), np.full(slots, -1, np.int32)
-        self._insert(a, b, entries)
+        self.number, self.entry = np.zeros(slots, np.uint64), np.full(slots, -1, np.int32)
+        self._insert(numbers, entries)
+
+    def _others(self, data: np.ndarray, lengths: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """Which chunks of `data` aren't the bytes that their entry holds."""
+        odd = self.length[entry] != lengths
+        if len(self.bytes) < len(data):  # so that an odd entry, whose comparison means nothing, stays within
+            self.bytes = np.concatenate([self.bytes, np.zeros(len(data) - len(self.bytes), np.uint8)])
+        ends = np.cumsum(lengths)
+        held = self.bytes[np.repeat(np.where(odd, 0, self.place[entry]) - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        odd[np.searchsorted(ends, np.flatnonzero(held != common.nonblank(data)), side="right")] = True
+        return np.flatnonzero(odd)
 
     def _run(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, ids of each chunk, start of each chunk) of a byte array."""
         starts, ends = common.words(data)
-        a, b = common.span_hashes(data, starts, ends, 1), common.span_hashes(data, starts, ends, 2)
-        entry = self._find(a, b)
+        numbers = self._numbers(data, starts, ends)
+        entry = self._find(numbers)
         new = np.flatnonzero(entry < 0)
+        raw = data.tobytes()
         if len(new):
-            _, at, place = np.unique(a[new] ^ common.mix(b[new]), return_index=True, return_inverse=True)
+            _, at, place = np.unique(numbers[new], return_index=True, return_inverse=True)
             one = new[at]
-            if self.known and (self.known + len(one) > self.capacity or self.used > 8 * self.capacity):
+            if self.known and (self.known + len(one) > self.capacity or self.used > 8 * self.capacity or self.filled > 32 * self.capacity):
                 self._clear()
                 return self._run(data)
-            raw = data.tobytes()
-            entry[new] = self._learn(a[one], b[one], [raw[i:j] for i, j in zip(starts[one].tolist(), ends[one].tolist(), strict=True)])[place]
-        sizes = self.size[entry].astype(np.int64)
+            entry[new] = self._learn(numbers[one], [raw[i:j] for i, j in zip(starts[one].tolist(), ends[one].tolist(), strict=True)])[place]
+        sizes, at, pool = self.size[entry].astype(np.int64), self.at[entry], self.ids
+        others = self._others(data, ends - starts, entry)
+        if len(others):
+            own = [np.frombuffer(self._chunk(raw[i:j].decode("utf-8", "surrogatepass")), "<u4") for i, j in zip(starts[others].tolist(), ends[others].tolist(), strict=True)]
+            sizes[others] = list(map(len, own))
+            at[others] = self.used + np.cumsum(sizes[others]) - sizes[others]
+            pool = np.concatenate([self.ids[: self.used], *own])
         before = np.cumsum(sizes) - sizes
-        return self.ids[np.repeat(self.at[entry] - before, sizes) + np.arange(int(sizes.sum()))], sizes, starts
+        return pool[np.repeat(at - before, sizes) + np.arange(int(sizes.sum()))], sizes, starts
+
+    def _one_by_one(self, body: bytes) -> np.ndarray:
+        """Ids of bytes with a chunk so long that the arrays of a run would be many times as large."""
+        return np.frombuffer(b"".join([self._chunk(c.decode("utf-8", "surrogatepass")) for c in body.split()]), "<u4")
 
     def encode_batch(self, texts: list[str | None], limit: int = 1 << 19) -> list[np.ndarray]:
         """Ids of each whole text as unsigned 32-bit arrays; null has none."""
@@ -154,6 +182,9 @@ class WordTokens:
                 text = None
             plain.append((text or "").encode("utf-8", "surrogatepass"))
         for run in common.runs(plain, limit):
+            if len(run) == 1 and len(run[0][1]) > 4 * limit:
+                parts[run[0][0]].append(self._one_by_one(run[0][1]))
+                continue
             ids, sizes, starts = self._run(np.frombuffer(b"\n".join(body for _, body in run), np.uint8))
             ends = np.concatenate([[0], np.cumsum(sizes)])
             cuts = ends[np.searchsorted(starts, np.cumsum([len(body) + 1 for _, body in run]))].tolist()
