@@ -1,42 +1,57 @@
 """URL filter: listed rules first, then logistic regression on hashed character n-grams of host and path.
 
-The model is fitted on the driver from a small labelled table of URLs (the default one is below) and
-is a vector of weights that the closure carries.
+The model is fitted on the driver from a small labelled table of URLs, a parameter; the default one is
+made below from words that such names are often made of. It is a vector of weights that the closure
+carries. Batches of URLs are scored in numpy.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import common
 
 DIMENSIONS = 1 << 13
 SIZES = (3, 4, 5)
 #: Rules are (verdict, host and path prefix).
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
-#: Words of hosts and paths that the default labelled table is made of (fixed values).
-UNWANTED = "casino-win free-bets cheap-pills spam-farm adult-x ads-track lucky-slots poker-bonus bet-now online-casino pills-shop viagra-sale xxx-videos adult-chat sex-cams spam-mail click-farm ad-server track-pixel payday-loans fake-watches warez-crack jackpot-spin link-farm".split()
-WANTED = "news library museum weather garden university recipes science history travel music health school village river mountain journal research archive market theatre kitchen football engineering photography".split()
+#: What the default labelled table is made of (fixed values): words of unwanted names with what they are
+#: joined with, words of wanted names, and syllables for names without a meaning.
+UNWANTED = "casino poker wager betting slots roulette jackpot lottery pills pharmacy viagra meds steroids adult porn xxx sex cams escorts spam mailer ads adserver banner popup tracker clicks payday loans replica warez keygen".split()
+HEADS = "best free cheap hot top easy real".split()
+TAILS = "online shop club zone now deals world".split()
+WANTED = "news library museum weather garden university recipes science history travel music health school village river mountain journal research archive market theatre kitchen football engineering photography freedom winter farmers traces address sextant padding classics".split()
 SYLLABLES = "an ble con der ent for ga hin il ja ka lor mer ne or pa qui ren san tion ur ver wen yo zu".split()
 TOPICS = "about articles index page topic story guide notes".split()
 
 
+def _joined(words: list[str]) -> list[str]:
+    """Names made of each word: alone, and joined with heads and tails that say nothing of a page."""
+    out = list(words)
+    for i, w in enumerate(words):
+        for k in range(2):
+            head, tail = HEADS[(3 * i + 2 * k) % len(HEADS)], TAILS[(2 * i + 3 * k) % len(TAILS)]
+            out += [f"{head}-{w}", f"{w}-{tail}", f"{w}{tail}" if k else f"{head}{w}"]
+    return out
+
+
 def labelled() -> list[tuple[str, bool]]:
-    """The default table of (url, unwanted): each name under a few hosts. Both classes get paths of the same kinds."""
-    made = [a + SYLLABLES[(i * 7 + 3) % len(SYLLABLES)] + SYLLABLES[(i * 11 + 5) % len(SYLLABLES)] for i, a in enumerate(SYLLABLES)]
+    """The default table of (url, unwanted): names under several hosts. Both classes get paths of the same kinds."""
+    made = [a + SYLLABLES[(i * 7 + 3 * k) % len(SYLLABLES)] + SYLLABLES[(i * 11 + 5 * k) % len(SYLLABLES)] for k in (1, 2) for i, a in enumerate(SYLLABLES)]
     out = []
-    for names, bad in ((UNWANTED, True), (WANTED + made, False)):
+    for names, bad in ((_joined(UNWANTED), True), (_joined(WANTED) + made, False)):
         for i, name in enumerate(names):
-            for j, (front, end) in enumerate((("", "com"), ("www.", "net"), ("m.", "org"), ("blog.", "com"))):
+            for j in (i % 4, (i + 2) % 4):
+                front, end = (("", "com"), ("www.", "net"), ("m.", "org"), ("blog.", "com"))[j]
                 language = ("en", "fr", "de", "es")[(i + j) % 4]
                 number = (i * 37 + j * 101) % 9973
-                out.append((f"https://{front}{name}.example.{end}/{language}/{number if j % 2 else TOPICS[(i + j) % len(TOPICS)]}", bad))
+                out.append((f"https://{front}{name}.example.{end}/{language}/{number if i % 3 else TOPICS[(i + j) % len(TOPICS)]}", bad))
     return out
 
 
@@ -75,74 +90,94 @@ class Rules:
         return best
 
 
-def features(host: str, path: str) -> np.ndarray:
-    """Distinct buckets of the n-grams of host and path, each marked by where it stands."""
-    out = set()
-    for mark, text in (("h", f"^{host}$"), ("p", f"^{path}$")):
-        for n in SIZES:
-            out |= {zlib.crc32((mark + text[i : i + n]).encode("utf-8", "surrogatepass")) % DIMENSIONS for i in range(len(text) - n + 1)}
-    return np.fromiter(out, np.int64, len(out))
+_MULTIPLIER = np.uint32(0x85EBCA77)
+
+
+def _field(texts: list[str], salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, bucket) of the byte n-grams of each text between its marks ^ and $."""
+    marked = [b"^" + t.encode("utf-8", "surrogatepass") + b"$" for t in texts]
+    data = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint32)
+    owner = np.repeat(np.arange(len(marked)), list(map(len, marked)))
+    owners, buckets = [], []
+    for size in SIZES:
+        n = max(0, len(data) - size + 1)
+        h = np.full(n, np.uint32(8 * salt + size), np.uint32)
+        for k in range(size):
+            h = (h ^ data[k : k + n]) * _MULTIPLIER
+            h ^= h >> np.uint32(15)
+        whole = owner[:n] == owner[len(data) - n :]
+        owners.append(owner[:n][whole])
+        buckets.append((h[whole] % np.uint32(DIMENSIONS)).astype(np.int64))
+    return np.concatenate(owners), np.concatenate(buckets)
+
+
+def features(parts: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
+    """(number in the list, bucket) of the distinct n-grams of each (host, path); host's and path's are told apart."""
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    fields = [_field([p[k] for p in parts], k) for k in range(2)]
+    flat = np.unique(np.concatenate([o * DIMENSIONS + b for o, b in fields]))
+    return flat // DIMENSIONS, flat % DIMENSIONS
 
 
-def fit(table: Iterable[tuple[str, bool]], rounds: int = 300, rate: float = 20.0, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit(table: Iterable[tuple[str, bool]], rounds: int = 500, rate: float = 20.0, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
     """Weights and bias of the regression, by full-batch gradient descent over the columns that occur."""
-    rows = [(features(*split(url)), float(bad)) for url, bad in table]
+    table = list(table)
     w, b = np.zeros(DIMENSIONS), 0.0
-    if not rows:
+    if not table:
         return w, b
-    used = np.unique(np.concatenate([f for f, _ in rows]))
-    x = np.zeros((len(rows), len(used)))
-    for i, (f, _) in enumerate(rows):
-        x[i, np.searchsorted(used, f)] = 1 / np.sqrt(max(1, len(f)))
-    y, v = np.array([b for _, b in rows]), np.zeros(len(used))
+    row, bucket = features([split(url) for url, _ in table])
+    used, column = np.unique(bucket, return_inverse=True)
+    x = 1 / np.sqrt(np.bincount(row, minlength=len(table)))[row]  # of the cells that aren't zero
+    y, v = np.array([float(bad) for _, bad in table]), np.zeros(len(used))
     for _ in range(rounds):
-        error = (1 / (1 + np.exp(-(x @ v + b))) - y) / len(rows)
-        v -= rate * (x.T @ error + ridge * v)
+        error = (1 / (1 + np.exp(-(np.bincount(row, weights=x * v[column], minlength=len(table)) + b))) - y) / len(table)
+        v -= rate * (np.bincount(column, weights=x * error[row], minlength=len(used)) + ridge * v)
         b -= rate / 10 * error.sum()
     w[used] = v
     return w, b
 
 
-def unwanted(host: str, path: str, model: tuple[np.ndarray, float]) -> float:
-    """Probability by the model; 0 without a host, which the model knows nothing of."""
-    if not host:
-        return 0.0
-    f = features(host, path)
-    return float(1 / (1 + np.exp(-(model[0][f].sum() / np.sqrt(max(1, len(f))) + model[1]))))
+def unwanted(parts: list[tuple[str, str]], model: tuple[np.ndarray, float]) -> np.ndarray:
+    """Probability by the model of each (host, path); 0 without a host, which the model knows nothing of."""
+    row, bucket = features(parts)
+    n = np.bincount(row, minlength=len(parts))
+    sums = np.bincount(row, weights=model[0][bucket], minlength=len(parts))
+    return np.where([bool(h) for h, _ in parts], 1 / (1 + np.exp(-(sums / np.sqrt(np.maximum(1, n)) + model[1]))), 0.0)
 
 
 class Judge:
     def __init__(self, rules, model, least):
         self.rules, self.model, self.least = Rules(rules), model, least
 
-    def __call__(self, batches):
-        for batch in batches:
-            split_urls = [split(u) for u in batch.column("url").to_pylist()]
-            found = [self.rules.find(*x) for x in split_urls]
-            scores = [unwanted(*x, self.model) for x in split_urls]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "page_id": batch.column("page_id"),
-                    "host": pa.array([h for h, _ in split_urls], pa.string()),
-                    "path": pa.array([p for _, p in split_urls], pa.string()),
-                    "rule": pa.array([f and f[0] for f in found], pa.string()),
-                    "verdict": pa.array([f[1] if f else "block" if s >= self.least else "allow" for f, s in zip(found, scores, strict=True)], pa.string()),
-                    "unwanted": pa.array(scores, pa.float64()),
-                }
-            )
-
-
-def judge(pages: DataFrame, rules=RULES, table: Iterable[tuple[str, bool]] | None = None, least: float = 0.75, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    def __call__(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        parts = [split(u) for u in batch.column("text").to_pylist()]
+        found = [self.rules.find(*x) for x in parts]
+        scores = unwanted(parts, self.model)
+        return pa.RecordBatch.from_pydict(
+            {
+                "page_id": batch.column("doc_id"),
+                "host": pa.array([h for h, _ in parts], pa.string()),
+                "path": pa.array([p for _, p in parts], pa.string()),
+                "rule": pa.array([f and f[0] for f in found], pa.string()),
+                "verdict": pa.array([f[1] if f else "block" if s >= self.least else "allow" for f, s in zip(found, scores.tolist(), strict=True)], pa.string()),
+                "unwanted": pa.array(scores, pa.float64()),
+            }
+        )
+
+
+def judge(pages: DataFrame, rules=RULES, table: Iterable[tuple[str, bool]] | None = None, least: float = 0.5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict and the model's probability that the page is unwanted.
 
-    No rule: a page is blocked from a probability of `least` on. A null URL or one without `://` has an
-    empty host and path, fits no rule and is allowed. A host keeps its port. A rule such as `org/` needs a path that starts
-    with `/`. Rows are judged one by one: ids may be null or repeat; an empty table gives an empty one.
+    `table` is the labelled one, of (url, unwanted). No rule: a page is blocked from a probability of
+    `least` on. A null URL or one without `://` has an empty host and path, fits no rule and is allowed.
+    A host keeps its port. A rule such as `org/` needs a path that starts with `/`. Rows are judged one by
+    one: ids may be null or repeat; a long URL is read whole; an empty table gives an empty one; other
+    columns are not read.
     """
-    model = fit(labelled() if table is None else list(table))
-    return pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url")).mapInArrow(
-        Judge(rules, model, least), "page_id long, host string, path string, rule string, verdict string, unwanted double"
-    )
+    model = fit(labelled() if table is None else table)
+    rows = common.id_and_text(pages, id_col, url_col)
+    return common.map_chunks(rows, Judge(rules, model, least), "page_id long, host string, path string, rule string, verdict string, unwanted double")
 
 
 def op8_url_filters(spark, sf_dir: str) -> DataFrame:

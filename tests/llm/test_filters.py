@@ -1,7 +1,10 @@
+import math
 import re
+import unicodedata
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 from tessera.llm import langid, quality, urls
@@ -59,14 +62,69 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.predict(docs, langid.learned(docs.limit(0))).collect()} == {"und"}
 
 
+def naive_grams(text):
+    """Buckets of the n-grams, one by one."""
+    symbols = []
+    for c in text.lower():
+        if unicodedata.category(c)[0] == "L":
+            symbols.append(ord(c))
+        elif symbols and symbols[-1]:
+            symbols.append(0)
+    out = []
+    for size in langid.ORDERS:
+        for at in range(len(symbols) - size + 1):
+            h = size * 0x27D4EB2F & 0xFFFFFFFF
+            for k, x in enumerate(symbols[at : at + size]):
+                h = (h ^ x) * int(langid._MIX[k]) & 0xFFFFFFFF
+                h ^= h >> 15
+            if any(symbols[at : at + size]):
+                out.append(h % langid.BUCKETS)
+    return sorted(out)
+
+
+GRAM_TEXTS = ["Ab, cd", "", "x\ny", "\u0130\u00e9 12 z", "__", "a", " a", "\u039f\u0394\u039f\u03a3 \u03a3\u0391\u03a3. x-y--z  ", "\u24b6b 1\u0130", "\n\n"]
+
+
 def test_grams_match_brute_force():
-    texts = ["Ab, cd", "", "x\ny", "İé 12 z", "__"]
-    doc, bucket = langid.grams(texts)
-    one_by_one = [langid.grams([t])[1].tolist() for t in texts]
-    for i, want in enumerate(one_by_one):
-        assert sorted(bucket[doc == i].tolist()) == sorted(want)
-    # "ab cd" with one gap: 4 letters, 4 pairs, 3 triples
-    assert len(one_by_one[0]) == 4 + 4 + 3
+    doc, bucket = langid.grams(GRAM_TEXTS)
+    for i, text in enumerate(GRAM_TEXTS):
+        assert sorted(bucket[doc == i].tolist()) == naive_grams(text), text
+
+
+@pytest.mark.parametrize("limit", [1, 2, 3, 7, 50])
+def test_long_texts_go_part_by_part(limit):
+    for text in [" ".join(GRAM_TEXTS), "abc" * 40, "ab1" * 30 + " , . " * 9 + "c", "1" * 30 + "a", "a b\tc\nd  " * 9]:
+        parts = [b for x in langid.long_grams(text, limit) for b in x.tolist()]
+        assert sorted(parts) == naive_grams(text), (limit, text)
+
+
+def test_model_against_naive_bayes(spark, monkeypatch):
+    """Counts, priors and posteriors, computed text by text with dictionaries."""
+    monkeypatch.setattr(langid, "CHUNK", 40)  # so that texts are long ones here
+    rows = [(i, t, x) for i, (t, x) in enumerate([("the house is here", "en"), ("das Haus ist hier und da, nicht dort " * 4, "de"), ("the river", "en"), (None, "en"), ("ohne Sprache", None), ("la maison", "fr"), ("", "fr"), ("1 2", "de")])]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    held = [(t, x) for _, t, x in rows if t is not None and x is not None]
+    langs = sorted({x for _, x in held})
+    counts = {x: Counter(g for t, y in held if y == x for g in naive_grams(t)) for x in langs}
+    priors = Counter(x for _, x in held)
+    assert model.langs == langs
+    asked = ["the Haus", "hier la maison " * 30, "", "zz", "9"]
+    named, scores = langid.score(asked, model, temperature=2.0)
+    for text, name, got in zip(asked, named, scores, strict=True):
+        logs = [sum(math.log((counts[x][g] + 0.5) / (sum(counts[x].values()) + 0.5 * langid.BUCKETS)) for g in naive_grams(text)) / 2.0 + math.log(priors[x] / len(held)) for x in langs]
+        odds = [math.exp(v - max(logs)) for v in logs]
+        want = (langs[logs.index(max(logs))], max(odds) / sum(odds)) if naive_grams(text) else ("und", 0.0)
+        assert name == want[0] and got == pytest.approx(want[1], rel=1e-4), text
+    two = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_languages=2)
+    assert two.langs == ["de", "en"] and two.priors.tolist() == pytest.approx([math.log(0.5)] * 2)
+
+
+def test_languages_without_labels_and_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "some text", None, "a", 2.0), (2, "12", None, "b", 1.0), (3, None, None, "c", 0.0)], "doc_id long, text string, lang string, lang_pred string, score double")
+    kept = langid.keep(docs, langid.learned(docs))
+    assert kept.schema == docs.schema and [r.doc_id for r in kept.collect()] == [1]
+    assert langid.keep(docs.limit(0), langid.learned(docs.limit(0))).count() == 0
+    assert {(r.lang_pred, r.score) for r in langid.predict(docs, langid.learned(docs)).collect()} == {("und", 0.0)}
 
 
 def test_urls(spark):
@@ -95,7 +153,57 @@ def test_urls(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
-def test_url_model_on_other_names():
-    model = urls.fit(urls.labelled())
-    assert urls.unwanted("www.best-casino.example.org", "/en/7", model) > 0.75
-    assert urls.unwanted("www.oldmaps.example.org", "/en/7", model) < 0.5
+def url_grams(host, path):
+    """Buckets of the n-grams of host and path, one by one."""
+    out = set()
+    for salt, text in enumerate((host, path)):
+        body = b"^" + text.encode("utf-8", "surrogatepass") + b"$"
+        for size in urls.SIZES:
+            for at in range(len(body) - size + 1):
+                h = 8 * salt + size
+                for x in body[at : at + size]:
+                    h = (h ^ x) * int(urls._MULTIPLIER) & 0xFFFFFFFF
+                    h ^= h >> 15
+                out.add(h % urls.DIMENSIONS)
+    return out
+
+
+def test_url_model_against_brute_force():
+    """Features, fit and verdicts, each one number at a time."""
+    table = [("http://casino.example.com/en/1", True), ("http://library.example.com/en/1", False), ("https://poker.ex.org", True), ("x://\u00e4b.org/\u00e4?", False), ("none", False)]
+    parts = [urls.split(u) for u, _ in table]
+    row, bucket = urls.features(parts)
+    sets = [url_grams(*p) for p in parts]
+    assert [set(bucket[row == k].tolist()) for k in range(len(parts))] == sets and len(row) == sum(map(len, sets))
+    w, b = dict.fromkeys(set().union(*sets), 0.0), 0.0
+    for _ in range(40):
+        errors = [(1 / (1 + math.exp(-(sum(w[f] for f in s) / math.sqrt(max(1, len(s))) + b))) - bad) / len(table) for s, (_, bad) in zip(sets, table, strict=True)]
+        w = {f: v - 20.0 * (sum(e / math.sqrt(len(s)) for s, e in zip(sets, errors, strict=True) if f in s) + 1e-5 * v) for f, v in w.items()}
+        b -= 2.0 * sum(errors)
+    model = urls.fit(table, rounds=40)
+    assert model[1] == pytest.approx(b) and np.flatnonzero(model[0]).tolist() == sorted(f for f, v in w.items() if v)
+    assert all(model[0][f] == pytest.approx(v) for f, v in w.items())
+    asked = [*parts, ("poker.library.org", "/q"), ("", ""), ("", "/x")]
+    for p, score in zip(asked, urls.unwanted(asked, model), strict=True):
+        own = url_grams(*p)
+        assert score == pytest.approx(1 / (1 + math.exp(-(sum(w.get(f, 0.0) for f in own) / math.sqrt(max(1, len(own))) + b))) if p[0] else 0.0)
+    assert urls.fit([])[1] == 0 and urls.unwanted([], model).tolist() == []
+
+
+def test_url_model_on_names_it_has_not_seen():
+    """The test tables' names are held out: none is in the labelled table."""
+    held_out = ["casino-win", "free-bets", "cheap-pills", "spam-farm", "adult-x", "ads-track"]
+    table = urls.labelled()
+    assert not [u for u, _ in table if any(x in u for x in held_out)]
+    pages = [urls.split(u) for (u,) in duckdb.sql("SELECT url FROM '/root/testdata/sf0.1/pages.parquet'").fetchall()]
+    assert not {h for h, _ in pages} & {urls.split(u)[0] for u, _ in table}
+    scores = urls.unwanted(pages, urls.fit(table))
+    truth = np.array([any(x in h for x in held_out) for h, _ in pages])
+    blocked = scores >= 0.5
+    assert (truth & blocked).sum() >= 0.85 * truth.sum() and (truth & blocked).sum() >= 0.95 * blocked.sum()
+
+
+def test_url_clashing_names(spark):
+    rows = spark.createDataFrame([(1, "http://a.org/x", "u", 2)], "page_id long, url string, text string, doc_id long")
+    assert [tuple(r)[:5] for r in urls.judge(rows).collect()] == [(1, "a.org", "/x", "org/", "allow")]
+    assert urls.judge(rows, id_col="doc_id", url_col="text").first().page_id == 2

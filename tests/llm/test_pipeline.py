@@ -42,7 +42,7 @@ def test_stages(spark, tmp_path):
         assert sorted(map(str, steps[name][1])) == sorted(map(str, want)), name
 
     before, _ = steps["language_id"]
-    named, scores = langid.score([t or "" for _, t in before], *model)
+    named, scores = langid.score([t or "" for _, t in before], model)
     check("language_id", [r for r, x, s in zip(before, named, scores, strict=True) if x != "und" and s >= 0.5])
     assert {i for i, _ in before} - {i for i, _ in steps["language_id"][1]} == {202, 203}
     before, _ = steps["quality_rules"]
