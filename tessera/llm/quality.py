@@ -1,16 +1,20 @@
 """Quality rules as a short-circuit cascade.
 
 Every row gets its base counts. A row that passes the base test then meets the rules one after
-another until one rejects it. What each rule costs and how often it rejects is measured on a sample of
-the table; the rules run in the order of rejections per second. The order changes the work, never the
-verdict: a row is kept if no rule rejects it.
+another until one rejects it. What each rule costs by itself and which rows it rejects is measured on a
+sample of the table; first comes the rule with most rejections per second, then the one with most among
+the rows that are left, and so on. The order changes the work, never the verdict: a row is kept if no
+rule rejects it.
 """
 
 from __future__ import annotations
 
+import io
 import itertools
 import math
 import time
+import unicodedata
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
@@ -23,48 +27,85 @@ from pyspark.sql import functions as F
 from . import common
 
 SYMBOLS = b"#*$%&|<>"
+#: Bytes of a text whose words or lines are objects at a time.
+PART = 1 << 20
 
 
 class Doc:
-    """A text with its counts; what only some rules need is made when first asked for."""
+    """A text with its counts; what only some rules need is made when first asked for.
+
+    Words are kept as numbers, eight bytes each, and only different ones as objects.
+    """
 
     def __init__(self, text: str | None):
-        self.text = text or ""
-        self.data = self.text.encode("utf-8", "surrogatepass")
-        self.words = self.data.split()  # at [\x20\x09-\x0D], as the contract has it
-        self.n_words = len(self.words)
-        self.word_chars = len(self.text) - (len(self.data) - len(self.data.translate(None, common.BLANKS)))
-        self.n_symbols = len(self.data) - len(self.data.translate(None, SYMBOLS))
-        lines = [x for x in self.data.split(b"\n") if x.strip()]
-        self.n_lines = len(lines)
-        self.n_dup_lines = len(lines) - len(set(lines))
-        self.n_repeat_words = repeat_words(self.words)
-        self.base_failed = self.n_words < 50 or 100 * self.n_repeat_words > 50 * self.n_words
+        text = text or ""
+        data = text.encode("utf-8", "surrogatepass")
+        self.first: dict[bytes, int] = {}
+        parts, n = [np.zeros(0, np.int64)], 0
+        for body in common.cut_at_blanks(data, PART):
+            words = body.split()  # at [\x20\x09-\x0D], as the contract has it
+            parts.append(np.fromiter(map(self.first.setdefault, words, itertools.count(n)), np.int64, len(words)))
+            n += len(words)
+        self.codes = parts[1] if len(parts) == 2 else np.concatenate(parts)
+        self.n_words = n
+        self.word_chars = len(text) - (len(data) - len(data.translate(None, common.BLANKS)))
+        self.n_symbols = len(data) - len(data.translate(None, SYMBOLS))
+        self.n_lines, self.n_dup_lines = _lines(data)
+        self.n_repeat_words = repeat_words(self.codes)
+        self.base_failed = n < 50 or 100 * self.n_repeat_words > 50 * n
+
+    @property
+    def distinct_words(self) -> int:
+        return len(self.first)
 
     @cached_property
-    def distinct_words(self) -> int:
-        return len(set(self.words))
+    def counts(self) -> np.ndarray:
+        """How often each different word occurs, in the order of `first`."""
+        return np.bincount(self.codes)[np.fromiter(self.first.values(), np.int64, len(self.first))] if self.first else np.zeros(0, np.int64)
 
     @cached_property
     def strings(self) -> list[str]:
-        return [w.decode("utf-8", "surrogatepass") for w in self.words]
+        return [w.decode("utf-8", "surrogatepass") for w in self.first]
 
-    @cached_property
-    def shouted(self) -> int:
-        return sum(w.isupper() for w in self.strings)
+    def words_that(self, test: Callable[[str], bool]) -> int:
+        return int(self.counts[np.fromiter(map(test, self.strings), bool, len(self.strings))].sum())
+
+    def forget(self) -> None:
+        """Drops what rules have asked for, so that the next one is measured by itself."""
+        self.__dict__.pop("counts", None)
+        self.__dict__.pop("strings", None)
+
+
+def shouts(word: str) -> bool:
+    """Has an upper-case letter (Lu) and no lower-case one (Ll)."""
+    if word.isascii():
+        return word.isupper()
+    kinds = set(map(unicodedata.category, word))
+    return "Lu" in kinds and "Ll" not in kinds
 
-    @cached_property
-    def lettered(self) -> int:
-        return sum(w.isalpha() or any(map(str.isalpha, w)) for w in self.strings)
 
+def has_letter(word: str) -> bool:
+    return word.isalpha() or any(map(str.isalpha, word))
 
-def repeat_words(words: list[bytes], size: int = 3) -> int:
-    """Words within windows of `size` words that occur twice or more."""
-    n = len(words)
+
+def _lines(data: bytes) -> tuple[int, int]:
+    """Lines with a word, and those of them that equal an earlier one."""
+    if len(data) <= PART:
+        lines = [x for x in data.split(b"\n") if x.strip()]
+        return len(lines), len(lines) - len(set(lines))
+    n, seen = 0, set()
+    for line in io.BytesIO(data):
+        if line.strip():
+            n += 1
+            seen.add(line.removesuffix(b"\n"))
+    return n, n - len(seen)
+
+
+def repeat_words(codes: np.ndarray, size: int = 3) -> int:
+    """Words within windows of `size` words that occur twice or more; `codes` are equal for equal words."""
+    n = len(codes)
     if n <= size:
         return 0
-    first: dict[bytes, int] = {}
-    codes = np.fromiter(map(first.setdefault, words, itertools.count()), np.int64, n)
     key = codes[: n - size + 1]
     for k in range(1, size):
         if n >= 2_000_000:  # keep products within 64 bits
@@ -91,40 +132,60 @@ def rules(symbols=0.1, dup_lines=0.5, shouted=0.4, lettered=0.7, vocabulary=2.0,
         Rule("dup_lines", lambda d: d.n_dup_lines > dup_lines * d.n_lines),
         Rule("word_length", lambda d: not shortest * d.n_words <= d.word_chars <= longest * d.n_words),
         Rule("vocabulary", lambda d: d.distinct_words < vocabulary * math.sqrt(d.n_words)),
-        Rule("shouted", lambda d: d.shouted > shouted * d.n_words),
-        Rule("lettered", lambda d: d.lettered < lettered * d.n_words),
+        Rule("shouted", lambda d: d.words_that(shouts) > shouted * d.n_words),
+        Rule("lettered", lambda d: d.words_that(has_letter) < lettered * d.n_words),
     ]
 
 
-def measure(docs: DataFrame, cascade: list[Rule], sample_rows: int = 2000, seed: int = 7, text_col: str = "text") -> dict[str, tuple[float, float]]:
-    """(share of rows rejected, seconds a row) of each rule, on about `sample_rows` rows that pass the base test."""
-    total = docs.count()
+@dataclass(frozen=True)
+class Measured:
+    """Seconds a row of each rule, and how many sampled rows each set of rules (a bit a rule) rejects."""
+
+    seconds: list[float]
+    rows: dict[int, int]
+
+
+def measure(docs: DataFrame, cascade: list[Rule], sample_rows: int = 2000, seed: int = 7, text_col: str = "text") -> Measured:
+    """Cost and selectivity of the rules on about `sample_rows` rows, of which those that pass the base test count."""
+    total = docs.select(F.lit(1)).count()
     sample = docs.select(docs[text_col].cast("string").alias("text"))
     if total > sample_rows:
         sample = sample.sample(fraction=sample_rows / total, seed=seed)
 
     def run(batches):
-        n, seconds, hits = 0, [0.0] * len(cascade), [0] * len(cascade)
+        seconds, rows = [0.0] * len(cascade), Counter()
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 doc = Doc(text)
                 if doc.base_failed:
                     continue
-                n += 1
+                rejected = 0
                 for k, rule in enumerate(cascade):
+                    doc.forget()
                     began = time.perf_counter()
-                    hits[k] += rule.rejects(doc)
+                    rejected |= bool(rule.rejects(doc)) << k
                     seconds[k] += time.perf_counter() - began
-        yield pa.RecordBatch.from_pydict({"k": pa.array(range(len(cascade)), pa.int32()), "n": pa.array([n] * len(cascade), pa.int64()), "hits": pa.array(hits, pa.int64()), "seconds": pa.array(seconds, pa.float64())})
+                rows[rejected] += 1
+        # A row for each rule with its seconds, and one for each set of rules with its rows.
+        yield pa.RecordBatch.from_pydict({"rule": pa.array([*range(len(cascade)), *[None] * len(rows)], pa.int32()), "rejected": pa.array([*[None] * len(cascade), *rows], pa.int64()), "n": pa.array([0] * len(cascade) + list(rows.values()), pa.int64()), "seconds": pa.array(seconds + [0.0] * len(rows), pa.float64())})
 
-    sums = sample.mapInArrow(common.tidy(run), "k int, n long, hits long, seconds double").groupBy("k").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.sum("seconds").alias("seconds"))
-    found = {r["k"]: (r["hits"] / max(1, r["n"]), r["seconds"] / max(1, r["n"])) for r in sums.collect()}  # a row for each rule
-    return {rule.name: found.get(k, (0.0, 0.0)) for k, rule in enumerate(cascade)}
+    sums = sample.mapInArrow(common.tidy(run), "rule int, rejected long, n long, seconds double").groupBy("rule", "rejected").agg(F.sum("n").alias("n"), F.sum("seconds").alias("seconds"))
+    found = sums.collect()  # a row for each rule and for each set of rules that rejects a sampled row
+    rows = {r["rejected"]: r["n"] for r in found if r["rejected"] is not None}
+    n = max(1, sum(rows.values()))
+    by_rule = {r["rule"]: r["seconds"] / n for r in found if r["rule"] is not None}
+    return Measured([by_rule.get(k, 0.0) for k in range(len(cascade))], rows)
 
 
-def order(cascade: list[Rule], measured: dict[str, tuple[float, float]]) -> list[Rule]:
-    """Most rejections per second first; ties keep their place."""
-    return sorted(cascade, key=lambda r: -measured[r.name][0] / max(measured[r.name][1], 1e-9))
+def order(cascade: list[Rule], measured: Measured) -> list[Rule]:
+    """Each time the rule with most rejections per second among the rows left; ties keep their place."""
+    rows, left, out = dict(measured.rows), list(range(len(cascade))), []
+    while left:
+        best = max(left, key=lambda k: sum(n for rejected, n in rows.items() if rejected >> k & 1) / max(measured.seconds[k], 1e-9))
+        left.remove(best)
+        out.append(cascade[best])
+        rows = {rejected: n for rejected, n in rows.items() if not rejected >> best & 1}
+    return out
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -145,8 +206,9 @@ class Judge:
 def judge(docs: DataFrame, cascade: list[Rule] | None = None, sample_rows: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: base counts, base_failed, kept, and the rule that rejected it first, if one did.
 
-    Null and empty texts have no words and fail the base test; whole texts of any length are read; null
-    and repeated ids are judged row by row; an empty table gives an empty table; other columns are not
+    Null and empty texts have no words and fail the base test; whole texts of any length are read, with
+    eight bytes a word and the different words and lines as objects; null and repeated ids are judged row
+    by row; an empty table gives an empty table; other columns are not
     read. `rejected_by` names the first of the rules in their measured order, which may differ between
     runs where several reject; `kept` does not.
     """
@@ -163,12 +225,16 @@ class Sieve:
 
     def __call__(self, batches):
         for batch in batches:
-            docs = map(Doc, batch.column(self.text_col).to_pylist())
+            docs = map(Doc, batch.column(batch.schema.get_field_index(self.text_col)).cast(pa.string()).to_pylist())
             yield batch.filter(pa.array([not d.base_failed and not any(r.rejects(d) for r in self.cascade) for d in docs], pa.bool_()))
 
 
 def keep(docs: DataFrame, cascade: list[Rule] | None = None, sample_rows: int = 2000, text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that `judge` keeps, with all their columns."""
+    """The rows of `docs` that `judge` keeps, with all their columns, whatever those are named.
+
+    Null, empty and long texts and repeated rows are judged as there; ids aren't read; an empty table gives
+    an empty table.
+    """
     cascade = order(cascade or rules(), measure(docs, cascade or rules(), sample_rows, text_col=text_col))
     common.small_batches(docs.sparkSession)
     return docs.mapInArrow(common.tidy(Sieve(cascade, text_col)), docs.schema)

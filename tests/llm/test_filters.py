@@ -1,5 +1,6 @@
 import math
 import re
+import time
 import unicodedata
 from collections import Counter
 
@@ -25,8 +26,19 @@ def test_counts():
     for text in TEXTS:
         doc = quality.Doc(text)
         assert tuple(getattr(doc, c) for c in quality.COUNTS) == brute(text), repr(text)[:60]
-    words = [b"%d" % (i % 9) for i in range(200)]
-    assert quality.repeat_words(words) == 200
+    assert quality.repeat_words(np.arange(200) % 9) == 200
+
+
+def test_counts_of_long_texts(monkeypatch):
+    monkeypatch.setattr(quality, "PART", 16)
+    test_counts()
+
+
+def test_words_with_letters_like_numerals():
+    words = {"ABC": (True, True), "Abc": (False, True), "\u2167": (False, False), "\u24b6": (False, False), "\u01c5": (False, True), "\u00c9T\u00c9": (True, True), "12": (False, False), "A1\u2167": (True, True)}
+    assert {w: (quality.shouts(w), quality.has_letter(w)) for w in words} == words
+    for w, want in words.items():
+        assert duckdb.sql(f"SELECT regexp_matches('{w}', '\\p{{Lu}}') AND NOT regexp_matches('{w}', '\\p{{Ll}}'), regexp_matches('{w}', '\\p{{L}}')").fetchall() == [want], w
 
 
 @pytest.mark.parametrize("empty", [False, True])
@@ -43,9 +55,18 @@ def test_quality_frame_and_sql(spark, empty):
 
 
 def test_order_follows_measure():
-    cascade = [quality.Rule(n, lambda d: False) for n in "abc"]
-    got = quality.order(cascade, {"a": (0.1, 1e-3), "b": (0.0, 1e-6), "c": (0.1, 1e-4)})
-    assert [r.name for r in got] == ["c", "a", "b"]
+    cascade = [quality.Rule(n, lambda d: False) for n in "abcd"]
+    # d rejects most, but nothing that c leaves; a rejects little, but what c leaves
+    measured = quality.Measured([1e-3, 1e-6, 1e-4, 1e-4], {0b1100: 50, 0b0100: 10, 0b0001: 5, 0: 100})
+    assert [r.name for r in quality.order(cascade, measured)] == ["c", "a", "b", "d"]
+    assert [r.name for r in quality.order(cascade, quality.Measured([0.0] * 4, {}))] == list("abcd")
+
+
+def test_measure_finds_cost_and_rejections(spark):
+    texts = [" ".join(f"word{i}" for i in range(60))] * 3 + [" ".join(f"WORD{i}" for i in range(60)), "short", None]
+    slow = quality.Rule("slow", lambda d: time.sleep(0.002) or False)
+    got = quality.measure(spark.createDataFrame([(t,) for t in texts], "text string"), [slow, quality.rules()[4]])
+    assert got.rows == {0: 3, 2: 1} and got.seconds[0] > 0.002 > got.seconds[1]
 
 
 def test_language(spark):
