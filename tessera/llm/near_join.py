@@ -28,7 +28,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -127,7 +127,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 class Sketch:
-    """Set hash (16 bytes), size, min-hashes and their lowest bytes of each row; rows without a word have a null set hash."""
+    """Set hash (16 bytes), size and min-hashes of each row, beside its number and digest; rows without a word have a null set hash."""
 
     def __init__(self, words: int):
         self.words = words
@@ -142,11 +142,15 @@ class Sketch:
         for k in full:
             keys[k] = xxhash.xxh3_128_digest(np.ascontiguousarray(sets[k]))
         offsets = pa.array(np.arange(len(sets) + 1) * POSITIONS, pa.int32())
-        prints = [p.tobytes() for p in rows.astype(np.uint8)]
-        return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "row": batch.column("row"), "key": pa.array(keys, pa.binary()), "size": pa.array([len(s) for s in sets], pa.int32()), "sign": pa.ListArray.from_arrays(offsets, pa.array(rows.ravel(), pa.int32())), "print": pa.array(prints, pa.binary())})
+        return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "row": batch.column("row"), "digest": batch.column("digest").cast(pa.binary()), "key": pa.array(keys, pa.binary()), "size": pa.array([len(s) for s in sets], pa.int32()), "sign": pa.ListArray.from_arrays(offsets, pa.array(rows.ravel(), pa.int32()))})
 
 
-SKETCHES = "doc_id long, row long, key binary, size int, sign array<int>, print binary"
+SKETCHES = "doc_id long, row long, digest binary, key binary, size int, sign array<int>"
+
+
+def _digest(text) -> Column:
+    """16 bytes of a text's SHA-256, by which a text is found again."""
+    return F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 32))
 
 
 def missed(runs: int, similarity: float = SIMILARITY) -> float:
@@ -221,7 +225,7 @@ def _not_met(mask: np.ndarray, paths: list[np.ndarray]) -> np.ndarray:
 
 def _pairs(table: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows of a table of one or more nodes that are candidates, each pair once over all tasks."""
-    signs = np.frombuffer(b"".join(table.column("print").to_pylist()), np.uint8).reshape(table.num_rows, POSITIONS)
+    signs = table.column("print").combine_chunks().flatten().to_numpy().reshape(table.num_rows, POSITIONS)
     sizes = table.column("size").to_numpy().astype(np.int64)
     nodes, blocks, pairs = (table.column(c).to_numpy() for c in ("node", "block", "pair"))
     paths = table.column("paths").combine_chunks()
@@ -282,7 +286,10 @@ def _verify(similarity: float, words: int):
         links = np.zeros(table.num_rows, np.int64)
         left, right = _pairs(table, similarity)
         firsts, row_set = np.unique(ids, return_index=True, return_inverse=True)[1:]
-        sets = gram_sets([table.column("text")[int(r)].as_py() for r in firsts], words)
+        texts = [table.column("text")[int(r)].as_py() for r in firsts]
+        if None in texts:
+            raise ValueError("the documents differ between two reads of the table")
+        sets = gram_sets(texts, words)
         common_grams = _overlaps(sets, row_set[left], row_set[right])
         sizes = np.array([len(s) for s in sets])[row_set]
         linked = common_grams >= similarity * (sizes[left] + sizes[right] - common_grams) - 1e-9
@@ -413,8 +420,10 @@ def _nodes(classes: DataFrame, total: int, similarity: float, recall: float) ->
     large = level.filter(~is_small)
     while not large.isEmpty():
         runs = RESTARTS if depth % DEPTH == 0 else 1
-        paths = F.array(*[F.xxhash64("node", F.lit(k)) for k in range(runs)]) if runs > 1 else F.array("node")
-        held = large.select("class", F.col("node").alias("parent"), F.col("n").alias("parent_n"), F.explode(paths).alias("node")).join(classes.select("class", "size", "sign"), "class")
+        paths = F.array(*[F.xxhash64("parent", F.lit(k)) for k in range(runs)]) if runs > 1 else F.array("parent")
+        members = large.select("class", F.col("node").alias("parent"), F.col("n").alias("parent_n"))
+        held = classes.select("class", "size", "sign").join(common.small_or_shuffled(members, 1 << 18), "class")
+        held = held.select("*", F.explode(paths).alias("node"))
         split = _measured(held.select("class", "size", "parent", "parent_n", F.explode(_chosen(F.col("node"), similarity)).alias("node")), most, ["parent", "parent_n"])
         clumps = split.filter(2 * F.col("n") > F.col("parent_n")).select(F.col("parent").alias("node")).distinct()
         clumps = common.settle(clumps, "clumps", most)  # few: each has over BUCKET members or GRAMS grams
@@ -436,25 +445,29 @@ def _nodes(classes: DataFrame, total: int, similarity: float, recall: float) ->
     return parts.select("node", "class", "block", "pair", task.alias("task"))
 
 
-def _linked(texts: DataFrame, rows: DataFrame, similarity: float, words: int, recall: float) -> DataFrame:
+def _linked(docs: DataFrame, rows: DataFrame, similarity: float, words: int, recall: float) -> DataFrame:
     """key, weight, first (the lead of the component) and n_links of every class of equal sets.
 
-    `texts` has the row and text of each of `rows`.
+    `docs` has the doc_id and text of each of `rows`; it is read again for the texts of candidates, which
+    are found by doc_id and digest, so that it doesn't matter how it is split then.
     """
     total = rows.count()
     classes = _classes(rows, total)
     nodes = _nodes(classes, total, similarity, recall)
     paths = nodes.groupBy("class").agg(F.collect_set("node").alias("paths"))
-    members = nodes.join(classes.select("class", "size", "print").join(paths, "class"), "class")
+    low = F.transform("sign", lambda x: (x.bitwiseAND(255) - 128).cast("byte")).alias("print")  # enough to find candidates
+    members = nodes.join(classes.select("class", "size", low).join(paths, "class"), "class")
     # Of a class's nodes only those before this one tell whether a pair has met already.
     members = members.withColumn("paths", F.filter("paths", lambda p: p < F.col("node")))
-    slim = "task long, node long, class long, block int, pair int, size int, print binary, paths array<long>"
+    slim = "task long, node long, class long, block int, pair int, size int, print array<byte>, paths array<long>"
     members = members.select(*[c.split()[0] for c in slim.split(", ")])
     near = common.settle(members.groupBy("task").applyInArrow(_candidates(similarity), slim), "candidates", 8 * total)
 
-    wanted = common.settle(near.select("class").distinct(), "wanted", total)
-    texts = texts.join(common.small_or_shuffled(wanted), F.col("row") == F.col("class")).select("class", "text")
-    near = near.join(classes.select("class", "weight"), "class").join(texts, "class")
+    wanted = near.select("class").distinct().join(classes.select("class", F.col("lead_row.doc_id").alias("id"), F.col("lead_row.digest").alias("digest")), "class")
+    wanted = common.small_or_shuffled(common.settle(wanted, "wanted", total), 1 << 18)
+    texts = docs.select("doc_id", "text", _digest(F.col("text")).alias("own"))
+    texts = texts.join(wanted, (F.col("own") == F.col("digest")) & F.col("doc_id").eqNullSafe(F.col("id"))).groupBy("class").agg(F.first("text").alias("text"))
+    near = near.join(classes.select("class", "weight"), "class").join(texts, "class", "left")
     found = common.settle(near.groupBy("task").applyInArrow(_verify(similarity, words), "class long, links long, root long"), "links", 8 * total)
 
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
@@ -483,15 +496,17 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, re
     """
     with common.scratch(docs.sparkSession) as keep_table:
         numbered = common.id_and_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
-        return _joined(common.settle(numbered, "rows"), similarity, words, recall, keep_table)
+        return _joined(numbered, similarity, words, recall, keep_table)
 
 
 def _joined(numbered: DataFrame, similarity: float, words: int, recall: float, keep_table) -> DataFrame:
-    """`join` of a settled table of doc_id, text and row.
+    """`join` of a table of doc_id, text and row.
 
-    Numbers hold for one read only (files are split by the cores there are then), so they are stored.
+    Numbers may hold for one read only (files are split by the cores there are then): those of the read
+    that makes the sketches are stored with them.
     """
-    rows = keep_table(common.map_chunks(numbered, Sketch(words), SKETCHES), "sketches")
+    sketched = numbered.withColumn("digest", _digest(F.col("text")))
+    rows = keep_table(common.map_chunks(sketched, Sketch(words), SKETCHES), "sketches")
     named = keep_table(_linked(numbered, rows, similarity, words, recall), "named")
     out = common.join_with_heavy(rows.select("doc_id", "row", "key"), named, ["key"], "weight", max(1, rows.count()))
     alone = F.col("first").isNull()
@@ -511,8 +526,9 @@ _LAST = 9223372036854775807
 def _classes(rows: DataFrame, total: int) -> DataFrame:
     """Classes of equal sets, named by a row. Equal sets have equal min-hashes, so any of them will do."""
     lead = F.min(F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), "row")).alias("lead")
-    classes = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("row").alias("class"), F.count(F.lit(1)).alias("weight"), lead, F.first("size").alias("size"), F.first("sign").alias("sign"), F.first("print").alias("print"))
-    return common.settle(classes, "classes", 4 * total)
+    lead_row = F.min(F.struct("row", "doc_id", "digest")).alias("lead_row")
+    classes = rows.filter("key IS NOT NULL").groupBy("key").agg(lead_row, F.count(F.lit(1)).alias("weight"), lead, F.first("size").alias("size"), F.first("sign").alias("sign"))
+    return common.settle(classes.withColumn("class", F.col("lead_row.row")), "classes", 4 * total)
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, words: int = WORDS, recall: float = RECALL) -> DataFrame:
