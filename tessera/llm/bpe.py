@@ -5,7 +5,7 @@ the pattern needs), each symbol is a function on the states of a small automaton
 compose associatively: their closure is a finite monoid, so a blocked scan over monoid elements finds
 the state before every code point and with it every boundary, without a regular expression. The
 slices between boundaries feed a cache in front of pair merging; the byte offset of every id is kept,
-so any range of ids decodes to its bytes.
+so any range of ids decodes to its bytes. A long text is handled in parts, cut where a boundary is certain.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import base64
 import functools
 import hashlib
 import heapq
+import re
 import unicodedata
 
 import numpy as np
@@ -168,6 +169,22 @@ def pieces(texts: list[str]) -> tuple[list[str], np.ndarray]:
     return cut, np.bincount(owner, minlength=len(texts)) if len(starts) else np.zeros(len(texts), np.int64)
 
 
+#: Characters of a text that are handled at a time: the arrays of a scan are some thirty times as large.
+LONG = 1 << 20
+#: Between a letter or digit and a blank there always is a boundary, whatever stands before or after.
+_CERTAIN = re.compile(r"(?<=[0-9A-Za-z])(?=[ \n])").search
+
+
+def parts_of(text: str, limit: int | None = None):
+    """Parts of about `limit` characters whose pieces are those of the whole text."""
+    at, limit = 0, limit or LONG
+    while at < len(text):
+        m = _CERTAIN(text, at + limit) if at + limit < len(text) else None
+        end = m.start() if m else len(text)
+        yield text[at:end]
+        at = end
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
@@ -240,6 +257,12 @@ class Coder:
             at += n
         return out
 
+    def encode_in_parts(self, texts: list[str]):
+        """For each text its ids in one array, or in several if it is long, made as they are asked for."""
+        short = self.encode([t if len(t) <= LONG else "" for t in texts])
+        for text, ids in zip(texts, short, strict=True):
+            yield iter([ids]) if len(text) <= LONG else (self.encode([part])[0] for part in parts_of(text))
+
     def offsets(self, ids: np.ndarray) -> np.ndarray:
         """Byte offset at which each id starts, and the length of all as a last entry."""
         return np.concatenate([[0], np.cumsum(self.size_of[ids])])
@@ -282,7 +305,7 @@ class Encode:
         return loaded(self.path)
 
     def __call__(self, batch: pa.RecordBatch, coder: Coder) -> pa.RecordBatch:
-        ids = coder.encode([t or "" for t in batch.column("text").to_pylist()])
+        ids = [np.concatenate(list(parts)) for parts in coder.encode_in_parts([t or "" for t in batch.column("text").to_pylist()])]
         return pa.RecordBatch.from_pydict(
             {
                 "doc_id": batch.column("doc_id"),
@@ -296,8 +319,9 @@ class Encode:
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids (u32 little-endian) and offsets (i64 little-endian: byte where each id starts).
 
-    A null or empty text has no ids. Rows are neither merged nor reordered; ids may be null or repeat.
-    An empty table gives an empty table; other columns are not read.
+    A null or empty text has no ids. Rows are neither merged nor reordered; ids may be null or repeat. A long
+    text is encoded in parts, but for a stretch without a blank after a letter or digit, which must fit in
+    a task some thirty times. An empty table gives an empty table; other columns are not read.
     """
     return common.map_chunks(common.id_and_text(docs, id_col, text_col), Encode(path), "doc_id long, n_tokens long, ids binary, offsets binary")
 
@@ -338,10 +362,15 @@ class RoundTrip:
 
     def __call__(self, batch: pa.RecordBatch, coder: Coder) -> pa.RecordBatch:
         counts, named, decoded = [], [], []
-        for ids in coder.encode([t or "" for t in batch.column("text").to_pylist()]):
-            counts.append(len(ids))
-            named.append(hashlib.sha256(",".join(map(coder.decimal.__getitem__, ids.tolist())).encode()).hexdigest())
-            decoded.append(hashlib.sha256(coder.decode_at(ids, coder.offsets(ids))).hexdigest())
+        for parts in coder.encode_in_parts([t or "" for t in batch.column("text").to_pylist()]):
+            n, names, body = 0, hashlib.sha256(), hashlib.sha256()
+            for ids in parts:
+                names.update(("," * bool(n) + ",".join(map(coder.decimal.__getitem__, ids.tolist()))).encode())
+                body.update(coder.decode_at(ids, coder.offsets(ids)))
+                n += len(ids)
+            counts.append(n)
+            named.append(names.hexdigest())
+            decoded.append(body.hexdigest())
         return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(named, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())})
 
 

@@ -58,6 +58,27 @@ def test_long_pieces_merge_alike():
     assert bpe.pieces(["a" * 5000])[1].tolist() == [1]
 
 
+@pytest.mark.parametrize("limit", [1, 5, 40])
+def test_long_texts_go_in_parts(monkeypatch, limit):
+    monkeypatch.setattr(bpe, "LONG", limit)
+    texts = [*CASES, "don't stop\n\n  now, it's 12 o'clock\tor 'so' \u00e9 x" * 9, "no" * 50 + "\u6f22 \u5b57"]
+    for text, parts in zip(texts, CODER.encode_in_parts(texts), strict=True):
+        parts = list(parts)
+        assert [i for p in parts for i in p.tolist()] == ORACLE.encode_ordinary(text), text
+    assert len(list(bpe.parts_of(texts[-2]))) > 5
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    out = bpe.RoundTrip(PATH)(batch, CODER).to_pylist()
+    for r, text in zip(out, texts, strict=True):
+        want = ORACLE.encode_ordinary(text)
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(want), hashlib.sha256(",".join(map(str, want)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list(" \n\t'stmdrevl aA\u00e91\u00bd!\u3000\u6f22")), max_size=60))
+def test_any_text_in_parts(text):
+    assert [i for part in bpe.parts_of(text, 3) for i in CODER.encode([part])[0].tolist()] == ORACLE.encode_ordinary(text)
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_frame(spark, empty):
     rows = [] if empty else [(1, "it's  here\n", 5), (None, None, 6), (1, "it's  here\n", 5), (3, "", 7), (4, "x " * 30000, 8)]
