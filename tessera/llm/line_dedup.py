@@ -8,12 +8,15 @@ are range-sorted, and their place in that order is the name of the double length
 arrays of the suffix array over line ids, as deep as a run of `min_words` words can reach (a line
 holds a word at least, so log2(min_words) rounds, whatever the data).
 
-Suffixes that share a prefix of l lines form an interval of the suffix array whose longest common
-prefix is l or more; two names of overlapping power-of-two runs identify it for any l. Each position
-has two windows: the shortest run from it, and the shortest run up to it, with `min_words` words. A
-maximal repeated run of that many words is exactly the union of the windows inside it, and a window is
-repeated if its interval has a second member. In each interval the first member (by doc_id, then
-place) stays; the lines of the others are deleted.
+Why that is enough: in the suffix array, the suffixes that share a prefix of l lines are one interval,
+whose longest common prefix is l or more, and for 2**k <= l <= 2**(k + 1) two suffixes are in the same
+one exactly if the ranks of their first 2**k lines are equal and so are those of the 2**k lines that end
+the prefix. So (l, rank, rank) names the interval of any prefix, and a prefix that no other suffix has is
+the one whose ranks dropped out. Each position has two windows: the shortest run from it, and the shortest
+run up to it, with `min_words` words. A maximal repeated run of that many words is exactly the union of
+the windows inside it, and a window is repeated if its interval has a second member. In each interval the
+first member (by doc_id, then place) stays, and so does one that shares lines with it, as in a line that
+is repeated back to back; the lines of all others are deleted.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ MIN_WORDS = 50
 WORD = r"[^\x20\x09-\x0D]+"
 #: The place of null ids in the order of documents: last.
 _LAST = 9223372036854775807
+#: Lines that a window is first looked for in; only where they are too few for it, all that it may have.
+_FEW = 6
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -34,28 +39,45 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return common.id_and_text(docs, id_col, text_col).select("text", F.coalesce("doc_id", F.lit(_LAST)).alias("id"), F.xxhash64("text").alias("h"))
 
 
-def _shortest(lines: Column, enough: int) -> Column:
-    """How many of `lines` it takes, from the first on, to have `enough` words; null if all have fewer."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """id, h, seq (0, 1, ... over lines with a word), line (its number), hashes a and b of the line, and its words w."""
+    split = F.split("text", "\n", -1)
+    lines = F.transform(split, lambda x, i: F.struct(i.alias("line"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), F.regexp_count(x, F.lit(WORD)).alias("w")))
+    rows = docs.filter("text IS NOT NULL").select("id", "h", F.posexplode(F.filter(lines, lambda x: x["w"] > 0)).alias("seq", "x"))
+    return rows.select("id", "h", F.col("seq").cast("long").alias("seq"), "x.line", "x.a", "x.b", "x.w")
+
+
+def _shortest(lines: Column, seq: Column, step: int, enough: int) -> Column:
+    """How many of `lines`, which go from place `seq` on by `step`, it takes to have `enough` words; null if there are too few without a gap."""
     start = F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).alias("n"))
-    more = F.aggregate(lines, start, lambda acc, x: F.when(acc["s"] >= enough, acc).otherwise(F.struct((acc["s"] + x["w"]).alias("s"), (acc["n"] + 1).alias("n"))))
-    return F.when(more["s"] >= enough, more["n"])
 
+    def more(acc, x):
+        done = (acc["s"] >= enough) | (x["seq"] != seq + step * acc["n"])
+        return F.when(done, acc).otherwise(F.struct((acc["s"] + x["w"]).alias("s"), (acc["n"] + 1).alias("n")))
 
-def _positions(docs: DataFrame, enough: int) -> DataFrame:
-    """id, h, seq (0, 1, ... over lines with a word), line (its number), line hashes a and b, and the lengths of both windows."""
-    split = F.split("text", "\n", -1)
-    lines = F.transform(split, lambda x, i: F.struct(i.alias("line"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), F.regexp_count(x, F.lit(WORD)).cast("long").alias("w")))
-    # The one-element explode keeps the array from being computed anew for each use.
-    held = docs.filter("text IS NOT NULL").select("id", "h", F.explode(F.array(F.filter(lines, lambda x: x["w"] > 0))).alias("ls"))
+    return F.aggregate(lines, start, more, lambda acc: F.when(acc["s"] >= enough, acc["n"]))
+
+
+def _windows(base: DataFrame, enough: int) -> DataFrame:
+    """id, h, seq and size of the shortest runs with `enough` words from and up to each position.
 
-    def windows(x: Column, i: Column) -> Column:
-        first = F.greatest(i + 2 - enough, F.lit(1))
-        up = F.when(x["w"] >= enough, 1).otherwise(_shortest(F.slice("ls", i + 1, enough), enough))
-        down = F.when(x["w"] >= enough, 1).otherwise(_shortest(F.reverse(F.slice("ls", first, i + 2 - first)), enough))
-        return F.struct(x["line"].alias("line"), x["a"].alias("a"), x["b"].alias("b"), up.alias("up"), down.alias("down"))
+    A line that occurs once can't lie in a repeated run, so only runs without one are windows.
+    """
+    held = base.groupBy("id", "h").agg(F.array_sort(F.collect_list(F.struct("seq", "w"))).alias("ls"))
+
+    def both(x: Column, i: Column) -> Column:
+        def up(most):
+            return _shortest(F.slice("ls", i + 1, most), x["seq"], 1, enough)
+
+        def down(most):
+            return _shortest(F.reverse(F.slice("ls", F.greatest(i + 2 - most, F.lit(1)), F.least(i + 1, F.lit(most)))), x["seq"], -1, enough)
 
-    held = held.select("id", "h", F.explode(F.array(F.transform("ls", windows))).alias("ls"))
-    return held.select("id", "h", F.posexplode("ls").alias("seq", "x")).select("id", "h", F.col("seq").cast("long").alias("seq"), "x.line", "x.a", "x.b", "x.up", "x.down")
+        few = min(_FEW, enough)
+        sizes = [F.when(x["w"] >= enough, 1).otherwise(F.coalesce(f(few), f(enough))) for f in (up, down)]
+        return F.array(F.struct(x["seq"].alias("seq"), sizes[0].alias("size")), F.struct((x["seq"] - sizes[1] + 1).alias("seq"), sizes[1].alias("size")))
+
+    found = held.select("id", "h", F.explode(F.flatten(F.transform("ls", both))).alias("x"))
+    return found.select("id", "h", "x.seq", "x.size").filter("size IS NOT NULL").distinct()
 
 
 def _ranked(names: DataFrame, keys: list[str], rows: int) -> DataFrame:
@@ -64,21 +86,22 @@ def _ranked(names: DataFrame, keys: list[str], rows: int) -> DataFrame:
 
 
 def _removed(keyed: DataFrame, min_words: int) -> DataFrame:
-    """id, h and gone: the numbers of the lines to delete in the documents that lose any."""
+    """id, h, gone (the numbers of the lines to delete) and rows (how many repeat the document) of the documents that lose any."""
     with common.scratch(keyed.sparkSession) as keep:
         return keep(_gone(keyed, min_words), "removed")
 
 
 def _gone(keyed: DataFrame, min_words: int) -> DataFrame:
-    every = common.settle(_positions(keyed, min_words), "lines")
+    every = common.settle(_lines(keyed), "lines")
     total = every.count()
     twice = _ranked(every.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), ["a", "b"], total)
     known = common.join_with_heavy(every, twice, ["a", "b"], "n", total).filter("name IS NOT NULL")
     # Rows that repeat a document meet here as one.
-    base = common.settle(known.groupBy("id", "h", "seq").agg(F.min("name").alias("rank"), F.min("line").alias("line"), F.min("up").alias("up"), F.min("down").alias("down")), "positions", total)
+    base = common.settle(known.groupBy("id", "h", "seq").agg(F.min("name").alias("rank"), F.min("line").alias("line"), F.min("w").alias("w"), F.count(F.lit(1)).alias("rows")), "positions", total)
+    windows = common.settle(_windows(base, min_words), "runs", 2 * total)
+    longest = windows.agg(F.max("size")).first()[0] or 0
     level, size, k = base.select("id", "h", "seq", "rank"), 1, 0
     ranks = level.select(F.lit(0).alias("k"), "*")
-    longest = base.agg(F.max(F.greatest("up", "down"))).first()[0] or 0
     while 2 * size <= longest:
         ahead = level.select("id", "h", (F.col("seq") - size).alias("seq"), F.col("rank").alias("next"))
         pairs = level.join(ahead, ["id", "h", "seq"])
@@ -90,49 +113,60 @@ def _gone(keyed: DataFrame, min_words: int) -> DataFrame:
         if level.isEmpty():
             break
 
-    up = base.filter("up IS NOT NULL").select("id", "h", "seq", F.col("up").alias("size"))
-    down = base.filter("down IS NOT NULL").select("id", "h", (F.col("seq") - F.col("down") + 1).alias("seq"), F.col("down").alias("size"))
-    windows = up.unionByName(down).distinct().withColumn("k", F.length(F.bin("size")) - 1)
+    windows = windows.withColumn("k", F.length(F.bin("size")) - 1)
     windows = windows.join(ranks.withColumnRenamed("rank", "r1"), ["k", "id", "h", "seq"]).withColumn("end", F.expr("seq + size - shiftleft(1, k)"))
     windows = common.settle(windows.join(ranks.select("k", "id", "h", F.col("seq").alias("end"), F.col("rank").alias("r2")), ["k", "id", "h", "end"]).select("id", "h", "seq", "size", "r1", "r2"), "windows", 2 * total)
 
     interval = ["size", "r1", "r2"]
     first = windows.groupBy(*interval).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "h", "seq")).alias("first")).filter("n > 1")
     first = common.settle(first, "intervals", 2 * total)
-    later = common.join_with_heavy(windows, first, interval, "n", max(1, windows.count())).filter(F.col("first").isNotNull() & (F.struct("id", "h", "seq") != F.col("first")))
+    later = common.join_with_heavy(windows, first, interval, "n", max(1, windows.count())).filter("first IS NOT NULL")
+    same = (F.col("id") == F.col("first.id")) & (F.col("h") == F.col("first.h"))
+    later = later.filter(~same | (F.col("seq") >= F.col("first.seq") + F.col("size")))
     gone = later.select("id", "h", F.explode(F.sequence(F.col("seq"), F.col("seq") + F.col("size") - 1)).alias("seq"))
-    gone = gone.distinct().join(base.select("id", "h", "seq", "line"), ["id", "h", "seq"])
-    return gone.groupBy("id", "h").agg(F.collect_list("line").alias("gone"))
+    gone = gone.distinct().join(base.select("id", "h", "seq", "line", "rows"), ["id", "h", "seq"])
+    return gone.groupBy("id", "h").agg(F.collect_list("line").alias("gone"), F.max("rows").alias("rows"))
+
+
+#: Up to so many documents and numbers of lines in all are broadcast to the texts; more are shuffled with them.
+BROADCAST_LINES = 1 << 20
 
 
-def rewrite(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with the repeated lines gone from its text, plus `_lines` and `_removed`, their numbers.
+def rewrite(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", numbers: tuple[str, str] = ("_lines", "_removed")) -> DataFrame:
+    """`docs` with the repeated lines gone from its text, plus the numbers of its lines and of those removed.
 
     A run of lines that repeats an earlier run with `min_words` words or more loses all its lines; the
-    first copy, in the order of doc_id and place, stays. Lines without a word take no part and stay.
-    Null texts stay null with 0 lines; null ids come last; rows that repeat both id and text count as
-    one document and are rewritten alike; an empty table gives an empty table.
+    first copy, in the order of doc_id and place, stays, with what overlaps it. Lines without a word take
+    no part and stay. Null texts stay null with 0 lines; null ids come last; rows that repeat both id and
+    text count as one document and are rewritten alike; a long text must fit in a task some times over; an
+    empty table gives an empty table. Other columns pass through, whatever their names; `numbers` names
+    the two new ones and must be free.
     """
-    removed = _removed(_keyed(docs, id_col, text_col), min_words).select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("gone").alias("_gone"))
-    text = docs[text_col].cast("string")
-    joined = docs.withColumns({"_id": F.coalesce(docs[id_col].cast("long"), F.lit(_LAST)), "_h": F.xxhash64(text)})
-    # What is removed grows with the corpus: shuffle for it at every size.
-    joined = joined.join(removed.hint("shuffle_merge"), ["_id", "_h"], "left")
-    lines = F.split(F.col(text_col).cast("string"), "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+    if taken := {c.lower() for c in docs.columns} & {c.lower() for c in numbers}:
+        raise ValueError(f"the table has a column {min(taken)}: give other names for the numbers of lines")
+    removed = _removed(_keyed(docs, id_col, text_col), min_words)
+    own = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    rows = docs.select(F.struct(*own).alias("row"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    rows = rows.select("row", "text", F.coalesce("doc_id", F.lit(_LAST)).alias("id"), F.xxhash64("text").alias("h"))
+    held = removed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("gone")), F.lit(0)).alias("lines")).first()
+    if held["n"] + held["lines"] <= BROADCAST_LINES:
+        joined = rows.join(F.broadcast(removed.drop("rows")), ["id", "h"], "left")
+    else:
+        joined = common.join_with_heavy(rows, removed, ["id", "h"], "rows", docs.select(F.lit(1)).count())
+    lines = F.split("text", "\n", -1)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     # The one-element explode makes the lines and the places that stay once for each row that loses any.
-    joined = joined.withColumn("_x", F.explode(F.array(F.when(F.col("_gone").isNotNull(), F.struct(lines.alias("lines"), stay.alias("stay"))))))
-    left = F.array_join(F.transform("_x.stay", lambda i: F.col("_x.lines")[i]), "\n")
-    new = F.when(F.col("_gone").isNull(), F.col(text_col).cast("string")).otherwise(left)
-    numbers = {"_lines": F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long"), "_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}
-    out = joined.withColumns(numbers).withColumn("_text", new)
-    return out.select(*[F.col("_text").alias(c) if c == text_col else F.col(c) for c in docs.columns], "_lines", "_removed")
+    joined = joined.withColumn("x", F.explode(F.array(F.when(F.col("gone").isNotNull(), F.struct(lines.alias("lines"), stay.alias("stay"))))))
+    left = F.array_join(F.transform("x.stay", lambda i: F.col("x.lines")[i]), "\n")
+    new = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)
+    n_lines = F.coalesce(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    n_gone = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
+    return joined.select(*[new.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns], n_lines.alias(numbers[0]), n_gone.alias(numbers[1]))
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_removed and the text that stays, for every row; cases as in `rewrite`."""
-    out = rewrite(common.id_and_text(docs, id_col, text_col), min_words)
-    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), "text")
+    return rewrite(common.id_and_text(docs, id_col, text_col), min_words, numbers=("n_lines", "n_removed")).select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -152,7 +186,10 @@ win AS (
   SELECT DISTINCT doc_id, text, a, b, l[a:b] AS run
   FROM (SELECT doc_id, text, l, i AS a, up AS b FROM u UNION ALL SELECT doc_id, text, l, down, i FROM u)
   WHERE a IS NOT NULL AND b IS NOT NULL),
-later AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id NULLS LAST, text, a) AS r FROM win) WHERE r > 1),
+later AS (
+  SELECT * FROM (SELECT *, row_number() OVER w AS r, first_value(doc_id) OVER w AS d1, first_value(text) OVER w AS t1, first_value(b) OVER w AS b1 FROM win
+                 WINDOW w AS (PARTITION BY run ORDER BY doc_id NULLS LAST, text, a))
+  WHERE r > 1 AND NOT (doc_id IS NOT DISTINCT FROM d1 AND text = t1 AND a <= b1)),
 gone AS (SELECT DISTINCT doc_id, text, unnest(range(a, b + 1)) AS q FROM later),
 cut AS (SELECT gone.doc_id, gone.text, list(p.pos[q]) AS lines FROM gone JOIN p ON p.text = gone.text AND p.doc_id IS NOT DISTINCT FROM gone.doc_id GROUP BY ALL)
 SELECT documents.doc_id, coalesce(len(string_split(documents.text, chr(10))), 0) AS n_lines, coalesce(len(lines), 0) AS n_removed,
