@@ -4,7 +4,8 @@ A text is normalised (ASCII white space deleted) and fingerprinted to 64 bits. E
 each range of fingerprints, a quotient filter with counts: a bit for every quotient that occurs, a bit
 at the end of every run, and the sorted remainders with their counts, from which fingerprints are
 recovered exactly. Filters of a range merge by their sorted remainders, without loss. Only rows whose
-fingerprint has a merged count above one go on to the comparison of bytes; all others are single.
+fingerprint has a merged count above one go on to the comparison of bytes; all others are single. The
+number of ranges follows the number of rows, so that a merged filter stays at about `PRINTS` of them.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from . import common
 
 #: Up to so many fingerprints with a count above one are broadcast (8 bytes each); beyond, they are joined.
 BROADCAST_FINGERPRINTS = 1 << 21
-RANGE_BITS = 6
+#: Fingerprints of a merged filter, about, and of a task that builds filters.
+PRINTS = 1 << 20
 
 
 class QuotientFilter:
@@ -101,28 +103,43 @@ def fingerprint(batch: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
-def _build(batches):
+def range_bits(rows: int) -> int:
+    """Upper bits of a fingerprint that name its range: 64 ranges, or as many as hold `PRINTS` rows each."""
+    return min(32, max(6, (rows // PRINTS).bit_length()))
+
+
+def _build(bits: int):
     """A task's filters: one for each range of fingerprints that has any."""
-    parts = [batch.column("print").to_numpy().view(np.uint64) for batch in batches]
-    prints = np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-    ranges = (prints >> np.uint64(64 - RANGE_BITS)).astype(np.int64)
-    found = np.unique(ranges)
-    cuts = np.searchsorted(ranges, found), np.searchsorted(ranges, found, side="right")
-    if len(found):
-        yield pa.RecordBatch.from_pydict({"range": pa.array(found, pa.int32()), "filter": pa.array([QuotientFilter.build(prints[a:b], skip=RANGE_BITS).pack() for a, b in zip(*cuts, strict=True)], pa.binary())})
+
+    def run(batches):
+        parts = [batch.column("print").to_numpy().view(np.uint64) for batch in batches]
+        prints = np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+        ranges = (prints >> np.uint64(64 - bits)).astype(np.int64)
+        found = np.unique(ranges)
+        cuts = np.searchsorted(ranges, found), np.searchsorted(ranges, found, side="right")
+        at = np.stack(cuts, 1).tolist()
+        for few in range(0, len(found), 1024):
+            filters = [QuotientFilter.build(prints[a:b], skip=bits).pack() for a, b in at[few : few + 1024]]
+            yield pa.RecordBatch.from_pydict({"range": pa.array(found[few : few + 1024], pa.int64()), "filter": pa.array(filters, pa.binary())})
+
+    return run
 
 
-def _merge(table: pa.Table) -> pa.Table:
+def _merge(bits: int):
     """Filters of a range into one; fingerprints with a count above one."""
-    prefix = table.column("range")[0].as_py()
-    filters = [QuotientFilter.unpack(x.as_py()) for x in table.column("filter")]
-    merged = QuotientFilter.build(np.concatenate([f.fingerprints() for f in filters]), np.concatenate([f.counts for f in filters]), RANGE_BITS)
-    more = merged.counts > 1
-    return pa.table({"print": pa.array(merged.fingerprints(prefix, RANGE_BITS)[more].view(np.int64), pa.int64()), "n": pa.array(merged.counts[more], pa.int64())})
+
+    def run(table: pa.Table) -> pa.Table:
+        prefix = table.column("range")[0].as_py()
+        filters = [QuotientFilter.unpack(x.as_py()) for x in table.column("filter")]
+        merged = QuotientFilter.build(np.concatenate([f.fingerprints() for f in filters]), np.concatenate([f.counts for f in filters]), bits)
+        more = merged.counts > 1
+        return pa.table({"print": pa.array(merged.fingerprints(prefix, bits)[more].view(np.int64), pa.int64()), "n": pa.array(merged.counts[more], pa.int64())})
+
+    return run
 
 
 class Route:
-    """Rows whose fingerprint is among the broadcast ones, with their normalised text."""
+    """The normalised texts whose fingerprint is among the broadcast ones."""
 
     def __init__(self, wanted):
         self.wanted = wanted
@@ -134,32 +151,36 @@ class Route:
         place = np.searchsorted(wanted, prints)
         hit = (place < len(wanted)) & (wanted[np.minimum(place, len(wanted) - 1)] == prints) if len(wanted) else np.zeros(len(prints), bool)
         rows = np.flatnonzero(hit)
-        return pa.RecordBatch.from_pydict({"print": pa.array(prints[rows], pa.int64()), "plain": pa.array([plain[i] for i in rows], pa.binary()), "points": pa.array([len(batch.column("text")[i].as_py() or "") for i in rows], pa.int64()), "doc_id": batch.column("doc_id").take(pa.array(rows)), "row": batch.column("row").take(pa.array(rows))})
+        return pa.RecordBatch.from_pydict({"print": pa.array(prints[rows], pa.int64()), "plain": pa.array([plain[i] for i in rows], pa.binary())})
 
 
 class Normalise:
     def __call__(self, batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column("text").to_pylist()
-        plain = [normalise(t) for t in texts]
-        return pa.RecordBatch.from_pydict({"print": pa.array([_signed(xxhash.xxh3_64_intdigest(p)) for p in plain], pa.int64()), "plain": pa.array(plain, pa.binary()), "points": pa.array([len(t or "") for t in texts], pa.int64()), "doc_id": batch.column("doc_id"), "row": batch.column("row")})
+        plain = [normalise(t) for t in batch.column("text").to_pylist()]
+        return pa.RecordBatch.from_pydict({"print": pa.array([_signed(xxhash.xxh3_64_intdigest(p)) for p in plain], pa.int64()), "plain": pa.array(plain, pa.binary())})
 
 
-def _groups(rows: DataFrame, slim: DataFrame, broadcast_fingerprints: int) -> DataFrame:
+def _groups(rows: DataFrame, slim: DataFrame, total: int, broadcast_fingerprints: int) -> DataFrame:
     """sha, group_size, keep_id and keep_row of the groups of two rows or more, compared by their bytes."""
-    spark = rows.sparkSession
-    filters = slim.select("print").mapInArrow(common.tidy(_build), "range int, filter binary")
-    twice = common.settle(filters.groupBy("range").applyInArrow(_merge, "print long, n long"), "twice", slim.count())
+    spark, bits = rows.sparkSession, range_bits(total)
+    prints = slim.select("print").coalesce(max(2 * spark.sparkContext.defaultParallelism, total // (4 * PRINTS)))
+    filters = prints.mapInArrow(common.tidy(_build(bits)), "range long, filter binary")
+    twice = common.settle(filters.groupBy("range").applyInArrow(_merge(bits), "print long, n long"), "twice", total)
     n_twice = twice.count()
-    schema = "print long, plain binary, points long, doc_id long, row long"
+    schema = "print long, plain binary"
     if n_twice <= broadcast_fingerprints:
         wanted = np.sort(twice.select("print").toArrow().column("print").to_numpy())
         routed = common.map_chunks(rows, Route(spark.sparkContext.broadcast(wanted)), schema)
     else:
         routed = common.map_chunks(rows, Normalise(), schema).join(twice.select("print"), "print", "left_semi")
     # Grouping by the bytes themselves is the verification; equal rows meet in partial sums first.
+    groups = routed.groupBy("print", "plain").agg(F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
+    groups = groups.select(F.unhex(F.sha2("plain", 256)).alias("sha"), "group_size")
+    # Which row stays is told by the numbers that were stored: those of this second read may be others.
     best = F.max(F.struct("points", F.bitwise_not("doc_id").alias("d"), F.bitwise_not("row").alias("r"))).alias("best")
-    groups = routed.groupBy("print", "plain").agg(F.count(F.lit(1)).alias("group_size"), best).filter("group_size > 1")
-    return groups.select(F.unhex(F.sha2("plain", 256)).alias("sha"), "group_size", F.bitwise_not("best.d").alias("keep_id"), F.bitwise_not("best.r").alias("keep_row"))
+    rivals = common.join_with_heavy(slim, twice, ["print"], "n", total).filter("n IS NOT NULL").groupBy("sha").agg(best, F.count(F.lit(1)).alias("there"))
+    alike = F.when(F.col("there") == F.col("group_size"), F.col("group_size")).otherwise(F.raise_error(F.lit("the documents differ between two reads of the table")))
+    return groups.join(rivals, "sha").select("sha", alike.cast("long").alias("group_size"), F.bitwise_not("best.d").alias("keep_id"), F.bitwise_not("best.r").alias("keep_row"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_fingerprints: int = BROADCAST_FINGERPRINTS) -> DataFrame:
@@ -168,16 +189,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broad
     Of rows with equal normalised bytes the one with the most code points stays, then the smallest
     doc_id (a null id counts as largest), then the first in the table, so exactly one row of a group is
     kept even where rows repeat. Null counts as empty; texts that are empty when normalised are one
-    group. An empty table gives an empty table; other columns are not read.
+    group. Whole texts count; a long one must fit in a task three times. An empty table gives an empty
+    table; other columns are not read. The table is read twice: rows are numbered in the first read and
+    found by their digest, so it may be split otherwise in the second; other rows then raise an error.
     """
     spark = docs.sparkSession
-    numbered = common.id_and_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    texts = common.id_and_text(docs, id_col, text_col)
     with common.scratch(spark) as keep:
-        # Numbers hold for one read only (files are split by the cores there are), so they are stored with the texts.
-        rows = common.settle(numbered, "rows")
-        slim = keep(common.map_chunks(rows, fingerprint, "doc_id long, row long, print long, sha binary, points long"), "prints")
+        numbered = texts.withColumn("row", F.monotonically_increasing_id())
+        slim = keep(common.map_chunks(numbered, fingerprint, "doc_id long, row long, print long, sha binary, points long"), "prints")
         total = slim.count()
-        groups = keep(_groups(rows, slim, broadcast_fingerprints), "groups")
+        groups = keep(_groups(texts, slim, total, broadcast_fingerprints), "groups")
     out = common.join_with_heavy(slim.drop("print", "points"), groups, ["sha"], "group_size", total)
     alone = F.col("group_size").isNull()
     return out.select(

@@ -40,6 +40,15 @@ def test_filters_merge_without_loss(parts, prefix):
     assert merged.fingerprints(prefix, 6).tolist() == keys.tolist() and merged.counts.tolist() == counts.tolist()
 
 
+def test_ranges_follow_the_rows(spark, monkeypatch):
+    assert [exact_dedup.range_bits(n) for n in (0, 10**6, 10**9, 10**10)] == [6, 6, 10, 14]
+    monkeypatch.setattr(exact_dedup, "PRINTS", 2)
+    rows = [(k, f"t{k % 700}") for k in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    documents = docs.toArrow()  # noqa: F841  read by duckdb
+    assert sorted(map(tuple, exact_dedup.dedup(docs).collect())) == sorted(duckdb.sql(exact_dedup.OP6_SQL).fetchall())
+
+
 def test_large_counts_survive():
     f = QuotientFilter.unpack(QuotientFilter.build(np.array([5] * 1000 + [6], np.uint64)).pack())
     assert f.fingerprints().tolist() == [5, 6] and f.counts.tolist() == [1000, 1]
