@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tessera.llm import packing, token_files
+from tessera.llm import common, packing, token_files
 from tessera.llm.word_tokens import WordTokens
 
 PATH = P.path("word_bpe_49k.json")
@@ -62,13 +62,17 @@ def test_token_files(spark, tmp_path, empty):
         assert not [f for f in glob.glob(str(tmp_path / "t/_*"))]
 
 
-def test_damage_is_seen(tmp_path):
-    path = str(tmp_path / "x.tok")
+def saved(path, documents, frame_bytes=64):
     with open(path, "wb") as f:
-        w = token_files.Writer(f, 64)
-        for i in range(20):
-            w.add(i, np.arange(i * 3, dtype="<u4").tobytes())
+        w = token_files.Writer(f, frame_bytes)
+        for doc_id, n in documents:
+            w.add(doc_id, np.arange(n, dtype="<u4").tobytes())
         w.close()
+    return path
+
+
+def test_damage_is_seen(tmp_path):
+    path = saved(str(tmp_path / "x.tok"), [(i, i * 3) for i in range(20)])
     data = bytearray(open(path, "rb").read())
     data[12] ^= 1
     open(path, "wb").write(data)
@@ -76,6 +80,80 @@ def test_damage_is_seen(tmp_path):
     assert reader.get(15)[0].tolist() == list(range(45))
     with pytest.raises(ValueError, match="checksum"):
         list(reader.scan())
+    for place, what in ((-30, "seek table"), (-50, "seek table"), (-36, "seek table"), (-1, "no token file")):
+        worse = data.copy()
+        worse[place] ^= 1
+        open(path, "wb").write(worse)
+        with pytest.raises(ValueError, match=what):
+            token_files.Reader(path)
+
+
+def test_only_the_frames_asked_for(tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "FRAME_DOCUMENTS", 4)
+    documents = [(None, 2), (None, 0), (-5, 3), *[(7, k) for k in range(9)], (8, 1), (9, 100), (12, 0), (13, 1)]
+    reader = token_files.Reader(saved(str(tmp_path / "y.tok"), documents))
+    assert [(d, len(ids)) for d, _, ids in reader.scan()] == documents and reader.documents == len(documents) and reader.ids == sum(n for _, n in documents)
+    read, frame = [], reader.frame
+    reader.frame = lambda k: read.append(k) or frame(k)
+    for wish in (None, -5, 7, 8, 9, 10, 12, 13, 99):
+        read.clear()
+        assert [len(x) for x in reader.get(wish)] == [n for d, n in documents if d == wish], wish
+        assert len(read) < len(reader.frames)
+    with pytest.raises(ValueError, match="after"):
+        saved(str(tmp_path / "z.tok"), [(2, 1), (1, 1)])
+    assert list(token_files.Reader(saved(str(tmp_path / "e.tok"), [])).scan()) == []
+
+
+def test_shards_follow_the_size(spark, tmp_path, monkeypatch):
+    spark.range(4000).selectExpr("id AS doc_id", "sha2(string(id), 512) AS text").coalesce(1).write.parquet(str(tmp_path / "d"))
+    rows = spark.read.parquet(str(tmp_path / "d"))
+    assert token_files._shards(rows) == 1
+    monkeypatch.setattr(token_files, "SHARD_BYTES", 10_000)
+    assert 10 < token_files._shards(rows) < 100
+    assert token_files._shards(spark.createDataFrame([(1, "x" * 95)], "doc_id long, text string").rdd.toDF()) >= 1
+
+
+def test_files_go_with_the_results(spark, tmp_path):
+    spark.createDataFrame(ROWS, "doc_id long, text string, start int").write.parquet(str(tmp_path / "documents.parquet"))
+    before = len(common._written[0])
+    assert token_files.op9_token_files(spark, str(tmp_path)).count() == len(ROWS)
+    (place,) = common._written[0][before:]
+    assert glob.glob(place.removeprefix("file://") + "/*.tok")
+    common.discard(spark)
+    assert not glob.glob(place.removeprefix("file://") + "*") and not common._written[0]
+
+
+def thue_morse(steps):
+    a, b = "a", "b"
+    for _ in range(steps):
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("steps", [10, 11, 13])
+def test_chunks_that_look_alike(steps):
+    """Words that the lookup's numbers can't tell apart, in one batch and in later ones."""
+    a, b = thue_morse(steps)
+    body = np.frombuffer(f"{a} {b}".encode(), np.uint8)
+    assert len(set(common.span_places(body, *common.words(body)).tolist())) == 1
+    tokens = WordTokens(PATH)
+    for texts in ([a, b], [b], [f"x {b} y {a}", None, f"{a}{b}"]):
+        assert [x.tolist() for x in tokens.encode_batch(texts)] == [ids(t) for t in texts]
+
+
+def test_equal_numbers_are_told_apart():
+    """With one number for all chunks, and with one for each length, the comparison of bytes decides."""
+    texts = [*TEXTS, " ".join(f"w{i % 7} v{i % 5}x" for i in range(50)), "", " a b a c a"]
+    for numbers in (lambda d, s, e: np.zeros(len(s), np.uint64), lambda d, s, e: (e - s).astype(np.uint64)):
+        tokens = WordTokens(PATH)
+        tokens._numbers = numbers
+        for _ in range(2):
+            assert [x.tolist() for x in tokens.encode_batch(texts)] == [ids(t) for t in texts]
+
+
+def test_a_chunk_much_longer_than_a_run():
+    texts = ["one two", "x" * 500 + " y", "a b"]
+    assert [x.tolist() for x in WordTokens(PATH).encode_batch(texts, 16)] == [ids(t) for t in texts]
 
 
 def brute_fill(lengths, room):
