@@ -40,6 +40,7 @@ class Doc:
     def __init__(self, text: str | None):
         text = text or ""
         data = text.encode("utf-8", "surrogatepass")
+        self.ascii = len(data) == len(text)
         self.first: dict[bytes, int] = {}
         parts, n = [np.zeros(0, np.int64)], 0
         for body in common.cut_at_blanks(data, PART):
@@ -67,9 +68,20 @@ class Doc:
     def strings(self) -> list[str]:
         return [w.decode("utf-8", "surrogatepass") for w in self.first]
 
-    def words_that(self, test: Callable[[str], bool]) -> int:
+    @property
+    def shouted(self) -> int:
+        """Words that `shouts` says yes to."""
+        test = str.isupper if self.ascii else shouts
         return int(self.counts[np.fromiter(map(test, self.strings), bool, len(self.strings))].sum())
 
+    @property
+    def lettered(self) -> int:
+        """Words with a letter."""
+        yes = np.fromiter(map(str.isalpha, self.strings), bool, len(self.strings))
+        for k in np.flatnonzero(~yes).tolist():
+            yes[k] = has_letter(self.strings[k])
+        return int(self.counts[yes].sum())
+
     def forget(self) -> None:
         """Drops what rules have asked for, so that the next one is measured by itself."""
         self.__dict__.pop("counts", None)
@@ -78,14 +90,12 @@ class Doc:
 
 def shouts(word: str) -> bool:
     """Has an upper-case letter (Lu) and no lower-case one (Ll)."""
-    if word.isascii():
-        return word.isupper()
     kinds = set(map(unicodedata.category, word))
     return "Lu" in kinds and "Ll" not in kinds
 
 
 def has_letter(word: str) -> bool:
-    return word.isalpha() or any(map(str.isalpha, word))
+    return any(map(str.isalpha, word))
 
 
 def _lines(data: bytes) -> tuple[int, int]:
@@ -132,8 +142,8 @@ def rules(symbols=0.1, dup_lines=0.5, shouted=0.4, lettered=0.7, vocabulary=2.0,
         Rule("dup_lines", lambda d: d.n_dup_lines > dup_lines * d.n_lines),
         Rule("word_length", lambda d: not shortest * d.n_words <= d.word_chars <= longest * d.n_words),
         Rule("vocabulary", lambda d: d.distinct_words < vocabulary * math.sqrt(d.n_words)),
-        Rule("shouted", lambda d: d.words_that(shouts) > shouted * d.n_words),
-        Rule("lettered", lambda d: d.words_that(has_letter) < lettered * d.n_words),
+        Rule("shouted", lambda d: d.shouted > shouted * d.n_words),
+        Rule("lettered", lambda d: d.lettered < lettered * d.n_words),
     ]
 
 
