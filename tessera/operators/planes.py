@@ -69,11 +69,12 @@ def inverse(plane: np.ndarray, levels: int, reversible: bool) -> np.ndarray:
     return out
 
 
-def forward53(plane: np.ndarray, levels: int) -> np.ndarray:
-    out = plane.copy()
+def forward(plane: np.ndarray, levels: int, reversible: bool) -> np.ndarray:
+    """The opposite of `inverse`."""
+    out, line = plane.copy(), _forward53 if reversible else _forward97
     for k in range(levels):
         height, width = -(-plane.shape[0] // (1 << k)), -(-plane.shape[1] // (1 << k))
-        out[:height, :width] = _forward53(_forward53(out[:height, :width].T).T)
+        out[:height, :width] = line(line(out[:height, :width].T).T)
     return out
 
 

@@ -56,3 +56,25 @@ def lossless_shift(planes: Column) -> Column:
 def lossy_factor(step: Column, bits: Column, orient: Column, planes: Column) -> Column:
     """Step scaled by the sample depth and the subband's gain, over the position of a coefficient's unit."""
     return step * F.pow(F.lit(2.0), bits + subband_gain(orient)) / F.pow(F.lit(2.0), 31 - planes)
+
+
+#: The weight of a subband's distortion by decomposition level (1, 2, 3, 4 and more), for
+#: LL, HL, LH, HH in turn.
+REVERSIBLE_WEIGHTS = [[1.0, 0.1, 0.1, 0.05], [1.0, 0.2, 0.2, 0.1], [1.0, 0.4, 0.4, 0.2], [1.0, 0.8, 0.8, 0.4]]
+IRREVERSIBLE_WEIGHTS = [[1.0, 0.01, 0.01, 0.005], [1.0, 0.2, 0.2, 0.1], [1.0, 0.4, 0.4, 0.2], [1.0, 0.8, 0.8, 0.4]]
+
+
+def distortion_weight(reversible: Column, dec_lvl: Column, orient: Column, step: Column, width: Column, height: Column) -> Column:
+    """What a unit of squared error in a code-block counts: its subband's weight, its step squared, over its samples."""
+    tables = [F.array(*[F.array(*map(F.lit, row)) for row in table]) for table in (REVERSIBLE_WEIGHTS, IRREVERSIBLE_WEIGHTS)]
+    table = F.when(reversible, tables[0]).otherwise(tables[1])
+    return table[F.least(dec_lvl, F.lit(4)) - 1][orient] * step * step / (width * height).cast("double")
+
+
+def coded_distortion(quantised: Column) -> Column:
+    """By how much the passes over a sample lower a block's distortion: 4**p for each plane p in which it is significant.
+
+    A block's is the sum over its samples, below zero as a running sum counts it.
+    """
+    planes = F.when(quantised == 0, 0).otherwise(F.length(F.bin(F.abs(quantised).cast("long"))))
+    return -((F.pow(F.lit(4.0), planes) - 1) / 3)

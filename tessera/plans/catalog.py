@@ -78,14 +78,14 @@ SCALE97 = (f"({lifting.K!r}::DOUBLE)",) * 2
 
 
 def _levels_sql(levels: int) -> str:
-    """5/3 over the tiles of e, level by level; ends in a view `done`."""
-    out = "lv AS (SELECT y // 64 AS tile, y % 64 AS j, x, q AS v, count(*) OVER (PARTITION BY y // 64, x) AS th FROM e)"
+    """5/3 over the tiles of e, level by level; ends in a view `done`. Each level names the one above twice, hence MATERIALIZED."""
+    out = "lv AS MATERIALIZED (SELECT y // 64 AS tile, y % 64 AS j, x, q AS v, count(*) OVER (PARTITION BY y // 64, x) AS th FROM e)"
     source = "lv"
     for level in reversed(range(levels)):
         s = 1 << level
-        out += f",\nin{level} AS (SELECT * FROM {source} WHERE j < (th + {s - 1}) // {s} AND x < {-(-64 // s)}),\n"
+        out += f",\nin{level} AS MATERIALIZED (SELECT * FROM {source} WHERE j < (th + {s - 1}) // {s} AND x < {-(-64 // s)}),\n"
         out += _lift_sql(f"in{level}", f"c{level}", "tile, x", "j", "v", INV53) + ",\n" + _lift_sql(f"c{level}", f"r{level}", "tile, j", "x", "v", INV53)
-        out += f",\nout{level} AS (SELECT * FROM r{level} UNION ALL BY NAME SELECT * FROM {source} WHERE NOT (j < (th + {s - 1}) // {s} AND x < {-(-64 // s)}))"
+        out += f",\nout{level} AS MATERIALIZED (SELECT * FROM r{level} UNION ALL BY NAME SELECT * FROM {source} WHERE NOT (j < (th + {s - 1}) // {s} AND x < {-(-64 // s)}))"
         source = f"out{level}"
     return out + f",\ndone AS (SELECT tile * 64 + j AS y, x::INT AS x, v::INT AS v FROM {source})"
 
@@ -422,10 +422,16 @@ def codestream_segments(spark, sf_dir):
     return trials.segments(views.files(spark, sf_dir))
 
 
-@query(f"WITH {E}, t AS (SELECT y // 64 AS image_id, count(DISTINCT y) AS h FROM e GROUP BY ALL) SELECT image_id, 0 AS tile_no, 64 AS width, h::INT AS height, 2 AS levels, true AS reversible, 8 AS bits, true AS some FROM t")
+@query(f"WITH {E}, t AS (SELECT y // 64 AS image_id, count(DISTINCT y) AS h FROM e GROUP BY ALL) SELECT image_id, 0 AS tile_no, 64 AS width, h::INT AS height, 2 AS levels, true AS reversible, 8 AS bits, 7::BIGINT AS bands, 9 AS least, 11 AS most FROM t")
 def codestream_parse(spark, sf_dir):
     rows = decode.parse(views.files(spark, sf_dir)).filter("error IS NULL")
-    return rows.groupBy("image_id", "tile_no", "width", "height", "levels", "reversible", "bits").agg((F.count(F.lit(1)) > 0).alias("some"))
+    band = F.when(F.col("bytes").isNotNull(), F.col("res_no") * 4 + F.col("orient"))
+    return rows.groupBy("image_id", "tile_no", "width", "height", "levels", "reversible", "bits").agg(F.count_distinct(band).alias("bands"), F.min("mag_bits").alias("least"), F.max("mag_bits").alias("most"))
+
+
+@query("SELECT n_nationkey::INT AS k, '00020051000000C00352872AAAAAAAAA82C02000FCD79EF6BF7FED904F46A3BF' AS bytes FROM nation")
+def mq_published(spark, sf_dir):
+    return trials.published(spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("int").alias("k")))
 
 
 @query("SELECT p_partkey AS k, hex(encode(p_name)) AS bytes FROM part")
@@ -443,9 +449,93 @@ def decode_image(spark, sf_dir):
     return decode.pixels(decode.decode_images(views.files(spark, sf_dir)))
 
 
-@query(f"WITH {E} SELECT y // 64 AS image_id, (54 + 4 * 64 * count(DISTINCT y))::BIGINT AS size FROM e GROUP BY ALL")
+@query(
+    f"""WITH {E}, p AS (SELECT y // 64 AS image_id, (y % 64)::INT AS y, x, least(greatest(q + 128, 0), 255) AS a FROM e), c AS (SELECT unnest(range(3))::INT AS comp_no)
+SELECT image_id, comp_no, y, x, (CASE comp_no WHEN 0 THEN a WHEN 1 THEN 255 - a ELSE (4 * x + y) % 256 END)::INT AS v FROM p, c"""
+)
+def decode_lossy(spark, sf_dir):
+    return decode.pixels(decode.decode_images(views.lossy_files(spark, sf_dir)))
+
+
+@query(
+    f"""WITH {E}, p AS (SELECT y // 64 AS image_id, (y % 64)::INT AS y, x, printf('%02X', least(greatest(q + 128, 0), 255)) AS v FROM e)
+SELECT image_id, y, (54 + 4 * 64 * count(*) OVER (PARTITION BY image_id))::BIGINT AS size, string_agg(v || v || v || 'FF', '' ORDER BY x) AS line FROM p GROUP BY image_id, y"""
+)
 def bmp_sink(spark, sf_dir):
-    return sinks.bmp_images(decode.decode_images(views.files(spark, sf_dir))).select("image_id", F.octet_length("content").cast("long").alias("size"))
+    files = sinks.bmp_images(decode.decode_images(views.files(spark, sf_dir))).select("image_id", "content", F.octet_length("content").cast("long").alias("size"))
+    height = F.floor((F.col("size") - 54) / 256).cast("int")
+    lines = files.select("*", height.alias("height"), F.explode(F.sequence(F.lit(0), height - 1)).alias("y"))
+    return lines.select("image_id", "y", "size", F.hex(F.substring("content", 55 + 256 * (F.col("height") - 1 - F.col("y")), F.lit(256))).alias("line"))
+
+
+@query("SELECT page_id || '.html' AS name, strlen(html)::BIGINT AS size, sha256(html) AS sha FROM pages")
+def file_roundtrip(spark, sf_dir):
+    """Bytes to files and back through the file source; the files stay in the shared folder."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat("page_id", F.lit(".html")).alias("name"), F.encode("html", "utf-8").alias("content"))
+    folder = sinks.shared_folder(spark, "files")
+    sinks.write_files(pages, folder).count()
+    back = decode.read_files(spark, folder)
+    return back.select(F.substring_index("image_id", "/", -1).alias("name"), F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha"))
+
+
+@query(
+    f"""WITH {P} SELECT k, (CASE WHEN size > 10 THEN size - 10 END)::INT AS tile_w, (CASE WHEN k % 2 = 0 THEN size END)::INT AS tile_h, (2 + size % 9)::INT AS cblk_exp_w,
+  (CASE WHEN k % 3 = 0 THEN 0 ELSE 1 END)::INT AS wavelet_type, k / 8.0::DOUBLE AS bp, 10000 AS mct_klt_iterations FROM p"""
+)
+def ini_options(spark, sf_dir):
+    key, size = F.col("k"), F.col("size")
+    lines = [
+        F.concat(F.lit("tile_w = "), size - 10, F.lit(" ; comment")),
+        F.when(key % 2 == 0, F.concat(F.lit("tile_h: "), size)),
+        F.lit("[section]\n# nothing\nunknown = 5\ncblk_exp_w=1"),
+        F.concat(F.lit("cblk_exp_w="), 2 + size % 9),
+        F.when(key % 3 == 0, F.lit("wavelet_type = 0")),
+        F.concat(F.lit("bp = "), key / 8.0),
+    ]
+    return trials.run_options(views.blocks(spark, sf_dir).select("k", F.concat_ws("\n", *lines).alias("text")))
+
+
+@query("SELECT 100000::BIGINT AS n, true AS within, true AS centred, true AS spread, true AS constant")
+def random_floats(spark, sf_dir):
+    even = synthetic.random_floats(spark, 100_000, -2.0, 3.0).agg(F.count(F.lit(1)).alias("n"), F.bool_and((F.col("v") >= -2) & (F.col("v") < 3)).alias("within"), (F.abs(F.avg("v") - 0.5) < 0.05).alias("centred"), (F.count_distinct("v") > 99_000).alias("spread"))
+    same = synthetic.random_floats(spark, 1000, 7.0, 7.0).agg(F.bool_and(F.col("v") == 7.0).alias("constant"))
+    return even.crossJoin(same)  # of one row each
+
+
+@query(
+    f"""WITH {P}, v AS (SELECT k, (k % 3)::INT AS style, (k % 8)::INT AS guard, list_transform(range(4), lambda b: (8 + (k + b) % 12)::INT) AS e, list_transform(range(4), lambda b: ((37 * k + b) % 2048)::INT) AS m FROM p)
+SELECT k, style, guard, CASE style WHEN 1 THEN list_transform(e, lambda x: e[1]) ELSE e END AS expn, CASE style WHEN 0 THEN [0, 0, 0, 0] WHEN 1 THEN list_transform(m, lambda x: m[1]) ELSE m END AS mant FROM v"""
+)
+def qcd_styles(spark, sf_dir):
+    return trials.quantisations(views.blocks(spark, sf_dir))
+
+
+_LIST = "'[' || array_to_string({}, ', ') || ']'"
+
+
+@query(
+    f"""WITH k AS (SELECT n_nationkey AS k FROM nation), c AS (SELECT k, {_LIST.format("[k % 8, k % 8 + 1]")} AS inputs, {_LIST.format("[k % 8]")} AS outputs FROM k), s AS (
+SELECT k, 'ADS' AS marker, {_LIST.format("list_transform(range(1 + k % 5), lambda i: (k + i) % 4)")} || ' ' || {_LIST.format("list_transform(range(k % 3), lambda i: i % 4)")} AS says FROM k
+UNION ALL SELECT k, 'ATK', (k % 4) || ' ' || (k % 2) || ' ' || (k % 7) || ' ' || printf('00%02x', k) || ' ' || (1 + k % 3) || ' ' || (1 + k % 3) FROM k
+UNION ALL SELECT k, 'MCC', (k % 4) || ' ' || inputs || ' ' || outputs FROM c
+UNION ALL SELECT k, 'MIC', (k % 5) || ' ' || (k % 3) || ' ' || inputs FROM c)
+SELECT k::INT AS k, marker, (k % 16)::INT AS index, says FROM s"""
+)
+def part2_segments(spark, sf_dir):
+    return trials.transforms(spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("int").alias("k")))
+
+
+@query(
+    f"""WITH {E}, b AS (SELECT y // 16 AS top, x // 16 AS side, count(*) AS n, -sum(CASE WHEN q = 0 THEN 0 ELSE (pow(4, length(bin(abs(q)))) - 1) / 3 END) AS lowered FROM e GROUP BY ALL)
+SELECT top, side::INT AS side, lowered, round(lowered * (CASE side WHEN 0 THEN 1 WHEN 3 THEN 0.5 ELSE 1 END) * (CASE top % 4 WHEN 0 THEN CASE side WHEN 0 THEN 1 ELSE 0.1 END WHEN 1 THEN CASE side WHEN 0 THEN 1 ELSE 0.2 END
+  WHEN 2 THEN CASE side WHEN 0 THEN 1 ELSE 0.4 END ELSE CASE side WHEN 0 THEN 1 ELSE 0.8 END END) * 0.25 / n, 6) AS weighted FROM b"""
+)
+def block_distortion(spark, sf_dir):
+    samples = _row_samples(views.lines(spark, sf_dir), "q")
+    blocks = samples.groupBy(F.floor(F.col("y") / 16).cast("long").alias("top"), F.floor(F.col("x") / 16).cast("int").alias("side"))
+    blocks = blocks.agg(F.count(F.lit(1)).alias("n"), F.sum(quant.coded_distortion(F.col("v"))).alias("lowered"))
+    weight = quant.distortion_weight(F.lit(True), F.col("top") % 4 + 1, F.col("side"), F.lit(0.5), F.col("n"), F.lit(1))
+    return blocks.select("top", "side", "lowered", F.round(F.col("lowered") * weight, 6).alias("weighted"))
 
 
 @query("SELECT 640 * 480 AS n, 640 * 480 AS valid, 480 AS lines FROM (SELECT 1)")

@@ -29,7 +29,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 def parse(files: DataFrame, max_res: int | None = None) -> DataFrame:
     """A row per included code-block of (image_id, content), and one without bytes per tile.
 
-    A file that can't be parsed gives a row with `error`.
+    A file that can't be parsed to its end gives one row with `error` and no other.
     `max_res` leaves out higher resolution levels before they are decoded.
     """
 
@@ -39,31 +39,28 @@ def parse(files: DataFrame, max_res: int | None = None) -> DataFrame:
     def run(batches):
         for part in batches:
             for name, content in zip(part.column("image_id"), part.column("content"), strict=True):
-                rows: list[dict] = []
-                try:
-                    for row in codestream.codeblocks(boxes.codestream(content.as_py() or b""), max_res):
-                        rows.append(row)
-                        if len(rows) == 1000:
-                            yield batch(name.as_py(), rows, part.column("image_id").type)
-                            rows = []
+                try:  # the blocks' bytes are no more than the file's, which is held anyway
+                    rows = list(codestream.codeblocks(boxes.codestream(content.as_py() or b""), max_res))
                 except ValueError as e:
-                    rows.append({"error": str(e)})
-                if rows:
-                    yield batch(name.as_py(), rows, part.column("image_id").type)
+                    rows = [{"error": str(e)}]
+                for at in range(0, len(rows), 1000):
+                    yield batch(name.as_py(), rows[at : at + 1000], part.column("image_id").type)
 
     kind = files.schema["image_id"].dataType.simpleString()
     return files.select("image_id", "content").mapInArrow(run, f"image_id {kind}, {SCHEMA}")
 
 
 def decode_blocks(blocks: DataFrame) -> DataFrame:
-    """Code-blocks with `samples`: sign and magnitude, first bit-plane at bit 30, row by row; null for a tile's own row."""
+    """Code-blocks with `samples`: sign and magnitude, first bit-plane at bit 30, row by row; none for a tile's own row."""
 
     def run(batches):
         for part in batches:
             rows = part.select(["bytes", "w", "h", "orient", "significant_bits", "passes", "mag_bits"]).to_pylist()
-            samples = [entropy.decode_block(r["bytes"], r["w"], r["h"], r["orient"], r["significant_bits"], r["passes"], r["mag_bits"]) if r["bytes"] is not None else None for r in rows]
+            decoded = [np.array(entropy.decode_block(r["bytes"], r["w"], r["h"], r["orient"], r["significant_bits"], r["passes"], r["mag_bits"]), np.int32) if r["bytes"] is not None else np.zeros(0, np.int32) for r in rows]
+            ends = np.cumsum([0, *map(len, decoded)])
+            samples = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *decoded])))
             kept = part.drop_columns(["bytes"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(samples, pa.list_(pa.int32()))], names=[*kept.schema.names, "samples"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, samples], names=[*kept.schema.names, "samples"])
 
     # The cost of a block is its bytes: deal them out by a hash of the whole key.
     key = ["image_id", "tile_no", "comp_no", "res_no", "orient", "cblk_no"]
@@ -72,15 +69,17 @@ def decode_blocks(blocks: DataFrame) -> DataFrame:
 
 
 def _tile(table: pa.Table, max_res: int | None) -> pa.Table:
-    rows = table.to_pylist()
+    samples = table.column("samples").combine_chunks()
+    ends, flat = samples.offsets.to_numpy(), samples.values.to_numpy().astype(np.int64)
+    rows = table.drop_columns(["samples"]).to_pylist()
     r0 = rows[0]
     drop = r0["levels"] - min(r0["levels"], max_res) if max_res is not None else 0
     height, width, levels = -(-r0["tile_h"] // (1 << drop)), -(-r0["tile_w"] // (1 << drop)), r0["levels"] - drop
     out = np.zeros((r0["components"], height, width), np.int64 if r0["reversible"] else np.float64)
-    for r in rows:
-        if r["samples"] is None:  # the tile's own row: what no block covers stays zero
+    for k, r in enumerate(rows):
+        if ends[k] == ends[k + 1]:  # the tile's own row: what no block covers stays zero
             continue
-        v = np.array(r["samples"], np.int64).reshape(r["h"], r["w"])
+        v = flat[ends[k] : ends[k + 1]].reshape(r["h"], r["w"])
         m = v & 0x7FFFFFFF
         if r["reversible"]:
             m = m >> (31 - r["mag_bits"])
@@ -100,7 +99,7 @@ def _tile(table: pa.Table, max_res: int | None) -> pa.Table:
         pa.array(np.repeat(np.arange(len(pixels)), height), pa.int32()),
         pa.array(np.tile(np.arange(height) + -(-r0["tly"] // scale), len(pixels)), pa.int32()),
         pa.array([-(-r0["tlx"] // scale)] * count, pa.int32()),
-        pa.array([row.tolist() for p in pixels for row in p], pa.list_(pa.int32())),
+        pa.ListArray.from_arrays(pa.array(np.arange(count + 1) * width, pa.int32()), pa.array(pixels.reshape(-1), pa.int32())),
     ]
     return pa.table(dict(zip(names, arrays, strict=True)))
 
@@ -108,8 +107,8 @@ def _tile(table: pa.Table, max_res: int | None) -> pa.Table:
 def decode_images(files: DataFrame, max_res: int | None = None) -> DataFrame:
     """A row per line of each tile and component: image_id, tile_no, comp_no, y, x0 and samples from x0 on.
 
-    Blocks that aren't coded are zeros, in a tile without any coded block too. Images that can't be parsed
-    give no lines for the tiles that weren't reached (see `parse` for errors).
+    Blocks that aren't coded are zeros, in a tile without any coded block too. A file that can't be parsed
+    to its end gives no lines at all (see `parse` for errors).
     """
     blocks = parse(files, max_res).filter("error IS NULL")
     decoded = decode_blocks(blocks).drop("error")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from tessera.functions.bits import BitReader, BitWriter, ByteReader
 from tessera.operators import entropy
 from tessera.operators.tagtree import TagTree
-from tessera.sources import boxes, codestream
+from tessera.sources import boxes, codestream, options
 
 
 def arithmetic(rows: DataFrame) -> DataFrame:
@@ -87,6 +87,94 @@ def segments(files: DataFrame) -> DataFrame:
     return files.select("image_id", "content").mapInArrow(run, "image_id long, name string, place long")
 
 
+def published(keys: DataFrame) -> DataFrame:
+    """k and the hex of the published arithmetic-coder sequence, decoded with one context that starts in state 0."""
+    data = bytes.fromhex("84C73BFCE1A1430402200000410DBB86F4317FFF88FF37471ADB6ADFFFAC")
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for _ in range(batch.num_rows):
+                decoder, word = entropy.MQDecoder(data, [0] * entropy.CONTEXTS), 0
+                for _ in range(256):
+                    word = word << 1 | decoder(0)
+                out.append(f"{word:064X}")
+            yield pa.RecordBatch.from_pydict({"k": batch.column("k"), "bytes": pa.array(out, pa.string())})
+
+    return keys.select("k").mapInArrow(run, "k int, bytes string")
+
+
+def quantisations(keys: DataFrame) -> DataFrame:
+    """k, style, guard, exponents and mantissas of the four bands of one level, from QCD segments of each style.
+
+    Style 0 states exponents, 1 only the LL band's values, 2 all values.
+    """
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for k in batch.column("k").to_pylist():
+                style, guard = k % 3, k % 8
+                values = [(8 + (k + b) % 12, (37 * k + b) % 2048) for b in range(4)]
+                if style == 0:
+                    body = bytes(e << 3 for e, _ in values)
+                else:
+                    body = b"".join((e << 11 | m).to_bytes(2, "big") for e, m in values[: 1 if style == 1 else 4])
+                h = codestream.Header(levels=1, **codestream._qcd(ByteReader(bytes([guard << 5 | style]) + body)))
+                bands = [h.band(b, 1) for b in range(4)]
+                out.append((k, h.quant, h.guard, [e for e, _ in bands], [m for _, m in bands]))
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            columns = zip(*out, strict=True) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["k", "style", "guard", "expn", "mant"])
+
+    return keys.select("k").mapInArrow(run, "k long, style int, guard int, expn array<int>, mant array<int>")
+
+
+def transforms(keys: DataFrame) -> DataFrame:
+    """k, marker, index and what the other Part-2 segments say, made of keys and parsed: ADS, ATK, MCC and MIC."""
+
+    def codes(values: list[int]) -> bytes:
+        packed = [0] * codestream.ceil_div(len(values), 4)
+        for i, v in enumerate(values):
+            packed[i // 4] |= v << 2 * (3 - i % 4)
+        return bytes([len(values), *packed])
+
+    def made(k: int):
+        index = k % 16
+        yield codestream.ADS, bytes([index]) + codes([(k + i) % 4 for i in range(1 + k % 5)]) + codes([i % 4 for i in range(k % 3)]), lambda f: f"{f['decomposition']} {f['sub_levels']}"
+        steps = 1 + k % 3
+        atk = (index | 1 << 4 | (k % 4) << 7 | 1 << 9 | (k % 2) << 10).to_bytes(2, "big") + bytes([steps, 2, k % 7]) + bytes([0, k]) + bytes(range(2 * steps)) + bytes(2 * steps)
+        yield codestream.ATK, atk, lambda f: f"{f['filter']} {f['m0']} {f['offset']} {f['scale']} {len(f['steps'])} {len(f['residues'])}"
+        collection = bytes([0, 2, k % 8, k % 8 + 1, 0, 1, k % 8])
+        yield codestream.MCC, bytes([index, k % 4]) + collection + bytes([k % 3 << 4 | k % 5]), lambda f: f"{f['collections'][0]['type']} {f['collections'][0]['inputs']} {f['collections'][0]['outputs']}"
+        yield codestream.MIC, bytes([index]) + collection + bytes([k % 3 << 4 | k % 5]), lambda f: f"{f['collections'][0]['matrix']} {f['collections'][0]['offset']} {f['collections'][0]['inputs']}"
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for k in batch.column("k").to_pylist():
+                for marker, body, say in made(k):
+                    found = codestream.part2(marker, ByteReader(body))
+                    out.append((k, found["marker"], found["index"], say(found)))
+            kinds = [pa.int32(), pa.string(), pa.int32(), pa.string()]
+            columns = zip(*out, strict=True) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["k", "marker", "index", "says"])
+
+    return keys.select("k").mapInArrow(run, "k int, marker string, index int, says string")
+
+
+def run_options(texts: DataFrame) -> DataFrame:
+    """k and some options of each INI text."""
+
+    def run(batches):
+        for batch in batches:
+            found = [options.parse(t) for t in batch.column("text").to_pylist()]
+            kinds = {"tile_w": pa.int32(), "tile_h": pa.int32(), "cblk_exp_w": pa.int32(), "wavelet_type": pa.int32(), "bp": pa.float64(), "mct_klt_iterations": pa.int32()}
+            yield pa.RecordBatch.from_pydict({"k": batch.column("k")} | {c: pa.array([getattr(o, c) for o in found], t) for c, t in kinds.items()})
+
+    return texts.select("k", "text").mapInArrow(run, "k long, tile_w int, tile_h int, cblk_exp_w int, wavelet_type int, bp double, mct_klt_iterations int")
+
+
 def part2(keys: DataFrame) -> DataFrame:
     """Transform-matrix segments made of keys k and parsed again."""
 

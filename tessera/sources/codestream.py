@@ -1,16 +1,19 @@
 """Codestream markers and packets: the bytes of an image as rows of code-blocks.
 
 Scope: one tile-part a tile, one layer, one precinct a resolution level, all components of one depth
-and sampling, and the order resolution then component (position and layer are single). Anything else
-raises. Headers may come in any order. A truncated stream raises Truncated.
+and sampling, and the order resolution then component (position and layer are single). A component may
+have code-blocks (COC) and a quantisation (QCC) of its own, but not levels or a wavelet. Segments come in
+any order; those that only comment or index are passed over. Anything else raises, and so do Part-2
+segments where pixels are asked for: they are parsed, but their transforms aren't applied. A truncated
+stream raises Truncated.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from tessera.functions.bits import BitReader, ByteReader
+from tessera.functions.bits import BitReader, ByteReader, Truncated
 from tessera.operators.tagtree import TagTree
 
 #: Markers (fixed values).
@@ -19,6 +22,11 @@ SOT, SOP, EPH, SOD, EOC = 0xFF90, 0xFF91, 0xFF92, 0xFF93, 0xFFD9
 ATK, ADS, MCT, MCC, MIC = 0xFF72, 0xFF73, 0xFF74, 0xFF75, 0xFF78
 MARKERS = {SOC: "SOC", SIZ: "SIZ", COD: "COD", COC: "COC", QCD: "QCD", QCC: "QCC", COM: "COM", SOT: "SOT", SOP: "SOP", EPH: "EPH", SOD: "SOD", EOC: "EOC", ATK: "ATK", ADS: "ADS", MCT: "MCT", MCC: "MCC", MIC: "MIC"}
 PRECINCTS, USE_SOP, USE_EPH = 1, 2, 4
+#: Segments that change nothing of how an image is coded (fixed values): lengths, registration, comments.
+TLM, PLM, PLT, CRG = 0xFF55, 0xFF57, 0xFF58, 0xFF63
+MARKERS |= {TLM: "TLM", PLM: "PLM", PLT: "PLT", CRG: "CRG"}
+HARMLESS = {"TLM", "PLM", "CRG", "COM"}
+PART2 = {"MCT", "MCC", "MIC", "ATK", "ADS"}
 
 
 def ceil_div(a: int, b: int) -> int:
@@ -49,6 +57,11 @@ class Header:
     guard: int = 2
     bands: list[tuple[int, int]] = field(default_factory=list)
     part2: list[dict] = field(default_factory=list)
+    own: dict[int, dict] = field(default_factory=dict)
+
+    def of(self, component: int) -> Header:
+        """The header as it holds for a component."""
+        return replace(self, **self.own[component]) if component in self.own else self
 
     def band(self, index: int, dec_lvl: int) -> tuple[int, int]:
         """Exponent and mantissa of a subband, derived from LL's if only that is given."""
@@ -73,24 +86,45 @@ def _siz(r: ByteReader, h: Header) -> None:
         raise ValueError("an empty image or tile")
 
 
-def _cod(r: ByteReader, h: Header) -> None:
-    h.style, h.order, h.layers, h.use_mct = r.uint(1), r.uint(1), r.uint(2), bool(r.uint(1))
-    h.levels, xcb, ycb = r.uint(1), r.uint(1) + 2, r.uint(1) + 2
-    block_style, wavelet = r.uint(1), r.uint(1)
-    if h.style & PRECINCTS or h.layers != 1 or block_style or h.order > 1 or xcb > 10 or ycb > 10 or xcb + ycb > 12 or h.levels > 32:
-        raise ValueError("precincts, layers, block styles or an order that isn't supported")
-    h.cblk_w, h.cblk_h, h.reversible = 1 << xcb, 1 << ycb, wavelet != 0
+def _coding(r: ByteReader) -> dict:
+    """Levels, code-block size and wavelet, as COD and COC have them."""
+    levels, xcb, ycb, block_style, wavelet = r.uint(1), r.uint(1) + 2, r.uint(1) + 2, r.uint(1), r.uint(1)
+    if block_style or xcb > 10 or ycb > 10 or xcb + ycb > 12 or levels > 32:
+        raise ValueError("a block style, block size or number of levels that isn't supported")
+    return {"levels": levels, "cblk_w": 1 << xcb, "cblk_h": 1 << ycb, "reversible": wavelet != 0}
+
 
+def _cod(r: ByteReader) -> dict:
+    style, order, layers, mct = r.uint(1), r.uint(1), r.uint(2), bool(r.uint(1))
+    if style & PRECINCTS or layers != 1 or order > 1:
+        raise ValueError("precincts, layers or an order that isn't supported")
+    return {"style": style, "order": order, "layers": layers, "use_mct": mct} | _coding(r)
 
-def _qcd(r: ByteReader, h: Header) -> None:
+
+def _qcd(r: ByteReader) -> dict:
     style = r.uint(1)
-    h.quant, h.guard = style & 31, style >> 5
-    if h.quant == 0:
-        h.bands = [(r.uint(1) >> 3, 0) for _ in range(r.left())]
-    elif h.quant in (1, 2):
-        h.bands = [(v >> 11, v & 0x7FF) for v in (r.uint(2) for _ in range(r.left() // 2))]
+    quant, guard = style & 31, style >> 5
+    if quant == 0:
+        bands = [(r.uint(1) >> 3, 0) for _ in range(r.left())]
+    elif quant in (1, 2):
+        bands = [(v >> 11, v & 0x7FF) for v in (r.uint(2) for _ in range(r.left() // 2))]
     else:
-        raise ValueError(f"quantisation style {h.quant}")
+        raise ValueError(f"quantisation style {quant}")
+    return {"quant": quant, "guard": guard, "bands": bands}
+
+
+def _component(r: ByteReader, h: Header) -> int:
+    """The component that a COC or QCC is for."""
+    number = r.uint(1 if h.components < 257 else 2)
+    if number >= h.components:
+        raise ValueError(f"no component {number}")
+    return number
+
+
+def _coc(r: ByteReader) -> dict:
+    if r.uint(1) & PRECINCTS:
+        raise ValueError("precincts of a component")
+    return _coding(r)
 
 
 def _collection(r: ByteReader) -> tuple[int, list[int]]:
@@ -152,20 +186,29 @@ def segments(data: bytes) -> Iterator[tuple[str, int, bytes]]:
 
 def main_header(data: bytes) -> tuple[Header, int]:
     """The header and where the first tile starts."""
-    h, end, seen = Header(), 2, set()
+    h, end, bodies = Header(), 2, {"SIZ": [], "COD": [], "QCD": [], "COC": [], "QCC": []}
     by_name = {v: k for k, v in MARKERS.items()}
     for name, at, body in segments(data):
-        seen.add(name)
-        r = ByteReader(body)
-        if name in ("SIZ", "COD", "QCD"):
-            {"SIZ": _siz, "COD": _cod, "QCD": _qcd}[name](r, h)
-        elif name in ("MCT", "MCC", "MIC", "ATK", "ADS"):
-            h.part2.append(part2(by_name[name], r))
-        end = at + 2 + (len(body) + (4 if name in ("MCT", "MCC", "MIC", "ATK", "ADS") else 2) if name != "SOC" else 0)
-    if not {"SIZ", "COD", "QCD"} <= seen:
-        raise ValueError("SIZ, COD or QCD is missing")
-    if len(h.bands) < (1 if h.quant == 1 else 3 * h.levels + 1):
-        raise ValueError("too few step sizes")
+        if name in bodies:
+            bodies[name].append(ByteReader(body))
+        elif name in PART2:
+            h.part2.append(part2(by_name[name], ByteReader(body)))
+        elif name not in HARMLESS | {"SOC"}:
+            raise ValueError(f"segment {name} isn't supported")
+        end = at + 2 + (len(body) + (4 if name in PART2 else 2) if name != "SOC" else 0)
+    if any(len(bodies[name]) != 1 for name in ("SIZ", "COD", "QCD")):
+        raise ValueError("SIZ, COD or QCD is missing or there twice")
+    _siz(bodies["SIZ"][0], h)
+    h = replace(h, **_cod(bodies["COD"][0]), **_qcd(bodies["QCD"][0]))
+    for name, parse in (("COC", _coc), ("QCC", _qcd)):
+        for r in bodies[name]:
+            h.own.setdefault(_component(r, h), {}).update(parse(r))
+    for k in range(h.components) if h.own else [0]:
+        own = h.of(k)
+        if (own.levels, own.reversible) != (h.levels, h.reversible):
+            raise ValueError("components of different levels or wavelets")
+        if len(own.bands) < (1 if own.quant == 1 else 3 * h.levels + 1):
+            raise ValueError("too few step sizes")
     return h, end
 
 
@@ -252,7 +295,10 @@ def codeblocks(data: bytes, max_res: int | None = None) -> Iterator[dict]:
     is there even if none of its blocks is coded.
     """
     h, at = main_header(data)
+    if h.part2 or h.extensions:
+        raise ValueError("Part-2 transforms aren't applied")
     r, seen = ByteReader(data, at), set()
+    for_component = [h.of(k) for k in range(h.components)]
     while r.peek() == SOT:
         start = r.at
         r.take(4)
@@ -262,7 +308,7 @@ def codeblocks(data: bytes, max_res: int | None = None) -> Iterator[dict]:
         seen.add(tile_no)
         while r.peek() != SOD:  # a tile's own segments must not change the coding
             marker = r.uint(2)
-            if marker != COM:
+            if marker not in (COM, PLT):
                 raise ValueError(f"{MARKERS.get(marker, hex(marker))} in a tile header")
             r.take(r.uint(2) - 2)
         r.take(2)
@@ -272,16 +318,16 @@ def codeblocks(data: bytes, max_res: int | None = None) -> Iterator[dict]:
             "bits": h.bits, "signed": h.signed, "levels": h.levels, "reversible": h.reversible, "use_mct": h.use_mct,
         }
         for res in range(h.levels + 1):
-            for comp in range(h.components):
-                bands = bands_of(h, bounds, res)
-                for band, no, block, zero, passes, body in _packet(r, h, bands):
+            for comp, own in enumerate(for_component):
+                bands = bands_of(own, bounds, res)
+                for band, no, block, zero, passes, body in _packet(r, own, bands):
                     if zero is None or max_res is not None and res > max_res:
                         continue
-                    expn, mant = h.band(band.index, band.dec_lvl)
+                    expn, mant = own.band(band.index, band.dec_lvl)
                     yield tile | {
                         "comp_no": comp, "res_no": res, "dec_lvl_no": band.dec_lvl, "orient": band.orient, "cblk_no": no,
                         "x": band.place[0] + block[2] - band.bounds[0], "y": band.place[1] + block[3] - band.bounds[1], "w": block[4] - block[2], "h": block[5] - block[3],
-                        "expn": expn, "mant": mant, "mag_bits": expn + h.guard - 1, "significant_bits": expn + h.guard - 1 - zero, "passes": passes, "bytes": body,
+                        "expn": expn, "mant": mant, "mag_bits": expn + own.guard - 1, "significant_bits": expn + own.guard - 1 - zero, "passes": passes, "bytes": body,
                     }
         if length and r.at > start + length:
             raise ValueError(f"tile {tile_no} is longer than it says")
@@ -289,3 +335,5 @@ def codeblocks(data: bytes, max_res: int | None = None) -> Iterator[dict]:
         r.at = start + length if length else r.at
     if r.peek() not in (EOC, -1):
         raise ValueError(f"{r.peek():04x} after a tile")
+    if len(seen) != ceil_div(h.width, h.tile_w) * ceil_div(h.height, h.tile_h):
+        raise Truncated("tiles are missing")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import configparser
+import re
 from dataclasses import dataclass, fields
 
 
 @dataclass
 class Options:
-    """Defaults of every key; a tile size of None means one tile."""
+    """Every key with its default (fixed values); a tile size of None means one tile."""
 
     tile_w: int | None = None
     tile_h: int | None = None
@@ -27,16 +27,40 @@ class Options:
     mct_klt_border_eigenvalue: float = 0.000001
 
 
-def parse(text: str) -> Options:
-    """Options of INI text: sections don't matter, unknown keys are ignored, later values win; -1 is no tiling."""
-    reader = configparser.ConfigParser(strict=False, interpolation=None, inline_comment_prefixes=(";",), comment_prefixes=("#", ";"))
-    reader.read_string(text if text.lstrip().startswith("[") else "[options]\n" + text)
-    out, kinds = Options(), {f.name: type(f.default) if f.default is not None else int for f in fields(Options)}
-    for section in reader.sections():
-        for key, value in reader.items(section):
-            if key in kinds:
-                setattr(out, key, kinds[key](value))
-    for key in ("tile_w", "tile_h"):
-        if (size := getattr(out, key)) is not None and size <= 0:
-            setattr(out, key, None)
+_PAIR = re.compile(r"([^=:;]*?)\s*[=:]\s*(.*)")
+_COMMENT = re.compile(r"\s;.*")
+_NUMBER = {int: re.compile(r"[+-]?\d+"), float: re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?")}
+
+
+def _number(kind: type, text: str):
+    """The number that a text starts with, 0 if there is none."""
+    return kind(m[0]) if (m := _NUMBER[kind].match(text)) else kind(0)
+
+
+def parse(text: str | None) -> Options:
+    """Options of INI text.
+
+    Sections don't matter, unknown keys and lines that say nothing are ignored, later values win. A line
+    that is set in stands for a new value of the key before it. Values are read up to what is no number;
+    without one they are 0. A tile size of 0 or less is no tiling. Null counts as empty.
+    """
+    out, kinds, key = Options(), {f.name: type(f.default) if f.default is not None else int for f in fields(Options)}, ""
+    for line in (text or "").splitlines():
+        said = line.strip()
+        if key and said and line[0].isspace():
+            value = said
+        elif said.startswith((";", "#")):
+            continue
+        elif said.startswith("["):
+            key = ""
+            continue
+        elif pair := _PAIR.fullmatch(_COMMENT.sub("", said).rstrip()):
+            key, value = pair.groups()
+        else:
+            continue
+        if key in kinds:
+            setattr(out, key, _number(kinds[key], value))
+    for size in ("tile_w", "tile_h"):
+        if (getattr(out, size) or 0) <= 0:
+            setattr(out, size, None)
     return out

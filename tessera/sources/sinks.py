@@ -3,11 +3,23 @@
 from __future__ import annotations
 
 import struct
+import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A fresh name below the folder that all executors share (spark.checkpoint.dir); only a local session may lack that."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="tessera-files-")
+    return f"{root.rstrip('/')}/tessera-{what}-{uuid.uuid4().hex}"
 
 
 def bmp(image: np.ndarray) -> bytes:

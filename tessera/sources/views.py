@@ -73,6 +73,24 @@ def page_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """image_id and content: a JP2 file of each tile of the raster, its samples shifted up to 0..255."""
+    return _encoded(spark, sf_dir, lambda image: image[None], levels=2, cblk=(5, 5))
+
+
+def lossy_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image_id and content: the same as 9/7 streams of three components, a colour transform and several tiles.
+
+    The components are the samples, 255 less the samples, and a ramp.
+    """
+    import numpy as np
+
+    def three(image):
+        rows, columns = np.indices(image.shape)
+        return np.stack([image, 255 - image, (4 * columns + rows) % 256])
+
+    return _encoded(spark, sf_dir, three, levels=2, cblk=(4, 4), tile=(48, 40), mct=True, reversible=False)
+
+
+def _encoded(spark: SparkSession, sf_dir: str, components, **how) -> DataFrame:
     import numpy as np
     import pyarrow as pa
 
@@ -81,8 +99,8 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for tile, plane in zip(batch.column("tile").to_pylist(), batch.column("plane").to_pylist(), strict=True):
-                image = np.clip(np.array(plane) + 128, 0, 255)[None]
-                stream = synthetic.encode(image, levels=2, cblk=(5, 5))
-                yield pa.RecordBatch.from_pydict({"image_id": pa.array([tile], pa.int64()), "content": pa.array([synthetic.jp2(stream, image.shape[2], image.shape[1], 1)], pa.binary())})
+                image = components(np.clip(np.array(plane) + 128, 0, 255))
+                stream = synthetic.encode(image, **how)
+                yield pa.RecordBatch.from_pydict({"image_id": pa.array([tile], pa.int64()), "content": pa.array([synthetic.jp2(stream, image.shape[2], image.shape[1], len(image))], pa.binary())})
 
     return tile_planes(spark, sf_dir).select("tile", "plane").mapInArrow(run, "image_id long, content binary")

@@ -71,9 +71,85 @@ def test_tiles_without_coded_blocks(spark):
     assert decoded(0)[3] == {(0, y, x): 128 for y in range(4) for x in range(4)}
     sizes = {r.image_id: len(r.content) for r in sinks.bmp_images(decode.decode_images(frame.filter("image_id < 3"))).collect()}
     assert sizes == {1: 54 + 4 * 20 * 24, 2: 54 + 4 * 32 * 32}
-    # A tile that ends too early isn't filled.
-    cut = spark.createDataFrame([(1, synthetic.encode(half, levels=2, tile=(16, 16))[:-3])], "image_id int, content binary")
-    assert {r.tile_no for r in decode.decode_images(cut).collect()} == {0, 1, 2}
+
+
+def test_damaged_files_give_no_pixels(spark):
+    """Also where some tiles are whole: cut in a later tile, a tile that is missing, a segment in the wrong place."""
+    whole = synthetic.encode(image(1, 32, 32), levels=2, tile=(16, 16))
+    second = whole.index(b"\xff\x90", whole.index(b"\xff\x90") + 2)
+    cut = [whole[:-3], whole[: second + 40], whole[:second] + b"\xff\xd9", whole[:second] + b"\xff\x5e\x00\x03\x00" + whole[second:]]
+    frame = spark.createDataFrame([*enumerate(cut), (9, whole)], "image_id int, content binary")
+    rows = decode.parse(frame).collect()
+    assert sorted(r.image_id for r in rows if r.error) == [0, 1, 2, 3] and {r.image_id for r in rows if not r.error} == {9}
+    assert {r.image_id for r in decode.decode_images(frame).collect()} == {9}
+
+
+def segment(marker, body):
+    return struct.pack(">HH", marker, len(body) + 2) + body
+
+
+def test_segments_of_the_main_header(spark):
+    """Harmless ones are passed over; those that change the coding, and all unknown ones, refuse the file."""
+    pixels = image(1, 12, 10)
+    good = {0xFF64: b"\0\1a comment", 0xFF63: b"\0\0\0\0", 0xFF55: b"\0\x50\0\0\0\0", 0xFF57: b"\0\0"}
+    bad = {0xFF5E: b"\0\0\1", 0xFF5F: b"\0\0\0\1\1\0\0", 0xFF60: b"\0", 0xFF61: b"\0", 0xFF50: b"\0\0\0\0", 0xFF77: b"\0\0"}
+    files = [(k, synthetic.encode(pixels, extra=segment(m, body))) for k, (m, body) in enumerate((good | bad).items())]
+    got = {}
+    for r in decode.decode_images(spark.createDataFrame(files, "image_id int, content binary")).collect():
+        got.setdefault(r.image_id, {})[r.y] = r.samples
+    assert set(got) == set(range(len(good)))
+    assert all([lines[y] for y in range(12)] == pixels[0].tolist() for lines in got.values())
+
+
+def test_part2_files_are_parsed_but_not_decoded():
+    mct = struct.pack(">HI", codestream.MCT, 4 + 5) + bytes([1 << 6 | 2, 0, 1, 0, 2])
+    stream = synthetic.encode(image(1, 8, 8), extra=mct)
+    assert codestream.main_header(stream)[0].part2[0]["elements"] == 2
+    extended = stream.replace(mct, b"").replace(b"\xff\x51\x00\x29\x00\x00", b"\xff\x51\x00\x29\x81\x00")
+    assert codestream.main_header(extended)[0].extensions is False  # 0x80 of the low byte says that transforms are used
+    flagged = stream.replace(mct, b"").replace(b"\xff\x51\x00\x29\x00\x00", b"\xff\x51\x00\x29\x80\x80")
+    for one in (stream, flagged):
+        with pytest.raises(ValueError, match="Part-2"):
+            list(codestream.codeblocks(one))
+
+
+def test_components_of_their_own_coding(spark):
+    """COC and QCC: other block sizes, guard bits and exponents for one component."""
+    pixels = image(3, 30, 34)
+    bands = [(12, 0)] * 7
+    stream = synthetic.encode(pixels, levels=2, own={1: {"cblk_w": 8, "cblk_h": 4, "guard": 3, "bands": bands}, 2: {"bands": [(11, 0)] * 7}})
+    h, _ = codestream.main_header(stream)
+    assert (h.of(1).cblk_w, h.of(1).cblk_h, h.of(1).guard, h.of(1).bands) == (8, 4, 3, bands) and h.of(0) is h and h.of(2).guard == 2
+    got = {(r.comp_no, r.y): r.samples for r in decode.decode_images(spark.createDataFrame([(1, stream)], "image_id int, content binary")).collect()}
+    assert got == {(c, y): pixels[c, y].tolist() for c in range(3) for y in range(30)}
+    coc = lambda k, levels, wavelet=1: segment(codestream.COC, bytes([k, 0, levels, 2, 2, 0, wavelet]))
+    for extra in (coc(0, 1), coc(0, 2, 0), coc(3, 2), segment(codestream.QCC, b"\0\x40\x40"), segment(codestream.COC, bytes([0, 1, 2, 2, 2, 0, 1, 255])), segment(codestream.QCD, b"\x40" + b"\x40" * 7)):
+        with pytest.raises(ValueError):
+            list(codestream.codeblocks(synthetic.encode(pixels, levels=2, extra=extra)))
+
+
+LOSSY = [
+    (image(1, 16, 16, 1), {"levels": 1}),
+    (image(3, 37, 50, 2), {"levels": 3, "tile": (24, 20), "mct": True}),
+    (image(3, 20, 9, 3), {"levels": 2, "mct": True, "derived": True, "fraction": 7}),
+    (image(1, 33, 1, 4, signed=True), {"levels": 2, "signed": True, "mant": 1000}),
+    (image(2, 1, 40, 5), {"levels": 2, "derived": True, "mant": 37, "fraction": 7}),
+    (image(1, 9, 9, 6), {"levels": 0}),
+]
+
+
+def test_lossy_images(spark):
+    """9/7 streams with steps so fine that rounding gives the samples back; all three quantisation styles."""
+    files = [(k, to_file(p, how | {"reversible": False})) for k, (p, how) in enumerate(LOSSY)]
+    got = {}
+    for r in decode.pixels(decode.decode_images(spark.createDataFrame(files, "image_id int, content binary"))).collect():
+        got.setdefault(r.image_id, {})[r.comp_no, r.y, r.x] = r.v
+    for k, (p, _) in enumerate(LOSSY):
+        assert got[k] == {c: int(v) for c, v in np.ndenumerate(p)}, k
+    coarse = synthetic.encode(LOSSY[1][0], levels=2, mct=True, reversible=False, fraction=-1)
+    rows = decode.decode_images(spark.createDataFrame([(1, coarse)], "image_id int, content binary")).collect()
+    errors = np.abs(np.array([r.samples for r in sorted(rows, key=lambda r: (r.comp_no, r.y))]).reshape(LOSSY[1][0].shape) - LOSSY[1][0])
+    assert 0 < errors.mean() < 6
 
 
 def test_truncated_streams_raise():
@@ -201,6 +277,19 @@ def test_headers_in_any_order_and_styles():
     assert [derived.band(0, k) for k in (3, 1)] == [(9, 100), (7, 100)]
 
 
+def test_distortion(spark):
+    """By counting planes sample by sample, and the weights as published in the table."""
+    values = [0, 1, -1, 2, 3, -4, 255, -256, 1000]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v int").coalesce(1).select(quant.coded_distortion(F.col("v"))).collect()]
+    assert got == [-float(sum(4**p for p in range(abs(v).bit_length()))) for v in values]
+    rows = [(lossless, level, orient) for lossless in (True, False) for level in (1, 2, 3, 4, 7) for orient in range(4)]
+    frame = spark.createDataFrame(rows, "reversible boolean, level int, orient int").coalesce(1)
+    weights = [r[0] for r in frame.select(quant.distortion_weight(F.col("reversible"), F.col("level"), F.col("orient"), F.lit(0.5), F.lit(4), F.lit(2))).collect()]
+    for (lossless, level, orient), w in zip(rows, weights, strict=True):
+        side = {1: 0.1 if lossless else 0.01, 2: 0.2, 3: 0.4}.get(level, 0.8)
+        assert w == pytest.approx((1.0, side, side, side / 2)[orient] * 0.25 / 8)
+
+
 def test_irreversible_tile():
     import pyarrow as pa
 
@@ -242,6 +331,8 @@ def test_sinks(spark, tmp_path):
 
 
 def test_options():
+    more = options.parse("tile_w = 64\n  128 ; set in\n; no\n# no\nno pair here\ntile_h = 9x\nbp = x\nlevels\n[tile_h = 3]\n  device = 2\ntarget_size=-3.7")
+    assert (more.tile_w, more.tile_h, more.bp, more.device, more.target_size) == (128, 9, 0.0, 2, -3)
     got = options.parse("tile_w = 64 ; comment\n[x]\n  tile_h: -1\nbp=1.5\nunknown=3\nmct_klt_err = 1e-3\n")
     assert (got.tile_w, got.tile_h, got.bp, got.mct_klt_err, got.tile_comp_dlvls) == (64, None, 1.5, 1e-3, 4)
-    assert options.parse("") == options.Options()
+    assert options.parse("") == options.parse(None) == options.Options()
