@@ -143,8 +143,9 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096, pool: int = 4096, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence, and its ids (`keep_ids`) or their crc32.
 
-    Null and empty texts are their end id alone; null and repeated doc_ids are packed row by row; an
-    empty table gives no row. `sequence_id` is the task's number times 2**40 plus a count, so it is
+    Null and empty texts are their end id alone; null and repeated doc_ids are packed row by row; a long
+    text is encoded in parts and fills windows of its own, four bytes an id being held; an empty table
+    gives no row; other columns are not read. `sequence_id` is the task's number times 2**40 plus a count, so it is
     the same when a lost task runs again.
     """
 

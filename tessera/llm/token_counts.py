@@ -24,7 +24,8 @@ BLOCK = 512
 def histogram(docs: DataFrame, tokenizer: str, extra: int = 0, text_col: str = "text") -> DataFrame:
     """n_tokens and n_docs: documents by encoded length, plus `extra` end ids each.
 
-    Null and empty texts have `extra` ids; every row counts; an empty table gives an empty histogram.
+    Null and empty texts have `extra` ids; every row counts, repeated ones too; whole texts count, a long one
+    in parts; an empty table gives an empty histogram; other columns are not read.
     """
 
     def run(batches):
@@ -83,6 +84,11 @@ def total_at(limits_df: DataFrame, limit: int) -> int:
     return limit * (limits_df.agg(F.sum("n_docs")).first()[0] or 0)
 
 
+def quantile(limits_df: DataFrame, share: float) -> int | None:
+    """The least length that a share of all documents (over 0, up to 1) doesn't exceed; none of an empty histogram."""
+    return limits_df.filter(F.col("share_within") >= share).agg(F.min("context_limit")).first()[0]
+
+
 def op5_token_counts(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

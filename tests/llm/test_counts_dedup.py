@@ -1,3 +1,5 @@
+import math
+
 import duckdb
 import numpy as np
 import public_tokenizers as P
@@ -27,7 +29,10 @@ def test_token_counts(spark):
         assert r.share_within == pytest.approx(r.docs_within / len(lengths))
     for limit in (0, 1, 77, 512, 10**6):
         assert token_counts.total_at(out, limit) == sum(min(n, limit) for n in lengths)
-    assert token_counts.limits(token_counts.histogram(docs.limit(0), PATH)).count() == 0
+    for share in (0.01, 0.1, 0.5, 0.9, 1.0):
+        assert token_counts.quantile(out, share) == sorted(lengths)[math.ceil(share * len(lengths)) - 1], share
+    empty = token_counts.limits(token_counts.histogram(docs.limit(0), PATH))
+    assert empty.count() == 0 and token_counts.quantile(empty, 0.5) is None
 
 
 @settings(max_examples=200, deadline=None)
