@@ -8,17 +8,55 @@ fixtures: a coder is called with a context and the bit to code, and returns the
 from __future__ import annotations
 
 #: Fixed values, a row for each of the 47 states: Qe, next state after MPS, after LPS, switch.
-_STATES = """
-5601 1 1 1   3401 2 6 0   1801 3 9 0   0AC1 4 12 0  0521 5 29 0  0221 38 33 0
-5601 7 6 1   5401 8 14 0  4801 9 14 0  3801 10 14 0 3001 11 17 0 2401 12 18 0 1C01 13 20 0 1601 29 21 0
-5601 15 14 1 5401 16 14 0 5101 17 15 0 4801 18 16 0 3801 19 17 0 3401 20 18 0 3001 21 19 0 2801 22 19 0
-2401 23 20 0 2201 24 21 0 1C01 25 22 0 1801 26 23 0 1601 27 24 0 1401 28 25 0 1201 29 26 0 1101 30 27 0
-0AC1 31 28 0 09C1 32 29 0 08A1 33 30 0 0521 34 31 0 0441 35 32 0 02A1 36 33 0 0221 37 34 0 0141 38 35 0
-0111 39 36 0 0085 40 37 0 0049 41 38 0 0025 42 39 0 0015 43 40 0 0009 44 41 0 0005 45 42 0 0001 45 43 0
-5601 46 46 0
-""".split()
-QE = [int(x, 16) for x in _STATES[0::4]]
-NEXT_MPS, NEXT_LPS, SWITCH = ([int(x) for x in _STATES[k::4]] for k in (1, 2, 3))
+STATES = (
+    (0x5601, 1, 1, 1),
+    (0x3401, 2, 6, 0),
+    (0x1801, 3, 9, 0),
+    (0x0AC1, 4, 12, 0),
+    (0x0521, 5, 29, 0),
+    (0x0221, 38, 33, 0),
+    (0x5601, 7, 6, 1),
+    (0x5401, 8, 14, 0),
+    (0x4801, 9, 14, 0),
+    (0x3801, 10, 14, 0),
+    (0x3001, 11, 17, 0),
+    (0x2401, 12, 18, 0),
+    (0x1C01, 13, 20, 0),
+    (0x1601, 29, 21, 0),
+    (0x5601, 15, 14, 1),
+    (0x5401, 16, 14, 0),
+    (0x5101, 17, 15, 0),
+    (0x4801, 18, 16, 0),
+    (0x3801, 19, 17, 0),
+    (0x3401, 20, 18, 0),
+    (0x3001, 21, 19, 0),
+    (0x2801, 22, 19, 0),
+    (0x2401, 23, 20, 0),
+    (0x2201, 24, 21, 0),
+    (0x1C01, 25, 22, 0),
+    (0x1801, 26, 23, 0),
+    (0x1601, 27, 24, 0),
+    (0x1401, 28, 25, 0),
+    (0x1201, 29, 26, 0),
+    (0x1101, 30, 27, 0),
+    (0x0AC1, 31, 28, 0),
+    (0x09C1, 32, 29, 0),
+    (0x08A1, 33, 30, 0),
+    (0x0521, 34, 31, 0),
+    (0x0441, 35, 32, 0),
+    (0x02A1, 36, 33, 0),
+    (0x0221, 37, 34, 0),
+    (0x0141, 38, 35, 0),
+    (0x0111, 39, 36, 0),
+    (0x0085, 40, 37, 0),
+    (0x0049, 41, 38, 0),
+    (0x0025, 42, 39, 0),
+    (0x0015, 43, 40, 0),
+    (0x0009, 44, 41, 0),
+    (0x0005, 45, 42, 0),
+    (0x0001, 45, 43, 0),
+    (0x5601, 46, 46, 0),
+)
 
 #: Contexts: 0 to 8 significance, 9 to 13 sign, 14 to 16 refinement, then uniform and run.
 UNIFORM, RUN, CONTEXTS = 17, 18, 19
@@ -30,60 +68,61 @@ def _states() -> list[int]:
     return [FIRST_STATES.get(k, 0) for k in range(CONTEXTS)]
 
 
-class MQDecoder:
-    """Past the end of its bytes the decoder reads ones, as the standard has it."""
-
-    def __init__(self, data: bytes, states: list[int] | None = None):
-        self.data, self.at = data + b"\xff\xff", 0
-        self.state, self.mps = states or _states(), [0] * CONTEXTS
-        self.c = self.data[0] << 16
-        self.ct = 0
-        self._byte()
-        self.c <<= 7
-        self.ct -= 7
-        self.a = 0x8000
-
-    def _byte(self) -> None:
-        data, at = self.data, min(self.at, len(self.data) - 2)
-        if data[at] == 0xFF:
-            if data[at + 1] > 0x8F:
-                self.c += 0xFF00
-                self.ct = 8
+def decoder(data: bytes, states: list[int] | None = None):
+    """A function of a context that returns the next bit. Past the end of its bytes it reads ones, as the standard has it."""
+    data += b"\xff\xff"
+    last, state, mps = len(data) - 2, list(states or _states()), [0] * CONTEXTS
+    at, c, ct, a = 0, data[0] << 16, 0, 0x8000
+
+    def byte() -> None:
+        nonlocal at, c, ct
+        here = at if at < last else last
+        follows = data[here + 1]
+        if data[here] == 0xFF:
+            if follows > 0x8F:
+                c += 0xFF00
+                ct = 8
                 return
-            self.c += data[at + 1] << 9
-            self.ct = 7
+            c += follows << 9
+            ct = 7
         else:
-            self.c += data[at + 1] << 8
-            self.ct = 8
-        self.at = at + 1
-
-    def __call__(self, cx: int, bit: int = 0) -> int:
-        state = self.state[cx]
-        qe, out = QE[state], self.mps[cx]
-        self.a -= qe
-        if (self.c >> 16) < qe:  # the lower part, of size qe
-            lps = self.a >= qe
-            self.a = qe
+            c += follows << 8
+            ct = 8
+        at = here + 1
+
+    byte()
+    c <<= 7
+    ct -= 7
+
+    def decode(cx: int, _bit: int = 0) -> int:
+        nonlocal a, c, ct
+        qe, after_mps, after_lps, switch = STATES[state[cx]]
+        out = mps[cx]
+        a -= qe
+        if c >> 16 < qe:  # the lower part, of size qe
+            lps = a >= qe
+            a = qe
         else:
-            self.c -= qe << 16
-            if self.a & 0x8000:
+            c -= qe << 16
+            if a & 0x8000:
                 return out
-            lps = self.a < qe
+            lps = a < qe
         if lps:
             out ^= 1
-            if SWITCH[state]:
-                self.mps[cx] ^= 1
-            self.state[cx] = NEXT_LPS[state]
+            if switch:
+                mps[cx] ^= 1
+            state[cx] = after_lps
         else:
-            self.state[cx] = NEXT_MPS[state]
-        while True:
-            if not self.ct:
-                self._byte()
-            self.a <<= 1
-            self.c = self.c << 1 & 0xFFFFFFFF
-            self.ct -= 1
-            if self.a & 0x8000:
-                return out
+            state[cx] = after_mps
+        while a < 0x8000:
+            if not ct:
+                byte()
+            a <<= 1
+            c = c << 1 & 0xFFFFFFFF
+            ct -= 1
+        return out
+
+    return decode
 
 
 class MQEncoder:
@@ -93,8 +132,7 @@ class MQEncoder:
         self.a, self.c, self.ct = 0x8000, 0, 12
 
     def __call__(self, cx: int, bit: int) -> int:
-        state = self.state[cx]
-        qe = QE[state]
+        qe, after_mps, after_lps, switch = STATES[self.state[cx]]
         self.a -= qe
         if bit == self.mps[cx]:
             if self.a & 0x8000:
@@ -104,15 +142,15 @@ class MQEncoder:
                 self.a = qe
             else:
                 self.c += qe
-            self.state[cx] = NEXT_MPS[state]
+            self.state[cx] = after_mps
         else:
             if self.a < qe:
                 self.c += qe
             else:
                 self.a = qe
-            if SWITCH[state]:
+            if switch:
                 self.mps[cx] ^= 1
-            self.state[cx] = NEXT_LPS[state]
+            self.state[cx] = after_lps
         while not self.a & 0x8000:
             self.a <<= 1
             self.c <<= 1
@@ -181,76 +219,83 @@ def context_kind(orient: int) -> int:
 
 
 class Block:
-    """The state of one code-block's coding; samples have a border of one on each side."""
+    """The state of one code-block's coding; samples have a border of one on each side.
+
+    `near` has, for each sample, its significant neighbours as 15 * beside + 5 * above and below + diagonal:
+    the place of its context in the table, zero if it has none. It changes only where a sample becomes
+    significant.
+    """
 
     def __init__(self, width: int, height: int, orient: int, coder, target: list[int] | None = None):
         self.w, self.h, self.stride = width, height, width + 2
         size = self.stride * (height + 2)
-        self.sig, self.seen, self.refined = [0] * size, [0] * size, [0] * size
+        self.sig, self.seen, self.refined, self.near = ([0] * size for _ in range(4))
         self.sign = [0] * size  # 1 or -1 once significant
         self.mag = [0] * size
         self.table = SIGNIFICANCE[context_kind(orient)]
         self.coder, self.target = coder, target
+        # Columns of up to four samples, stripe by stripe: the order of every pass.
+        self.columns = [range((top + 1) * self.stride + x + 1, (min(top + 4, height) + 1) * self.stride + x + 1, self.stride) for top in range(0, height, 4) for x in range(width)]
+        self.order = [i for column in self.columns for i in column]
+        self.none = [0] * size
 
-    def _context(self, i: int) -> int:
-        s, up, down = self.sig, i - self.stride, i + self.stride
-        return self.table[15 * (s[i - 1] + s[i + 1]) + 5 * (s[up] + s[down]) + s[up - 1] + s[up + 1] + s[down - 1] + s[down + 1]]
-
-    def _stripes(self):
-        for top in range(0, self.h, 4):
-            for x in range(self.w):
-                yield x, top, min(top + 4, self.h)
-
-    def _bit(self, i: int, plane: int) -> int:
-        return abs(self.target[i]) >> plane & 1 if self.target else 0
+    def _bits(self, plane: int) -> list[int]:
+        """What an encoder codes in a plane; a decoder's coder doesn't look at it."""
+        return [abs(v) >> plane & 1 for v in self.target] if self.target else self.none
 
     def _sign_of(self, i: int, plane: int) -> None:
-        g = self.sign
+        g, near, stride = self.sign, self.near, self.stride
         h = max(-1, min(1, g[i - 1] + g[i + 1]))
-        v = max(-1, min(1, g[i - self.stride] + g[i + self.stride]))
+        v = max(-1, min(1, g[i - stride] + g[i + stride]))
         cx, flip = SIGN[h, v]
         negative = self.coder(cx, (self.target[i] < 0) ^ flip if self.target else 0) ^ flip
-        self.sig[i], self.sign[i], self.mag[i] = 1, -1 if negative else 1, 1 << plane
+        self.sig[i], g[i], self.mag[i] = 1, -1 if negative else 1, 1 << plane
+        near[i - 1] += 15
+        near[i + 1] += 15
+        for row in (i - stride, i + stride):
+            near[row - 1] += 1
+            near[row] += 5
+            near[row + 1] += 1
 
     def propagate(self, plane: int) -> None:
-        for x, top, end in self._stripes():
-            for i in range((top + 1) * self.stride + x + 1, (end + 1) * self.stride + x + 1, self.stride):
-                if not self.sig[i] and (cx := self._context(i)):
-                    self.seen[i] = 1
-                    if self.coder(cx, self._bit(i, plane)):
-                        self._sign_of(i, plane)
+        sig, near, seen, table, coder, bits = self.sig, self.near, self.seen, self.table, self.coder, self._bits(plane)
+        for i in self.order:
+            if near[i] and not sig[i]:
+                seen[i] = 1
+                if coder(table[near[i]], bits[i]):
+                    self._sign_of(i, plane)
 
     def refine(self, plane: int) -> None:
-        for x, top, end in self._stripes():
-            for i in range((top + 1) * self.stride + x + 1, (end + 1) * self.stride + x + 1, self.stride):
-                if self.sig[i] and not self.seen[i]:
-                    cx = 16 if self.refined[i] else 15 if self._near(i) else 14
-                    self.refined[i] = 1
-                    if self.coder(cx, self._bit(i, plane)):
-                        self.mag[i] |= 1 << plane
-
-    def _near(self, i: int) -> int:
-        s, up, down = self.sig, i - self.stride, i + self.stride
-        return s[i - 1] + s[i + 1] + s[up] + s[down] + s[up - 1] + s[up + 1] + s[down - 1] + s[down + 1]
+        sig, near, seen, refined, mag, coder, bits, one = self.sig, self.near, self.seen, self.refined, self.mag, self.coder, self._bits(plane), 1 << plane
+        for i in self.order:
+            if sig[i] and not seen[i]:
+                if refined[i]:
+                    cx = 16
+                else:
+                    cx = 15 if near[i] else 14
+                    refined[i] = 1
+                if coder(cx, bits[i]):
+                    mag[i] |= one
 
     def clean(self, plane: int) -> None:
-        for x, top, end in self._stripes():
-            first = (top + 1) * self.stride + x + 1
-            column = range(first, (end + 1) * self.stride + x + 1, self.stride)
-            start = 0
-            if end - top == 4 and not any(self.sig[i] or self.seen[i] or self._near(i) for i in column):
-                bits = [self._bit(i, plane) for i in column]
-                if not self.coder(RUN, any(bits)):
-                    continue
-                at = bits.index(1) if any(bits) else 0
-                start = self.coder(UNIFORM, at >> 1) << 1
-                start |= self.coder(UNIFORM, at & 1)
-                self._sign_of(column[start], plane)
-                start += 1
-            for i in column[start:]:
-                if not self.sig[i] and not self.seen[i] and self.coder(self._context(i), self._bit(i, plane)):
+        sig, near, seen, table, coder, bits = self.sig, self.near, self.seen, self.table, self.coder, self._bits(plane)
+        for column in self.columns:
+            rest = column
+            if len(column) == 4:
+                a, b, c, d = column
+                if not (near[a] or near[b] or near[c] or near[d] or sig[a] or sig[b] or sig[c] or sig[d]):
+                    ones = [bits[a], bits[b], bits[c], bits[d]]
+                    if not coder(RUN, 1 in ones):
+                        continue
+                    at = ones.index(1) if 1 in ones else 0
+                    start = coder(UNIFORM, at >> 1) << 1
+                    start |= coder(UNIFORM, at & 1)
+                    self._sign_of(column[start], plane)
+                    rest = column[start + 1 :]
+            for i in rest:
+                if not sig[i] and not seen[i] and coder(table[near[i]], bits[i]):
                     self._sign_of(i, plane)
-        self.seen = [0] * len(self.seen)
+        self.seen = [0] * len(seen)
 
     def run(self, planes: int, passes: int) -> None:
         """The first plane has a cleanup pass only, each other one all three; `passes` may end early."""
@@ -265,7 +310,7 @@ def decode_block(data: bytes, width: int, height: int, orient: int, significant:
     """Samples row by row as signed 32-bit sign and magnitude, the magnitude's first bit-plane at bit 30."""
     if significant <= 0 or passes <= 0 or not width or not height:
         return [0] * (width * height)
-    block = Block(width, height, orient, MQDecoder(data))
+    block = Block(width, height, orient, decoder(data))
     block.run(significant, passes)
     shift, out = 31 - mag_bits, []
     for y in range(height):

@@ -19,11 +19,11 @@ def arithmetic(rows: DataFrame) -> DataFrame:
         for i, byte in enumerate(data):
             for k in range(8):
                 encoder((8 * i + k) % entropy.CONTEXTS, byte >> 7 - k & 1)
-        decoder, out = entropy.MQDecoder(encoder.flush()), bytearray()
+        decode, out = entropy.decoder(encoder.flush()), bytearray()
         for i in range(len(data)):
             byte = 0
             for k in range(8):
-                byte = byte << 1 | decoder((8 * i + k) % entropy.CONTEXTS)
+                byte = byte << 1 | decode((8 * i + k) % entropy.CONTEXTS)
             out.append(byte)
         return bytes(out)
 
@@ -95,9 +95,9 @@ def published(keys: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for _ in range(batch.num_rows):
-                decoder, word = entropy.MQDecoder(data, [0] * entropy.CONTEXTS), 0
+                decode, word = entropy.decoder(data, [0] * entropy.CONTEXTS), 0
                 for _ in range(256):
-                    word = word << 1 | decoder(0)
+                    word = word << 1 | decode(0)
                 out.append(f"{word:064X}")
             yield pa.RecordBatch.from_pydict({"k": batch.column("k"), "bytes": pa.array(out, pa.string())})
 

@@ -37,13 +37,15 @@ def bmp_images(lines: DataFrame) -> DataFrame:
     """
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        height, width = max(r["y"] for r in rows) + 1, max(r["x0"] + len(r["samples"]) for r in rows)
-        parts = np.zeros((max(r["comp_no"] for r in rows) + 1, height, width), np.uint32)
-        for r in rows:
-            parts[r["comp_no"], r["y"], r["x0"] : r["x0"] + len(r["samples"])] = r["samples"]
+        component, y, left = (table.column(c).to_numpy() for c in ("comp_no", "y", "x0"))
+        samples = table.column("samples").combine_chunks()
+        ends, flat = samples.offsets.to_numpy(), samples.values.to_numpy()
+        parts = np.zeros((component.max() + 1, y.max() + 1, (left + np.diff(ends)).max()), np.uint32)
+        for k in range(table.num_rows):
+            line = flat[ends[k] : ends[k + 1]]
+            parts[component[k], y[k], left[k] : left[k] + len(line)] = line
         red, green, blue = parts[:3] if len(parts) >= 3 else (parts[0],) * 3
-        return pa.table({"image_id": pa.array([rows[0]["image_id"]], table.schema.field("image_id").type), "content": pa.array([bmp(blue | green << 8 | red << 16 | np.uint32(0xFF000000))], pa.binary())})
+        return pa.table({"image_id": table.column("image_id").slice(0, 1), "content": pa.array([bmp(blue | green << 8 | red << 16 | np.uint32(0xFF000000))], pa.binary())})
 
     kind = lines.schema["image_id"].dataType.simpleString()
     return lines.groupBy("image_id").applyInArrow(run, f"image_id {kind}, content binary")

@@ -9,8 +9,8 @@ def test_published_sequence():
     """The arithmetic coder's test sequence: one context, 256 decisions."""
     coded = bytes.fromhex("84C73BFCE1A1430402200000410DBB86F4317FFF88FF37471ADB6ADFFFAC")
     plain = bytes.fromhex("00020051000000C00352872AAAAAAAAA82C02000FCD79EF6BF7FED904F46A3BF")
-    decoder = entropy.MQDecoder(coded, [0] * 19)
-    assert int("".join(str(decoder(0)) for _ in range(256)), 2).to_bytes(32, "big") == plain
+    decode = entropy.decoder(coded, [0] * 19)
+    assert int("".join(str(decode(0)) for _ in range(256)), 2).to_bytes(32, "big") == plain
     encoder = entropy.MQEncoder([0] * 19)
     for k in range(256):
         encoder(0, int.from_bytes(plain, "big") >> 255 - k & 1)
@@ -18,7 +18,7 @@ def test_published_sequence():
 
 
 def test_tables():
-    assert len(entropy.QE) == 47 and all(len(t) == 47 for t in (entropy.NEXT_MPS, entropy.NEXT_LPS, entropy.SWITCH))
+    assert len(entropy.STATES) == 47 and all(0 <= a < 47 and 0 <= b < 47 and c in (0, 1) for _, a, b, c in entropy.STATES)
     assert [max(t) for t in entropy.SIGNIFICANCE] == [8, 8, 8]
     assert entropy.SIGNIFICANCE[0][0] == 0 and entropy.SIGN[0, 0] == (9, 0) and entropy.SIGN[-1, 1] == (11, 1) and entropy.SIGN[1, 1] == (13, 0)
 
