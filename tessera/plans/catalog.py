@@ -434,6 +434,11 @@ def mq_published(spark, sf_dir):
     return trials.published(spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("int").alias("k")))
 
 
+@query("SELECT n_nationkey::INT AS k, [1, 5, 1, 0] AS samples FROM nation")
+def codeblock_published(spark, sf_dir):
+    return trials.published_block(spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("int").alias("k")))
+
+
 @query("SELECT p_partkey AS k, hex(encode(p_name)) AS bytes FROM part")
 def mq_decode(spark, sf_dir):
     return trials.arithmetic(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"), F.encode("p_name", "utf-8").alias("data")))

@@ -104,6 +104,18 @@ def published(keys: DataFrame) -> DataFrame:
     return keys.select("k").mapInArrow(run, "k int, bytes string")
 
 
+def published_block(keys: DataFrame) -> DataFrame:
+    """k and the samples of a code-block of the standard's worked example: the vertical high band of a column."""
+
+    def run(batches):
+        for batch in batches:
+            coded = entropy.decode_block(bytes.fromhex("0FB176"), 1, 4, 2, 3, 7, 10)
+            samples = [-((v & 0x7FFFFFFF) >> 21) if v < 0 else v >> 21 for v in coded]
+            yield pa.RecordBatch.from_pydict({"k": batch.column("k"), "samples": pa.array([samples] * batch.num_rows, pa.list_(pa.int32()))})
+
+    return keys.select("k").mapInArrow(run, "k int, samples array<int>")
+
+
 def quantisations(keys: DataFrame) -> DataFrame:
     """k, style, guard, exponents and mantissas of the four bands of one level, from QCD segments of each style.
 

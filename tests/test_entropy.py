@@ -17,6 +17,12 @@ def test_published_sequence():
     assert coded.startswith(encoder.flush())
 
 
+def test_published_code_block():
+    """The high band's code-block of the standard's worked example, an image of one column."""
+    coded = entropy.decode_block(bytes.fromhex("0FB176"), 1, 4, 2, 3, 7, 10)
+    assert [-((v & 0x7FFFFFFF) >> 21) if v < 0 else v >> 21 for v in coded] == [1, 5, 1, 0]
+
+
 def test_tables():
     assert len(entropy.STATES) == 47 and all(0 <= a < 47 and 0 <= b < 47 and c in (0, 1) for _, a, b, c in entropy.STATES)
     assert [max(t) for t in entropy.SIGNIFICANCE] == [8, 8, 8]
