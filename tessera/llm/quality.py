@@ -66,18 +66,24 @@ class Doc:
 
     @cached_property
     def strings(self) -> list[str]:
-        return [w.decode("utf-8", "surrogatepass") for w in self.first]
+        return b"\n".join(self.first).decode("utf-8", "surrogatepass").split("\n") if self.first else []
+
+    def _flags(self, test: Callable[[str], bool]) -> np.ndarray:
+        return np.fromiter(map(test, self.strings), bool, len(self.strings))
 
     @property
     def shouted(self) -> int:
-        """Words that `shouts` says yes to."""
-        test = str.isupper if self.ascii else shouts
-        return int(self.counts[np.fromiter(map(test, self.strings), bool, len(self.strings))].sum())
+        """Words that `shouts` says yes to; of ASCII words `isupper` says the same."""
+        yes = self._flags(str.isupper)
+        if not self.ascii:
+            for k in np.flatnonzero(~self._flags(str.isascii)).tolist():
+                yes[k] = shouts(self.strings[k])
+        return int(self.counts[yes].sum())
 
     @property
     def lettered(self) -> int:
-        """Words with a letter."""
-        yes = np.fromiter(map(str.isalpha, self.strings), bool, len(self.strings))
+        """Words with a letter; those of letters alone are told by `isalpha`."""
+        yes = self._flags(str.isalpha)
         for k in np.flatnonzero(~yes).tolist():
             yes[k] = has_letter(self.strings[k])
         return int(self.counts[yes].sum())
