@@ -29,7 +29,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Rows and bytes of an Arrow batch. Spark's own limits let one batch, with the copies that both sides
 #: make of it, take a good part of what an executor has outside its heap.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:

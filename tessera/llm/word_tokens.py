@@ -23,6 +23,8 @@ from .common import Memo
 _ODD_BLANKS = "\x1c\x1d\x1e\x1f"
 _PLAIN = re.compile("[\x00-\xff]*").fullmatch
 _packed = struct.Struct("<I").pack
+#: Stands between the ids of chunks that are encoded together; no id is as large.
+_MARK = b"\xff\xff\xff\xff"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -40,7 +42,7 @@ class WordTokens:
     bytes and encoded by itself. The arrays are emptied when they hold `capacity` chunks.
     """
 
-    def __init__(self, path: str, capacity: int = 700_000):
+    def __init__(self, path: str, capacity: int = 500_000):
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         spec = json.loads(self.library.to_str())
@@ -48,12 +50,13 @@ class WordTokens:
         kinds = [n["type"] for n in spec["normalizer"]["normalizers"]]
         if kinds != ["NFC", "Replace", "Lowercase"] or split["type"] != "Split" or not split["invert"]:
             raise ValueError("not a lower-case word tokenizer")
-        self.cut = regex.compile(split["pattern"]["Regex"]).findall
+        self.cut = regex.compile(split["pattern"]["Regex"] + r"|\n").findall
         self.model = self.library.model
         self.letters = _byte_letters()
+        self.packed = [_packed(i) for i in range(self.library.get_vocab_size())]
         self._numbers = common.span_places
         self.capacity = capacity
-        self.parts = Memo(self._part, 100_000)
+        self.parts = Memo(self._part, 80_000)
         self._clear()
 
     def _clear(self) -> None:
@@ -69,14 +72,36 @@ class WordTokens:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _part(self, part: str) -> bytes:
-        word = part.encode().decode("latin-1").translate(self.letters)
-        return b"".join([_packed(t.id) for t in self.model.tokenize(word)])
+        if part == "\n":
+            return _MARK
+        word = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.letters)
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model.tokenize(word)])
 
     def _chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk, packed; it holds no line break."""
         if not _PLAIN(chunk):
             return self._whole(chunk)
         return b"".join(map(self.parts.__getitem__, self.cut(chunk.lower())))
 
+    def _chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks one after another, and how many each has; those within Latin-1 are cut together."""
+        text, others = b"\n".join(chunks).decode("utf-8", "surrogatepass"), {}
+        if not _PLAIN(text):
+            each = text.split("\n")
+            others = {k: self._whole(c) for k, c in enumerate(each) if not _PLAIN(c)}
+            text = "\n".join("" if k in others else c for k, c in enumerate(each))
+        ids = np.frombuffer(b"".join(map(self.parts.__getitem__, self.cut(text.lower() + "\n"))), "<u4")
+        ends = np.flatnonzero(ids == 0xFFFFFFFF)
+        sizes = np.diff(ends, prepend=-1) - 1
+        if others:
+            parts = [p[:-1] for p in np.split(ids, ends[:-1] + 1)]
+            for k, packed in others.items():
+                parts[k] = np.frombuffer(packed, "<u4")
+                sizes[k] = len(parts[k])
+            return np.concatenate(parts), sizes
+        return ids[ids != 0xFFFFFFFF], sizes
+
     def _find(self, numbers: np.ndarray) -> np.ndarray:
         """Entry of each number, -1 if there is none: probing slot after slot."""
         out = np.full(len(numbers), -1, np.int32)
@@ -105,23 +130,22 @@ class WordTokens:
 
     def _learn(self, numbers: np.ndarray, chunks: list[bytes]) -> np.ndarray:
         """Entries of new chunks."""
-        packed = [self._chunk(c.decode("utf-8", "surrogatepass")) for c in chunks]
+        ids, sizes = self._chunks(chunks)
         self.parts = self.parts.tidied()
-        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
         lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        total, letters, entries = int(sizes.sum()), int(lengths.sum()), np.arange(self.known, self.known + len(packed), dtype=np.int32)
+        total, letters, entries = len(ids), int(lengths.sum()), np.arange(self.known, self.known + len(chunks), dtype=np.int32)
         if self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(total, len(self.ids)), np.uint32)])
         if self.filled + letters > len(self.bytes):
             self.bytes = np.concatenate([self.bytes, np.zeros(max(letters, len(self.bytes)), np.uint8)])
-        if (lack := self.known + len(packed) - len(self.at)) > 0:  # a run of more chunks than the capacity
+        if (lack := self.known + len(chunks) - len(self.at)) > 0:  # a run of more chunks than the capacity
             self.at, self.place = (np.concatenate([x, np.zeros(lack, np.int64)]) for x in (self.at, self.place))
             self.size, self.length = (np.concatenate([x, np.zeros(lack, np.int32)]) for x in (self.size, self.length))
-        self.ids[self.used : self.used + total] = np.frombuffer(b"".join(packed), "<u4")
+        self.ids[self.used : self.used + total] = ids
         self.bytes[self.filled : self.filled + letters] = np.frombuffer(b"".join(chunks), np.uint8)
         self.at[entries], self.size[entries] = self.used + np.cumsum(sizes) - sizes, sizes
         self.place[entries], self.length[entries] = self.filled + np.cumsum(lengths) - lengths, lengths
-        self.used, self.known, self.filled = self.used + total, self.known + len(packed), self.filled + letters
+        self.used, self.known, self.filled = self.used + total, self.known + len(chunks), self.filled + letters
         while 4 * self.known > 3 * len(self.entry):
             self._grow()
         self._insert(numbers, entries)

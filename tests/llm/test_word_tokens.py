@@ -151,6 +151,23 @@ def test_equal_numbers_are_told_apart():
             assert [x.tolist() for x in tokens.encode_batch(texts)] == [ids(t) for t in texts]
 
 
+def test_shared_folder_must_be_named_on_a_cluster():
+    class Conf:
+        get = staticmethod(lambda key, default=None: default)
+        set = staticmethod(lambda key, value: None)
+
+    class Session:
+        conf = Conf
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session, "x")
+    Session.sparkContext.master = "local[2]"
+    assert "tessera-x-" in common.shared_dir(Session, "x")
+
+
 def test_a_chunk_much_longer_than_a_run():
     texts = ["one two", "x" * 500 + " y", "a b"]
     assert [x.tolist() for x in WordTokens(PATH).encode_batch(texts, 16)] == [ids(t) for t in texts]
