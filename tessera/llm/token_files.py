@@ -38,7 +38,7 @@ _TOTALS = struct.Struct("<QQQ")
 #: Raw bytes and documents of a frame, at which it is closed.
 FRAME_BYTES, FRAME_DOCUMENTS = 1 << 20, 1 << 14
 #: Bytes of input (as the plan estimates them) of a shard; small inputs are split further, for the cores.
-SHARD_BYTES, LEAST_BYTES = 64 << 20, 4 << 20
+SHARD_BYTES, LEAST_BYTES = 64 << 20, 1 << 19
 
 
 def _filesystem(path: str):

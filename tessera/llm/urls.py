@@ -7,6 +7,7 @@ carries. Batches of URLs are scored in numpy.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterable
 
@@ -128,16 +129,25 @@ def fit(table: Iterable[tuple[str, bool]], rounds: int = 500, rate: float = 20.0
         return w, b
     row, bucket = features([split(url) for url, _ in table])
     used, column = np.unique(bucket, return_inverse=True)
-    x = 1 / np.sqrt(np.bincount(row, minlength=len(table)))[row]  # of the cells that aren't zero
-    y, v = np.array([float(bad) for _, bad in table]), np.zeros(len(used))
-    for _ in range(rounds):
-        error = (1 / (1 + np.exp(-(np.bincount(row, weights=x * v[column], minlength=len(table)) + b))) - y) / len(table)
-        v -= rate * (np.bincount(column, weights=x * error[row], minlength=len(used)) + ridge * v)
+    x = 1 / np.sqrt(np.bincount(row, minlength=len(table)))[row]  # of the cells that aren't zero, row by row
+    there, row_starts = np.unique(row, return_index=True)
+    by_column = np.argsort(column, kind="stable")
+    column_starts, x_by_column, row_by_column = np.unique(column[by_column], return_index=True)[1], x[by_column], row[by_column]
+    y, v, z = np.array([float(bad) for _, bad in table]), np.zeros(len(used)), np.zeros(len(table))
+    for _ in range(rounds if len(row) else 0):
+        z[there] = np.add.reduceat(x * v[column], row_starts)
+        error = (1 / (1 + np.exp(-(z + b))) - y) / len(table)
+        v -= rate * (np.add.reduceat(x_by_column * error[row_by_column], column_starts) + ridge * v)
         b -= rate / 10 * error.sum()
     w[used] = v
     return w, b
 
 
+@functools.cache
+def default_model() -> tuple[np.ndarray, float]:
+    return fit(labelled())
+
+
 def unwanted(parts: list[tuple[str, str]], model: tuple[np.ndarray, float]) -> np.ndarray:
     """Probability by the model of each (host, path); 0 without a host, which the model knows nothing of."""
     row, bucket = features(parts)
@@ -175,7 +185,7 @@ def judge(pages: DataFrame, rules=RULES, table: Iterable[tuple[str, bool]] | Non
     one: ids may be null or repeat; a long URL is read whole; an empty table gives an empty one; other
     columns are not read.
     """
-    model = fit(labelled() if table is None else table)
+    model = default_model() if table is None else fit(table)
     rows = common.id_and_text(pages, id_col, url_col)
     return common.map_chunks(rows, Judge(rules, model, least), "page_id long, host string, path string, rule string, verdict string, unwanted double")
 
