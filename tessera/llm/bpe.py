@@ -327,28 +327,37 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 
 class Decode:
-    def __init__(self, path: str):
-        self.path = path
+    """Batch function of `decode`: the bytes from `start` to `stop` of each text, by the offsets of its ids."""
 
-    def start(self) -> Coder:
-        return loaded(self.path)
+    def __init__(self, path: str, start: int, stop: int | None):
+        self.path, self.begin, self.end = path, start, stop
 
     def __call__(self, batch: pa.RecordBatch, coder: Coder) -> pa.RecordBatch:
-        texts = [coder.decode(np.frombuffer(x or b"", "<u4").tolist()) for x in batch.column("ids").to_pylist()]
-        return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "bytes": pa.array(texts, pa.binary())})
+        out = []
+        for packed, held in zip(batch.column("ids").to_pylist(), batch.column("offsets").to_pylist(), strict=True):
+            ids, offsets = np.frombuffer(packed or b"", "<u4"), np.frombuffer(held or b"", "<i8")
+            if len(offsets) != len(ids):
+                raise ValueError("ids without their offsets")
+            size = int(offsets[-1] + coder.size_of[ids[-1]]) if len(ids) else 0
+            out.append(coder.decode_at(ids, np.append(offsets, size), self.begin, self.end))
+        return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "bytes": pa.array(out, pa.binary())})
+
 
+def decode(encoded: DataFrame, path: str, start: int = 0, stop: int | None = None) -> DataFrame:
+    """doc_id and the bytes from `start` to `stop` (the end, if none) of what `encode` has encoded.
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id and the bytes of its ids; null ids decode to no bytes."""
-    work = Decode(path)
+    Only the ids that meet that range, found by their offsets, are looked up. Null ids decode to no bytes;
+    a range beyond a text's end has none.
+    """
+    work = Decode(path, start, stop)
 
     def run(batches):
-        coder = work.start()
+        coder = loaded(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 yield work(batch.slice(at, 256), coder)
 
-    return encoded.select("doc_id", "ids").mapInArrow(common.tidy(run), "doc_id long, bytes binary")
+    return encoded.select("doc_id", "ids", "offsets").mapInArrow(common.tidy(run), "doc_id long, bytes binary")
 
 
 class RoundTrip:

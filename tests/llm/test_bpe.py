@@ -88,3 +88,6 @@ def test_frame(spark, empty):
     assert sorted(map(tuple, out), key=str) == sorted(want, key=str)
     back = bpe.decode(bpe.encode(docs, PATH), PATH).collect()
     assert sorted(str((r.doc_id, bytes(r.bytes))) for r in back) == sorted(str((i, (t or "").encode())) for i, t, _ in rows)
+    for start, stop in ((3, 9), (0, 0), (5, None), (10**6, None)):
+        part = bpe.decode(bpe.encode(docs, PATH), PATH, start, stop).collect()
+        assert sorted(str((r.doc_id, bytes(r.bytes))) for r in part) == sorted(str((i, (t or "").encode()[start:stop])) for i, t, _ in rows)
