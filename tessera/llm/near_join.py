@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import common
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9999
-POSITIONS, BUCKET, GRAMS = 64, 2048, 1 << 20
+POSITIONS, BUCKET, GRAMS = 64, 2048, 1 << 19
 DEPTH, RESTARTS = 3, 4
 #: Nodes of so few members are handled many at a time, about BATCH rows.
 SMALL, BATCH = 32, 512
@@ -75,12 +75,13 @@ def gram_sets(texts: list[str | None], words: int = WORDS, limit: int = 1 << 19)
     short: dict[tuple, int] = {}
     codes: list[np.ndarray] = []
     for text in texts:
-        parts = [np.zeros(0, np.int64)]
+        parts = [np.zeros(0, np.int32)]
         for body in common.cut_at_blanks((text or "").encode("utf-8", "surrogatepass"), limit):
-            parts.append(np.array([names.setdefault(w, len(names)) for w in body.split()], np.int64))
-        codes.append(np.concatenate(parts))
+            parts.append(np.array([names.setdefault(w, len(names)) for w in body.split()], np.int32))
+        codes.append(parts[1] if len(parts) == 2 else np.concatenate(parts))
+    del names
     lengths = np.array([len(c) for c in codes], np.int64)
-    flat = np.concatenate([np.zeros(0, np.int64), *codes])
+    flat = np.concatenate([np.zeros(0, np.int32), *codes])
     grams, size = flat, 1
     if len(flat) >= words > 1:
         blocks = {1: flat}  # names of the runs of 1, 2, 4, ... words
@@ -96,7 +97,7 @@ def gram_sets(texts: list[str | None], words: int = WORDS, limit: int = 1 << 19)
         if n >= words:
             out.append(np.unique(grams[at : at + n - words + 1]))
         else:  # numbered after all full grams
-            out.append(np.array([len(flat) + short.setdefault(tuple(own.tolist()), len(short))] if n else [], np.int64))
+            out.append(np.array([len(flat) + short.setdefault(tuple(own.tolist()), len(short))] if n else [], np.int32))
         at += n
     return out
 
@@ -104,7 +105,16 @@ def gram_sets(texts: list[str | None], words: int = WORDS, limit: int = 1 << 19)
 def _named(left: np.ndarray, right: np.ndarray, gap: int) -> np.ndarray:
     """Numbers of the pairs (left[i], right[i + gap]), equal for equal pairs."""
     n = len(right) - gap
-    return np.unique(left[:n] * (int(right.max()) + 1) + right[gap:], return_inverse=True)[1].astype(np.int64)
+    pairs = left[:n].astype(np.int64)
+    pairs *= int(right.max()) + 1
+    pairs += right[gap:]
+    order = np.argsort(pairs)
+    pairs = pairs[order]
+    rank = np.zeros(n, np.int32)
+    np.cumsum(pairs[1:] != pairs[:-1], out=rank[1:])
+    out = np.empty(n, np.int32)
+    out[order] = rank
+    return out
 
 
 def _seeds() -> tuple[np.ndarray, np.ndarray]:
@@ -198,14 +208,22 @@ def _agreeing(similarity: float) -> int:
     return math.floor(similarity * POSITIONS - 5 * math.sqrt(POSITIONS * similarity * (1 - similarity)))
 
 
+#: Rows of a matrix of pairs that are worked on at a time.
+_ROWS = 256
+
+
 def _alike(signs: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
     """Mask of the pairs i < j that agree in enough positions and whose sizes allow the similarity."""
     n = len(signs)
-    agree = np.zeros((n, n), np.uint8)
-    for k in range(POSITIONS):
-        agree += signs[:, k][:, None] == signs[:, k][None, :]
-    mask = np.triu(agree >= _agreeing(similarity), 1)
-    return mask & (np.minimum(sizes[:, None], sizes[None, :]) >= similarity * np.maximum(sizes[:, None], sizes[None, :]) - 1e-9)
+    mask = np.zeros((n, n), bool)
+    for at in range(0, n, _ROWS):
+        some, own = signs[at : at + _ROWS], sizes[at : at + _ROWS, None]
+        agree = np.zeros((len(some), n), np.uint8)
+        for k in range(POSITIONS):
+            agree += some[:, k][:, None] == signs[:, k][None, :]
+        near = (agree >= _agreeing(similarity)) & (np.minimum(own, sizes) >= similarity * np.maximum(own, sizes) - 1e-9)
+        mask[at : at + _ROWS] = np.triu(near, at + 1)
+    return mask
 
 
 def _not_met(mask: np.ndarray, paths: list[np.ndarray]) -> np.ndarray:
@@ -219,7 +237,8 @@ def _not_met(mask: np.ndarray, paths: list[np.ndarray]) -> np.ndarray:
         part = (at >= lo) & (at < lo + 1024)
         member = np.zeros((n, min(1024, len(names) - lo)), np.float32)
         member[owner[part], at[part] - lo] = 1
-        mask &= (member @ member.T) == 0
+        for row in range(0, n, _ROWS):
+            mask[row : row + _ROWS] &= (member[row : row + _ROWS] @ member.T) == 0
     return mask
 
 
@@ -289,9 +308,8 @@ def _verify(similarity: float, words: int):
         texts = [table.column("text")[int(r)].as_py() for r in firsts]
         if None in texts:
             raise ValueError("the documents differ between two reads of the table")
-        sets = gram_sets(texts, words)
-        common_grams = _overlaps(sets, row_set[left], row_set[right])
-        sizes = np.array([len(s) for s in sets])[row_set]
+        common_grams, sizes = _common(texts, row_set[left], row_set[right], words)
+        sizes = sizes[row_set]
         linked = common_grams >= similarity * (sizes[left] + sizes[right] - common_grams) - 1e-9
         left, right = left[linked], right[linked]
         np.add.at(links, left, weights[right])
@@ -302,6 +320,32 @@ def _verify(similarity: float, words: int):
     return run
 
 
+def _common(texts: list[str], left: np.ndarray, right: np.ndarray, words: int, limit: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    """Common grams of each pair of texts, and the grams of each text that is in one.
+
+    Only pairs that hang together need sets at the same time: those are taken until their texts reach `limit`.
+    """
+    both, sizes = np.zeros(len(left), np.int64), np.zeros(len(texts), np.int64)
+    if not len(left):
+        return both, sizes
+    group = _connected(np.arange(len(texts)), left, right)
+    size = np.bincount(group, weights=[len(t) for t in texts], minlength=len(texts))
+    order = np.argsort(group[left], kind="stable")
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(group[left][order])) + 1, [len(order)]])
+    first, held = 0, 0.0
+    for a, b in zip(starts, starts[1:], strict=False):
+        held += size[group[left[order[a]]]]
+        if held < limit and b < len(order):
+            continue
+        pairs = order[first:b]
+        members, place = np.unique(np.concatenate([left[pairs], right[pairs]]), return_inverse=True)
+        sets = gram_sets([texts[m] for m in members.tolist()], words)
+        sizes[members] = list(map(len, sets))
+        both[pairs] = _overlaps(sets, place[: len(pairs)], place[len(pairs) :])
+        first, held = b, 0.0
+    return both, sizes
+
+
 def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Common grams of each pair; pairs that hang together are handled together, one group after another."""
     out = np.zeros(len(left), np.int64)
@@ -318,14 +362,13 @@ def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np
     return out
 
 
-def _products(sets: list[np.ndarray], step: int = 1 << 20, width: int = 1 << 22) -> np.ndarray:
+def _products(sets: list[np.ndarray], step: int = 1 << 20, width: int = 1 << 21) -> np.ndarray:
     """Common grams of all pairs, by products of incidence blocks over ranges of about `step` grams."""
     n = len(sets)
-    both = np.zeros((n, n), np.float32)  # exact: no set has 2**24 grams in a range
     ranges, end = 1 + sum(map(len, sets)) // step, 1 + max((int(s[-1]) for s in sets if len(s)), default=0)
     edges = np.array([k * end // ranges for k in range(1, ranges)], np.int64)
     cuts = [np.concatenate([[0], np.searchsorted(s, edges), [len(s)]]) for s in sets]
-    total = np.zeros((n, n), np.int64)
+    total = np.zeros((n, n), np.int32)
     for k in range(ranges):
         parts = [s[c[k] : c[k + 1]] for s, c in zip(sets, cuts, strict=True)]
         owner = np.repeat(np.arange(n), [len(x) for x in parts])
@@ -335,13 +378,12 @@ def _products(sets: list[np.ndarray], step: int = 1 << 20, width: int = 1 << 22)
         owner = owner[shared]
         order = np.argsort(gram, kind="stable")
         gram, owner, wide = gram[order], owner[order], max(64, width // n)
-        both[:] = 0
         for lo in range(0, len(names), wide):
             a, b = np.searchsorted(gram, [lo, lo + wide])
-            part = np.zeros((n, min(wide, len(names) - lo)), np.float32)
+            part = np.zeros((n, min(wide, len(names) - lo)), np.float32)  # products are exact: under 2**24
             part[owner[a:b], gram[a:b] - lo] = 1
-            both += part @ part.T
-        total += both.astype(np.int64)
+            for row in range(0, n, _ROWS):
+                total[row : row + _ROWS] += (part[row : row + _ROWS] @ part.T).astype(np.int32)
     return total
 
 

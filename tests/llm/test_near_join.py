@@ -206,6 +206,22 @@ def test_many_labels_and_clashing_names(spark, monkeypatch):
     assert {(r.doc_id, r._row, r["__row"]) for r in kept.collect()} == {(k, k, k) for k in want}
 
 
+def test_blocks_of_pairs(monkeypatch):
+    rng = np.random.default_rng(2)
+    signs = rng.integers(0, 2, (50, near_join.POSITIONS)).astype(np.int8)
+    signs[20:30] = signs[5]
+    sizes = rng.integers(50, 70, 50)
+    monkeypatch.setattr(near_join, "_agreeing", lambda similarity: 38)
+    want = {(i, j) for i in range(50) for j in range(i + 1, 50) if (signs[i] == signs[j]).sum() >= 38 and min(sizes[i], sizes[j]) >= 0.8 * max(sizes[i], sizes[j])}
+    paths = [rng.integers(0, 40, rng.integers(0, 4)) for _ in range(50)]
+    for rows in (7, 256):
+        monkeypatch.setattr(near_join, "_ROWS", rows)
+        mask = near_join._alike(signs, sizes, 0.8)
+        assert set(zip(*map(np.ndarray.tolist, np.nonzero(mask)), strict=True)) == want
+        met = near_join._not_met(mask, paths)
+        assert set(zip(*map(np.ndarray.tolist, np.nonzero(met)), strict=True)) == {(i, j) for i, j in want if not set(paths[i].tolist()) & set(paths[j].tolist())}
+
+
 def test_sql(spark):
     docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(corpus(8))], "doc_id long, text string")
     documents = docs.toArrow()  # noqa: F841  read by duckdb
@@ -227,6 +243,16 @@ def test_gram_sets_and_parts():
                 both = len(grams(x, words) & grams(y, words))
                 assert len(np.intersect1d(named[i], named[j])) == len(np.intersect1d(hashed[i][:, 0], hashed[j][:, 0])) == both, (words, x, y)
     rng = np.random.default_rng(0)
+    words = lambda: " ".join(f"w{x}" for x in rng.integers(0, 60, rng.integers(0, 70)))
+    some = [words() for _ in range(25)] + ["", "a", "a"]
+    i, j = np.triu_indices(len(some), 1)
+    pick = rng.random(len(i)) < 0.1
+    i, j = np.append(i[pick], 26), np.append(j[pick], 27)
+    for limit in (1, 300, 1 << 19):
+        both, sizes = near_join._common(some, i, j, 2, limit)
+        assert both.tolist() == [len(grams(some[a], 2) & grams(some[b], 2)) for a, b in zip(i, j, strict=True)]
+        assert all(sizes[a] == len(grams(some[a], 2)) for a in {*i.tolist(), *j.tolist()})
+    assert near_join._common(some, i[:0], j[:0], 2)[0].tolist() == []
     many = [np.unique(rng.integers(0, 400, 90)) for _ in range(30)]
     left, right = np.triu_indices(30, 1)
     direct = [len(np.intersect1d(many[i], many[j])) for i, j in zip(left, right, strict=True)]
