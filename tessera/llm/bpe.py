@@ -289,12 +289,19 @@ class Coder:
         return out[start - low : stop - low].tobytes()
 
 
+#: The name under which tasks say that they use it (`common.use`).
+TOOL = "byte pairs"
+
+
 @functools.cache
 def loaded(path: str) -> Coder:
-    """One coder for each Python worker: its cache serves all tasks that the worker runs."""
+    """One coder for each Python worker: its cache serves all tasks until one uses another tool."""
     return Coder(path)
 
 
+common.cached_tool(TOOL, loaded.cache_clear)
+
+
 class Encode:
     """Batch function of `encode`: ids and the byte offset of each, packed little-endian."""
 
@@ -323,7 +330,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     text is encoded in parts, but for a stretch without a blank after a letter or digit, which must fit in
     a task some thirty times. An empty table gives an empty table; other columns are not read.
     """
-    return common.map_chunks(common.id_and_text(docs, id_col, text_col), Encode(path), "doc_id long, n_tokens long, ids binary, offsets binary")
+    return common.map_chunks(common.id_and_text(docs, id_col, text_col), Encode(path), "doc_id long, n_tokens long, ids binary, offsets binary", tool=TOOL)
 
 
 class Decode:
@@ -357,7 +364,7 @@ def decode(encoded: DataFrame, path: str, start: int = 0, stop: int | None = Non
             for at in range(0, batch.num_rows, 256):
                 yield work(batch.slice(at, 256), coder)
 
-    return encoded.select("doc_id", "ids", "offsets").mapInArrow(common.tidy(run), "doc_id long, bytes binary")
+    return encoded.select("doc_id", "ids", "offsets").mapInArrow(common.tidy(run, TOOL), "doc_id long, bytes binary")
 
 
 class RoundTrip:
@@ -385,7 +392,7 @@ class RoundTrip:
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Digests of every document's ids and of the bytes they decode to; same cases as `encode`."""
-    return common.map_chunks(common.id_and_text(docs, id_col, text_col), RoundTrip(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return common.map_chunks(common.id_and_text(docs, id_col, text_col), RoundTrip(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", tool=TOOL)
 
 
 def op2_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ import tempfile
 import time
 import uuid
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -170,10 +171,30 @@ def trim(force: bool = False) -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def tidy(run):
+#: What empties the caches that a tool keeps in a Python worker, by its name, and the tool used last.
+_tools: dict[str, Callable[[], None]] = {}
+_tool = ""
+
+
+def cached_tool(name: str, clear: Callable[[], None]) -> None:
+    _tools[name] = clear
+
+
+def use(tool: str = "") -> None:
+    """Says which cached tool a task works with; those of another one go, since workers outlive stages."""
+    global _tool
+    if tool != _tool:
+        if _tool in _tools:
+            _tools[_tool]()
+            trim(force=True)
+        _tool = tool
+
+
+def tidy(run, tool: str = ""):
     """A batch function for mapInArrow that trims its worker as it goes and at its end."""
 
     def tidied(batches):
+        use(tool)
         try:
             for out in run(batches):
                 yield out
@@ -184,10 +205,11 @@ def tidy(run):
     return tidied
 
 
-def map_chunks(df: DataFrame, function, schema: str, limit: int = 1 << 20) -> DataFrame:
+def map_chunks(df: DataFrame, function, schema: str, limit: int = 1 << 20, tool: str = "") -> DataFrame:
     """mapInArrow over slices of bounded text; `function` takes and returns a RecordBatch.
 
-    `function` may have a `start()` that makes per-task state, passed as its second argument.
+    `function` may have a `start()` that makes per-task state, passed as its second argument. `tool` names
+    the cached tool that it uses.
     """
 
     def run(batches):
@@ -196,7 +218,7 @@ def map_chunks(df: DataFrame, function, schema: str, limit: int = 1 << 20) -> Da
             for part in chunks(batch, limit):
                 yield function(part, state) if state is not None else function(part)
 
-    return df.mapInArrow(tidy(run), schema)
+    return df.mapInArrow(tidy(run, tool), schema)
 
 
 def join_with_heavy(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, share: int = 1024) -> DataFrame:

@@ -289,6 +289,7 @@ def _candidates(similarity: float):
     """Members of nodes that have a candidate to verify there."""
 
     def run(table: pa.Table) -> pa.Table:
+        common.use()
         common.trim()
         near = table.take(pa.array(np.unique(np.concatenate(_pairs(table, similarity)))))
         return near.cast(pa.schema([(f.name, pa.list_(f.type.value_type) if pa.types.is_list(f.type) else f.type) for f in near.schema]))
@@ -300,6 +301,7 @@ def _verify(similarity: float, words: int):
     """Links of nodes' members on their n-grams, and the smallest class each is connected with."""
 
     def run(table: pa.Table) -> pa.Table:
+        common.use()
         common.trim()
         ids, weights = table.column("class").to_numpy(), table.column("weight").to_numpy()
         links = np.zeros(table.num_rows, np.int64)

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from . import common
-from .word_tokens import loaded
+from .word_tokens import TOOL, loaded
 
 #: Lengths that one window's subset-sum looks at: more only help when those can't fill the window.
 BREADTH = 64
@@ -175,7 +175,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096,
         if out:
             yield _rows(out, keep_ids)
 
-    return common.id_and_text(docs, id_col, text_col).mapInArrow(common.tidy(run), SCHEMA + (", ids binary" if keep_ids else ""))
+    return common.id_and_text(docs, id_col, text_col).mapInArrow(common.tidy(run, TOOL), SCHEMA + (", ids binary" if keep_ids else ""))
 
 
 def _rows(out: list[tuple], keep_ids: bool) -> pa.RecordBatch:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .word_tokens import loaded
+from .word_tokens import TOOL, loaded
 
 BLOCK = 512
 
@@ -38,7 +38,7 @@ def histogram(docs: DataFrame, tokenizer: str, extra: int = 0, text_col: str = "
             yield pa.RecordBatch.from_pydict({"n_tokens": pa.array(list(found), pa.int64()), "n_docs": pa.array(list(found.values()), pa.int64())})
 
     common.small_batches(docs.sparkSession)
-    counted = docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(common.tidy(run), "n_tokens long, n_docs long")
+    counted = docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(common.tidy(run, TOOL), "n_tokens long, n_docs long")
     return counted.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 
 

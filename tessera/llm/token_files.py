@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .word_tokens import loaded
+from .word_tokens import TOOL, loaded
 
 MAGIC = b"TSRTOK02"
 _FRAME = struct.Struct("<QQQQQqBI")
@@ -178,7 +178,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, shards: i
             fs.move(draft, f"{place}/{name}")
             yield pa.RecordBatch.from_pydict({"name": [name], "documents": pa.array([writer.documents], pa.int64()), "ids": pa.array([writer.ids], pa.int64())})
 
-    done = rows.mapInArrow(common.tidy(save), "name string, documents long, ids long").collect()  # a row for each shard
+    done = rows.mapInArrow(common.tidy(save, TOOL), "name string, documents long, ids long").collect()  # a row for each shard
     return [(f"{path}/{r['name']}", r["documents"], r["ids"]) for r in sorted(done, key=lambda r: r["name"])]
 
 

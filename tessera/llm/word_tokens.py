@@ -221,7 +221,14 @@ class WordTokens:
         return self.encode_batch([text])[0].astype("<u4").tobytes()
 
 
+#: The name under which tasks say that they use it (`common.use`).
+TOOL = "word tokens"
+
+
 @functools.cache
 def loaded(path: str) -> WordTokens:
-    """One tokenizer for each Python worker: its caches serve all tasks that the worker runs."""
+    """One tokenizer for each Python worker: its caches serve all tasks until one uses another tool."""
     return WordTokens(path)
+
+
+common.cached_tool(TOOL, loaded.cache_clear)

@@ -151,6 +151,17 @@ def test_equal_numbers_are_told_apart():
             assert [x.tolist() for x in tokens.encode_batch(texts)] == [ids(t) for t in texts]
 
 
+def test_a_tool_goes_when_another_is_used():
+    gone = []
+    common.cached_tool("a", lambda: gone.append("a"))
+    common.cached_tool("b", lambda: gone.append("b"))
+    for tool in ("a", "a", "b", "", "", "a", "b"):
+        list(common.tidy(iter, tool)([1]))
+    common.use()
+    assert gone == ["a", "b", "a", "b"]
+    del common._tools["a"], common._tools["b"]
+
+
 def test_shared_folder_must_be_named_on_a_cluster():
     class Conf:
         get = staticmethod(lambda key, default=None: default)
