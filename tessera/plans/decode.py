@@ -110,13 +110,17 @@ def decode_images(files: DataFrame, max_res: int | None = None) -> DataFrame:
     Blocks that aren't coded are zeros, in a tile without any coded block too. A file that can't be parsed
     to its end gives no lines at all (see `parse` for errors).
     """
-    blocks = parse(files, max_res).filter("error IS NULL")
-    decoded = decode_blocks(blocks).drop("error")
+    return decode_parsed(parse(files, max_res), max_res)
+
+
+def decode_parsed(rows: DataFrame, max_res: int | None = None) -> DataFrame:
+    """The lines of what `parse` has made with the same `max_res`."""
+    decoded = decode_blocks(rows.filter("error IS NULL")).drop("error")
 
     def run(table: pa.Table) -> pa.Table:
         return _tile(table, max_res)
 
-    kind = files.schema["image_id"].dataType.simpleString()
+    kind = rows.schema["image_id"].dataType.simpleString()
     return decoded.groupBy("image_id", "tile_no").applyInArrow(run, f"image_id {kind}, tile_no int, comp_no int, y int, x0 int, samples array<int>")
 
 

@@ -23,8 +23,9 @@ def lines(spark: SparkSession, folder: str, out: str, checkpoint: str, max_res:
     """
 
     def save(batch: DataFrame, number: int) -> None:
-        decode.decode_images(batch, max_res).write.mode("overwrite").parquet(f"{out}/lines/batch={number}")
-        failed = decode.parse(batch, max_res).filter("error IS NOT NULL").select("image_id", "error")
-        failed.write.mode("overwrite").parquet(f"{out}/errors/batch={number}")
+        rows = decode.parse(batch, max_res).persist()  # both tables are made from it; what is lost is parsed again
+        decode.decode_parsed(rows, max_res).write.mode("overwrite").parquet(f"{out}/lines/batch={number}")
+        rows.filter("error IS NOT NULL").select("image_id", "error").write.mode("overwrite").parquet(f"{out}/errors/batch={number}")
+        rows.unpersist()
 
     return files(spark, folder).writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
