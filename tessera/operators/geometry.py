@@ -1,7 +1,8 @@
 """Geometry of an image: tiles, tile-components, resolution levels, subbands and code-blocks.
 
 Each function turns rows of the level above into rows of its own with `explode(sequence(...))`, so a
-whole catalogue of images is laid out without a shuffle. Coordinates are exact integers.
+whole catalogue of images is laid out without a shuffle; only blocks that are laid out sample by sample
+are dealt out first. Coordinates are exact integers.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ from tessera.functions.bits import ceil_div
 #: Subband orientations; bit 0 is high along x, bit 1 high along y.
 LL, HL, LH, HH = 0, 1, 2, 3
 
+#: Samples of code-blocks that one task lays out, about.
+SAMPLES_A_TASK = 1 << 22
+
 
 def _low(a: str | Column, shift: Column) -> Column:
     """ceil(a / 2**shift)"""
@@ -91,3 +95,19 @@ def codeblocks(bands: DataFrame) -> DataFrame:
         start = (F.col(f"cb0{axis}") + F.col(f"no_{axis}")) * F.col(size)
         rows = rows.withColumns({f"c_tl{axis}": F.greatest(start, F.col(f"tl{axis}")), f"c_br{axis}": F.least(start + F.col(size), F.col(f"br{axis}"))})
     return rows
+
+
+def scatter(blocks: DataFrame, x0: Column, y0: Column) -> DataFrame:
+    """k, raster number i and place (x, y) of every sample of code-blocks (k, w, h) that begin at (x0, y0), columns over k, w and h.
+
+    A block is a few bytes and up to thousands of samples, so few files, even one, hold work for many tasks:
+    blocks are dealt out one by one, whatever their files and keys, to as many tasks as all samples, summed
+    up in a pass of its own, ask for. A block without samples gives no row.
+    """
+    count = F.col("w").cast("long") * F.col("h")
+    held = blocks.select("k", "w", "h").filter(count > 0)
+    samples = held.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    tasks = max(held.sparkSession.sparkContext.defaultParallelism, -(-samples // SAMPLES_A_TASK))
+    places = F.explode(F.sequence(F.lit(0).cast("long"), count - 1))
+    rows = held.repartition(tasks).select("k", "w", x0.alias("_x0"), y0.alias("_y0"), places.alias("i"))
+    return rows.select("k", "i", (F.col("_x0") + F.col("i") % F.col("w")).alias("x"), (F.col("_y0") + F.call_function("div", F.col("i"), F.col("w"))).alias("y"))

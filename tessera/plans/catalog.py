@@ -213,8 +213,9 @@ def subband_gain(spark, sf_dir):
 
 @query(f"WITH {P}, s AS (SELECT *, unnest(range(w * h)) AS i FROM p) SELECT k, 32 * (k % 16) + i % w AS x, 64 * (k // 16) + i // w AS y, ((k + i) % 256)::INT AS v FROM s")
 def codeblock_scatter(spark, sf_dir):
-    rows = views.blocks(spark, sf_dir).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("w") * F.col("h") - 1).cast("long"))))
-    return rows.select("k", (32 * (F.col("k") % 16) + F.col("i") % F.col("w")).alias("x"), (64 * F.floor(F.col("k") / 16) + F.floor(F.col("i") / F.col("w"))).alias("y"), ((F.col("k") + F.col("i")) % 256).cast("int").alias("v"))
+    key = F.col("k")
+    rows = geometry.scatter(views.blocks(spark, sf_dir), 32 * (key % 16), 64 * F.call_function("div", key, F.lit(16)))
+    return rows.select("k", "x", "y", ((key + F.col("i")) % 256).cast("int").alias("v"))
 
 
 @query(f"WITH {P} SELECT k, (CASE WHEN k % 2 = 0 THEN expn + 1 ELSE expn - 3 + dec_lvl + 1 END)::INT AS mag_bits, (CASE WHEN k % 2 = 0 THEN expn + 1 ELSE expn - 3 + dec_lvl + 1 END - zero)::INT AS significant_bits FROM p")
